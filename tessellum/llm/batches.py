@@ -1,4 +1,4 @@
-"""How the operators of this subpackage hand whole texts to Python and keep intermediate tables.
+"""How the operators of this subpackage hand whole texts to Python.
 
 Texts travel in Arrow batches of bounded rows and bytes, so a worker's memory follows the batch
 and the longest single text, never the partition.
@@ -6,8 +6,6 @@ and the longest single text, never the partition.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,23 +52,3 @@ def _as(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values if values.type == kind else values.cast(kind)
     return pa.array(values, type=kind)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names it, else (local runs) one of our own."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tessellum-")
-        sc._conf.set("spark.checkpoint.dir", at)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends there and a lost executor costs nothing."""
-    at = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +28,27 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import kept_words
+
+    return kept_words(table(spark, sf_dir, "documents"), length=50, digest=True)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import grouped
+
+    got = grouped(table(spark, sf_dir, "documents"), threshold=4, shingle=4)
+    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .run_index import kept_bytes
+
+    return kept_bytes(table(spark, sf_dir, "documents"), length=200, digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op6_substring_dedup, op9_simhash, op10_run_index)}
 
 
 def oracle_sql() -> dict[str, str]:
