@@ -28,12 +28,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import kept_words
 
     return kept_words(table(spark, sf_dir, "documents"), length=50, digest=True)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import pairs
+
+    return pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, size=5)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import grouped
 
@@ -47,9 +59,14 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_bytes(table(spark, sf_dir, "documents"), length=200, digest=True)
 
 
+ALL = (op1_token_counts, op2_byte_bpe, op5_secret_scan, op6_substring_dedup, op8_decontaminate, op9_simhash, op10_run_index)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op6_substring_dedup, op9_simhash, op10_run_index)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .decontaminate import oracle
+
+    return {"op8_decontaminate": oracle(threshold=0.8, size=5)}

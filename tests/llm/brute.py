@@ -72,3 +72,32 @@ def simhash(docs: list[tuple[int, str | None]]) -> set[tuple]:
                 a, b = sorted((top(d), top(e)))
                 up[b] = a
     return {(d, f"{f:016x}", top(d)) for d, f in prints}
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+
+
+def secrets(text: str | None) -> tuple:
+    t = text or ""
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in ACCESS.finditer(t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in HEX.finditer(t) if len(m[0]) >= 24]
+    n = [sum(1 for f in found if f[1] == k) for k in range(3)]
+    joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+    return (*n, sha(joined.encode()), joined)
+
+
+def contained(docs: list[tuple], items: list[tuple], t: float = 0.8, size: int = 5) -> set[tuple]:
+    def grams(text):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+        return {" ".join(w[i : i + size]) for i in range(len(w) - size + 1)}
+
+    out = set()
+    asked = [(i, grams(x)) for i, x in items]
+    for d, text in docs:
+        own = grams(text)
+        for i, g in asked:
+            if g and len(g & own) >= t * len(g) - 1e-9:
+                out.add((d, i, len(g), len(g & own), len(g & own) / len(g)))
+    return out
