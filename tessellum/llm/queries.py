@@ -28,6 +28,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rank import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, fold=0, threshold=0.3)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1, threshold=0.7)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scanned
 
@@ -40,6 +52,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_words(table(spark, sf_dir, "documents"), length=50, digest=True)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import pairs
 
@@ -59,7 +77,18 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_bytes(table(spark, sf_dir, "documents"), length=200, digest=True)
 
 
-ALL = (op1_token_counts, op2_byte_bpe, op5_secret_scan, op6_substring_dedup, op8_decontaminate, op9_simhash, op10_run_index)
+ALL = (
+    op1_token_counts,
+    op2_byte_bpe,
+    op3_quality_rank,
+    op4_toxicity,
+    op5_secret_scan,
+    op6_substring_dedup,
+    op7_quality_rules,
+    op8_decontaminate,
+    op9_simhash,
+    op10_run_index,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -101,3 +101,15 @@ def contained(docs: list[tuple], items: list[tuple], t: float = 0.8, size: int =
             if g and len(g & own) >= t * len(g) - 1e-9:
                 out.add((d, i, len(g), len(g & own), len(g & own) / len(g)))
     return out
+
+
+def rules(text: str | None) -> tuple:
+    t = text or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    windows: dict[tuple, list[int]] = {}
+    for i in range(len(w) - 4):
+        windows.setdefault(tuple(w[i : i + 5]), []).append(i)
+    repeat = {i + j for at in windows.values() if len(at) > 1 for i in at for j in range(5)}
+    failed = len(w) < 10 or 100 * len(repeat) > 20 * len(w)
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(repeat), failed)
