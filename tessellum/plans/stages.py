@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +28,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that their Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessellum_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="tessellum-code-"))
+    at = os.path.join(folder, "tessellum_package.zip")
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(at)
+    sc._tessellum_shipped = True
