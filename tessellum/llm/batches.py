@@ -11,6 +11,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from tessellum.plans.stages import ship
 
 #: Rows and bytes of one Arrow batch.
 BATCH_ROWS = 1000
@@ -18,6 +21,7 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -30,10 +34,7 @@ def texts_of(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
     """Apply ``make()()`` to each Arrow batch; ``make`` runs once per task, on the executor."""
     bounded_batches(df.sparkSession)
-    names = None
     fields = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(fields)
     names = arrow.names
 
