@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.operators.components import components
@@ -138,18 +138,34 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return sent.join(living, (sent.anchor == living.anchor) & (F.bit_count(sent.a.bitwiseXOR(living.b)) <= threshold) & (sent.a < living.b)).select("a", "b")
 
 
-def grouped(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable over links, itself included)."""
-    prints = stash(fingerprints(docs, shingle), "fingerprints")
+def classes(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(fp, component_id) for rows (doc_id, fp)."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     member = components(links(nodes, threshold).distinct(), "a", "b")
     classed = nodes.join(member, nodes.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = classed.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = classed.join(ids, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return classed.join(ids, "component").select("fp", "component", "component_id")
+
+
+def grouped(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = 4) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable over links, itself included)."""
+    prints = stash(fingerprints(docs, shingle), "fingerprints")
+    return prints.join(classes(prints, threshold), "fp").select("doc_id", "fp", "component_id")
 
 
 def without_near_copies(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = 4) -> DataFrame:
-    """The documents whose doc_id is the least of their component, and those without a doc_id in a component that has none."""
-    keep = grouped(docs, threshold, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One document of each component: of the smallest doc_id (null counts as the largest), of those the least text hash, of equal rows one."""
+    named = docs.withColumn("_did", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def make():
+        return lambda batch: {"did": batch.column("did"), "th": batch.column("th"), "fp": fingerprints_of(*flat(batch.column("text")), shingle).view(np.int64)}
+
+    texts = named.select(F.col("_did").alias("did"), F.col("_th").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = stash(map_batches(texts, make, "did long, th long, fp long"), "fingerprints")
+    of = classes(prints.select(F.col("did").alias("doc_id"), "fp"), threshold)
+    # the least pair (did, th) of each component, by two plain minima
+    rows = prints.join(of, "fp").where("did = component_id")
+    keep = rows.groupBy("component").agg(F.min("did").alias("_did"), F.min("th").alias("_th")).select("_did", "_th").distinct()
+    once = Window.partitionBy("_did", "_th").orderBy("_did")
+    kept = named.join(keep, ["_did", "_th"], "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    return kept.select(*docs.columns)

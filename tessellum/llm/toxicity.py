@@ -21,10 +21,12 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import map_batches, texts_of
+from .batches import bounded_batches, map_batches, texts_of
 from .quality_rank import in_fold, sample_of
 
 MOST_LABELS = 3000
@@ -272,6 +274,22 @@ def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
     return got.select("doc_id", in_fold(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1, threshold: float = 0.7, most_labels: int = MOST_LABELS) -> DataFrame:
+    """The documents, all columns as they are, whose score is below the threshold."""
+    bounded_batches(docs.sparkSession)
+    model = fit(docs, labels, folds=folds, fold=fold, most_labels=most_labels)
+
+    def run(batches):
+        step = _scorer(model)
+        for batch in batches:
+            if batch.num_rows:
+                text = pc.fill_null(batch.column("text"), "")
+                score = step(pa.RecordBatch.from_arrays([text, text], names=["doc_id", "text"]))["score"]
+                yield batch.filter(pa.array(np.asarray(score) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _scorer(model):
     if model is None:
         return lambda batch: {"doc_id": batch.column("doc_id"), "score": [0.0] * batch.num_rows}
