@@ -77,7 +77,7 @@ def contracted(edges: DataFrame, *, u: str = "u", v: str = "v", weight: str = "w
     return chain.groupBy("chain").agg(F.sum("w").alias("total"), F.count("*").alias("n")).join(caps, "chain", "left").select("chain", "a", "b", "total", "n")
 
 
-def _bridge_frame(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _bridge_frame(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Bridges of one component by depth-first low points, without recursion; parallel edges are no bridges."""
     near: dict[int, list[tuple[int, int]]] = defaultdict(list)
     pairs = list(zip(pdf["u"], pdf["v"], strict=True))
