@@ -75,13 +75,13 @@ def oracle(threshold: float = 0.8, size: int = 5) -> str:
     """The same pairs in DuckDB SQL, by comparing every shingle."""
     return f"""
 WITH item_words AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM benchmark),
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
 item_shingles AS (
   SELECT DISTINCT item_id, array_to_string(w[i : i + {size - 1}], ' ') AS shingle
   FROM (SELECT item_id, w, unnest(range(1, len(w) - {size - 2})) AS i FROM item_words WHERE len(w) >= {size})),
 sizes AS (SELECT item_id, count(*) AS n_item FROM item_shingles GROUP BY item_id),
 doc_words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 doc_shingles AS (
   SELECT DISTINCT doc_id, array_to_string(w[i : i + {size - 1}], ' ') AS shingle
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - {size - 2})) AS i FROM doc_words WHERE len(w) >= {size})),
