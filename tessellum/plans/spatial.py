@@ -159,6 +159,6 @@ def nearest_vector(spark, sf_dir):
     blocks = -(-asked.count() // 2000) or 1
     asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
     d = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    met = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(asked, "block").where("vec_id <> qid")
+    met = e.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "block").where("vec_id <> qid")
     best = met.select("qid", F.struct(d.alias("d"), F.col("vec_id").alias("other")).alias("m")).groupBy("qid").agg(F.min("m").alias("m"))
     return best.select(F.col("qid").alias("vec_id"), F.col("m.other").alias("other"))

@@ -240,3 +240,21 @@ def test_statistics(spark):
     assert rows(S.shift_null(ring, at="i", a="a", b="b")) == [(0.1, 0.1)]
     angles = spark.createDataFrame([(170.0,), (10.0,)], "a double").agg(*S.axial_mean(F.col("a"), F.lit(1.0), 180.0)).first()
     assert min(angles.mean, 180 - angles.mean) < 1e-9 and angles.r > 0.9
+
+
+def test_rasters_and_joins(spark):
+    from tessellum.operators import joins as J
+    from tessellum.operators import rasters as R
+
+    # a bowl with one low rim cell: all drains through it
+    h = {(r, c): 9.0 if r in (0, 3) or c in (0, 3) else 1.0 + r for r in range(4) for c in range(4)}
+    h[3, 1] = 0.0
+    got = {(x.r, x.c): x for x in R.drainage(spark.createDataFrame([("g", r, c, v) for (r, c), v in h.items()], "grid string, r long, c long, v double")).collect()}
+    assert got[3, 1].to_r == -1 and got[3, 1].cells == 5 and all(got[k].to_r >= 0 for k in ((1, 1), (1, 2), (2, 1), (2, 2)))
+    s = spark.createDataFrame([("a", q, float(k), c) for q, row in enumerate([(0, 5), (4, 0), (0, 5)]) for k, c in zip((0, 1), map(float, row), strict=True)], "route string, seq long, state double, cost double")
+    assert [x.state for x in R.best_states(s, turn=10.0).orderBy("seq").collect()] == [0.0, 0.0, 0.0]
+    assert [x.state for x in R.best_states(s, turn=1.0).orderBy("seq").collect()] == [0.0, 1.0, 0.0]
+    square = lambda o, x: [(o, x + a, b, x + c, d) for a, b, c, d in ((0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 1.0, 1.0), (1.0, 1.0, 0.0, 1.0), (0.0, 1.0, 0.0, 0.0))]
+    assert rows(J.shared_borders(spark.createDataFrame(square("p", 0.0) + square("q", 1.0), "o string, x0 double, y0 double, x1 double, y1 double"), owner="o")) == [("p", "q", 1.0)]
+    corners = spark.createDataFrame([("t", i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.5), (0.5, 0.5)])], "key string, i int, x double, y double")
+    assert rows(R.tile_error(corners, x="x", y="y")) == [("t", 0.5, 0.125)]
