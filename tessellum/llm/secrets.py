@@ -17,7 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .substring_dedup import keyed
+from .batches import fresh
+from .substring_dedup import id_of, keyed
 from .trigrams import query
 
 
@@ -125,11 +126,11 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule,
     """doc_id, n_<kind> of the base rules, base_sha256, spans. The base rules must come first among the rules."""
     texts = keyed(docs)
     listed = spans(texts, rules).groupBy("did", "th").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("spans"))
-    got = texts.select("doc_id", "did", "th").join(listed, ["did", "th"], "left")
+    got = texts.select("did", "th").join(listed, ["did", "th"], "left")
     got = got.withColumn("spans", F.coalesce("spans", F.array().cast(listed.schema["spans"].dataType)))
     n = len(base)
     return got.select(
-        "doc_id",
+        id_of(),
         *[_count(r.kind).alias(f"n_{r.kind}") for r in base],
         F.sha2(_joined(F.filter("spans", lambda x: x["rank"] < n)), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
@@ -139,11 +140,12 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule,
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with each secret replaced by its kind in brackets; a text without secrets, or null, stays as it is."""
     names = docs.columns
-    named = docs.withColumn("_did", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = candidates(keyed(docs), rules).select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("kinds").alias("_kinds"))
-    out = named.join(found, ["_did", "_th"], "left")
+    did, th, kinds = fresh(docs, "did", "th", "kinds")
+    named = docs.withColumn(did, F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn(th, F.hash(F.coalesce("text", F.lit(""))))
+    found = candidates(keyed(docs), rules).select(F.col("did").alias(did), F.col("th").alias(th), F.col("kinds").alias(kinds))
+    out = named.join(found, [did, th], "left")
     for r in rules:
-        may = F.lit(True) if not query(r.pattern) else F.coalesce(F.array_contains("_kinds", r.kind), F.lit(False))
+        may = F.lit(True) if not query(r.pattern) else F.coalesce(F.array_contains(kinds, r.kind), F.lit(False))
         out = out.withColumn("text", F.when(may & F.col("text").rlike(r.pattern), _put(r)).otherwise(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellum.plans.stages import stash
+
 from .batches import map_batches, texts_of
 from .winnow import cover, runs, windows
 from .words import flat, hash_words, signed, split_words
@@ -31,8 +33,12 @@ LAST = (1 << 63) - 1
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """did (doc_id with null last), th (hash of the text): together they name a row's content."""
-    return texts_of(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("th"), "doc_id", "text")
+    """did (doc_id, with null as the largest), th (a hash of the text) and text; did and th together tell rows apart that share a doc_id."""
+    return texts_of(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.hash("text").alias("th"), "text")
+
+
+def id_of(did: str = "did"):
+    return F.when(F.col(did) != LAST, F.col(did)).alias("doc_id")
 
 
 def run_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -46,7 +52,7 @@ def run_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
         return step
 
-    return map_batches(texts.select("did", "th", "text"), make, "did long, th long, anchor long, run long, start int, n int")
+    return map_batches(texts.select("did", "th", "text"), make, "did long, th int, anchor long, run long, start int, n int")
 
 
 def window_rows(listed: DataFrame, length: int) -> DataFrame:
@@ -72,7 +78,7 @@ def window_rows(listed: DataFrame, length: int) -> DataFrame:
 
         return step
 
-    return map_batches(listed.select("did", "th", "text", "runs"), make, "did long, th long, anchor long, window long, start int")
+    return map_batches(listed.select("did", "th", "text", "runs"), make, "did long, th int, anchor long, window long, start int")
 
 
 def repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -84,11 +90,12 @@ def repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
         .where("lo < hi")
         .select("anchor", "differ")
     )
-    seeded = rows.join(shared, "anchor")
+    seeded = stash(rows.join(shared, "anchor"), "seeded")
     firsts = seeded.groupBy("anchor", "run").agg(F.min("did").alias("lo"))
-    known = seeded.join(firsts, ["anchor", "run"])
-    whole = known.where("did > lo").select("did", "th", "start", "n")
-    edges = known.where("did = lo AND differ").groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
+    known = seeded.join(firsts, ["anchor", "run"]).where("did > lo OR differ")
+    known = stash(known.select("did", "th", "anchor", "start", "n", (F.col("did") > F.col("lo")).alias("whole")), "known")
+    whole = known.where("whole").select("did", "th", "start", "n")
+    edges = known.where("NOT whole").groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
     each = window_rows(texts.join(edges, ["did", "th"]), length)
     least = each.groupBy("anchor", "window").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor", "window", "lo")
     single = each.join(least, ["anchor", "window"]).where("did > lo").select("did", "th", "start", F.lit(1).alias("n"))
@@ -122,4 +129,4 @@ def kept_words(docs: DataFrame, length: int = 50, gram: int = 10, digest: bool =
 
         return step
 
-    return map_batches(texts.join(cuts, ["did", "th"], "left").select("doc_id", "text", "cuts"), make, f"doc_id long, n_words long, n_removed long, {name} string")
+    return map_batches(texts.join(cuts, ["did", "th"], "left").select(id_of(), "text", "cuts"), make, f"doc_id long, n_words long, n_removed long, {name} string")
