@@ -31,6 +31,12 @@ def texts_of(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have yet."""
+    held = {c.lower() for c in df.columns}
+    return [next(c for k in range(1, 99) if (c := "_" * k + n).lower() not in held) for n in names]
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
     """Apply ``make()()`` to each Arrow batch; ``make`` runs once per task, on the executor."""
     bounded_batches(df.sparkSession)

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import fresh
+
 #: Shingles of all items up to which they are broadcast; beyond, the join is shuffled by hash.
 BROADCAST_ROWS = 500_000
 SPACES = r"[\x20\x09-\x0D]+"
@@ -66,9 +68,10 @@ def pairs(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int =
 
 def without_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """The documents that contain no item."""
-    hit = contained(docs, items, threshold, size).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    named = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return named.join(hit, named.doc_id.eqNullSafe(hit._id) & (named._h == hit._th), "left_anti").drop("_h")
+    own, did, th = fresh(docs, "own", "did", "th")
+    hit = contained(docs, items, threshold, size).select(F.col("doc_id").alias(did), F.col("th").alias(th)).distinct()
+    named = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return named.join(hit, named.doc_id.eqNullSafe(hit[did]) & (named[own] == hit[th]), "left_anti").select(*docs.columns)
 
 
 def oracle(threshold: float = 0.8, size: int = 5) -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessellum.operators.components import components
 from tessellum.plans.stages import stash
 
-from .batches import map_batches, texts_of
+from .batches import fresh, map_batches, texts_of
 from .words import flat, split_words
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -155,17 +155,18 @@ def grouped(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = 4) -> Da
 
 def without_near_copies(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = 4) -> DataFrame:
     """One document of each component: of the smallest doc_id (null counts as the largest), of those the least text hash, of equal rows one."""
-    named = docs.withColumn("_did", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    did, th, nth = fresh(docs, "did", "th", "nth")
+    named = docs.withColumn(did, F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
 
     def make():
         return lambda batch: {"did": batch.column("did"), "th": batch.column("th"), "fp": fingerprints_of(*flat(batch.column("text")), shingle).view(np.int64)}
 
-    texts = named.select(F.col("_did").alias("did"), F.col("_th").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = named.select(F.col(did).alias("did"), F.col(th).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     prints = stash(map_batches(texts, make, "did long, th long, fp long"), "fingerprints")
     of = classes(prints.select(F.col("did").alias("doc_id"), "fp"), threshold)
     # the least pair (did, th) of each component, by two plain minima
     rows = prints.join(of, "fp").where("did = component_id")
-    keep = rows.groupBy("component").agg(F.min("did").alias("_did"), F.min("th").alias("_th")).select("_did", "_th").distinct()
-    once = Window.partitionBy("_did", "_th").orderBy("_did")
-    kept = named.join(keep, ["_did", "_th"], "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    keep = rows.groupBy("component").agg(F.min("did").alias(did), F.min("th").alias(th)).select(did, th).distinct()
+    once = Window.partitionBy(did, th).orderBy(did)
+    kept = named.join(keep, [did, th], "left_semi").withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1)
     return kept.select(*docs.columns)

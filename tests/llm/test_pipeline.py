@@ -53,6 +53,16 @@ def test_odd_rows_pass_every_stage(spark):
         assert len(out) == (3 if n else 0)  # all without words are one group, and equal rows another
 
 
+def test_clashing_columns_stay(spark):
+    import corpus_pipeline as p
+
+    names = ["_did", "_th", "_nth", "_kinds", "_own", "fp", "anchor", "trusted", "score", "did", "th"]
+    docs = spark.createDataFrame([(1, "plain words stand here for a while now", *range(11))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    assert [tuple(x) for x in docs.collect()] == [(1, "plain words stand here for a while now", *range(11))]
+
+
 def test_near_copies_ties(spark):
     from tessellum.llm.simhash import without_near_copies
 
