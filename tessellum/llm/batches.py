@@ -6,6 +6,8 @@ and the longest single text, never the partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,9 +17,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessellum.plans.stages import ship
 
-#: Rows and bytes of one Arrow batch.
+#: Rows and bytes of one Arrow batch, and the bytes that an operator looks at together.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -26,6 +29,22 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into parts of at most PIECE_BYTES or one row; memory that is no longer used goes back at the end."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > PIECE_BYTES:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            elif part.num_rows:
+                yield part
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its own counsel
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the id and the text; a null text counts as an empty one."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -46,8 +65,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
+        for batch in pieces(batches):
+            if (out := step(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([_as(out[n], arrow.field(n).type) for n in names], schema=arrow)
 
     return df.mapInArrow(run, fields)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import bounded_batches, map_batches, texts_of
+from .batches import bounded_batches, map_batches, pieces, texts_of
 from .text_stats import Stats
 from .words import U, flat
 
@@ -49,7 +49,7 @@ def counts(marked: DataFrame) -> DataFrame:
 
     def run(batches):
         raw, trusted = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             good = np.asarray(batch.column("trusted").to_pylist(), bool)
             for bucket, row in buckets(*flat(batch.column("text"))):
                 raw += np.bincount(bucket, minlength=1 << BITS)

@@ -90,15 +90,16 @@ def repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
         .where("lo < hi")
         .select("anchor", "differ")
     )
-    seeded = stash(rows.join(shared, "anchor"), "seeded")
+    # sums become tables before they meet the rows again: a join of plain exchanges can be split at a hot key
+    seeded = stash(rows.join(stash(shared, "shared"), "anchor"), "seeded")
     firsts = seeded.groupBy("anchor", "run").agg(F.min("did").alias("lo"))
-    known = seeded.join(firsts, ["anchor", "run"]).where("did > lo OR differ")
+    known = seeded.join(stash(firsts, "firsts"), ["anchor", "run"]).where("did > lo OR differ")
     known = stash(known.select("did", "th", "anchor", "start", "n", (F.col("did") > F.col("lo")).alias("whole")), "known")
     whole = known.where("whole").select("did", "th", "start", "n")
     edges = known.where("NOT whole").groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
     each = window_rows(texts.join(edges, ["did", "th"]), length)
     least = each.groupBy("anchor", "window").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor", "window", "lo")
-    single = each.join(least, ["anchor", "window"]).where("did > lo").select("did", "th", "start", F.lit(1).alias("n"))
+    single = each.join(stash(least, "least"), ["anchor", "window"]).where("did > lo").select("did", "th", "start", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 

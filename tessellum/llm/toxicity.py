@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import bounded_batches, map_batches, texts_of
+from .batches import bounded_batches, map_batches, pieces, texts_of
 from .quality_rank import in_fold, sample_of
 
 MOST_LABELS = 3000
@@ -281,11 +281,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: i
 
     def run(batches):
         step = _scorer(model)
-        for batch in batches:
-            if batch.num_rows:
-                text = pc.fill_null(batch.column("text"), "")
-                score = step(pa.RecordBatch.from_arrays([text, text], names=["doc_id", "text"]))["score"]
-                yield batch.filter(pa.array(np.asarray(score) < threshold))
+        for batch in pieces(batches):
+            text = pc.fill_null(batch.column("text"), "")
+            score = step(pa.RecordBatch.from_arrays([text, text], names=["doc_id", "text"]))["score"]
+            yield batch.filter(pa.array(np.asarray(score) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
