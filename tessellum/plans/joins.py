@@ -19,11 +19,11 @@ from .spatial import CELLS, PTS, SUP, cells, places, points
 
 @query("""
 WITH k AS (SELECT n_nationkey, lower(replace(n_name, ' ', '')) AS k FROM nation), a AS (SELECT n_nationkey, CASE k WHEN 'nation_1' THEN 'region_x' ELSE k END AS k FROM k)
-SELECT a.n_nationkey, s.s_suppkey FROM a LEFT JOIN (SELECT s_suppkey, lower(replace(replace(n.n_name, ' ', ''), '#', '')) AS k FROM supplier JOIN nation n ON n_nationkey = s_nationkey WHERE s_suppkey % 3 = 0) s ON s.k = a.k
+SELECT a.n_nationkey, s.s_suppkey FROM a LEFT JOIN (SELECT s_suppkey, lower(replace(replace(n.n_name, ' ', ''), '#', '')) AS k FROM supplier JOIN nation n ON n_nationkey = s_nationkey) s ON s.k = a.k
 """)
 def alias_join(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    sup = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("name")), "s_nationkey")
+    sup = table(spark, sf_dir, "supplier").join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("name")), "s_nationkey")
     got = J.matched_by_name(n, sup.select("s_suppkey", "name"), left_key=T.normal_key(F.col("n_name")), right_key=T.normal_key(F.regexp_replace("name", "#", "")), aliases={"nation_1": "region_x"})
     return got.select("n_nationkey", "s_suppkey")
 
@@ -87,13 +87,13 @@ def length_votes(spark, sf_dir):
 
 
 @query("""
-WITH i AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, l_linenumber AS n, l_quantity AS lo, l_quantity + 4 AS hi FROM lineitem WHERE l_discount >= 0.07)
-SELECT a.k, count(*) AS pairs, sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)) AS shared FROM i a JOIN i b ON a.k = b.k AND a.n = 1 AND b.n = 2 AND least(a.hi, b.hi) - greatest(a.lo, b.lo) > 0.5 GROUP BY a.k
+WITH i AS (SELECT l_orderkey AS k, l_orderkey * 10 + l_linenumber AS id, l_linenumber AS n, l_quantity AS lo, l_quantity + 4 AS hi FROM lineitem)
+SELECT a.k, count(*) AS pairs, sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)) AS shared FROM i a JOIN i b ON a.k = b.k AND a.n <= 3 AND b.n > 3 AND least(a.hi, b.hi) - greatest(a.lo, b.lo) > 0.5 GROUP BY a.k
 """)
 def shared_edges(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").where("l_discount >= 0.07")
-    df = df.select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("lo"), (F.col("l_quantity") + 4).alias("hi"))
-    hit = J.interval_hits(df.where("n = 1"), df.where("n = 2"), key="k", least=0.5)
+    df = table(spark, sf_dir, "lineitem")
+    df = df.select(F.col("l_orderkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("lo"), (F.col("l_quantity") + 4).alias("hi"))
+    hit = J.interval_hits(df.where("n <= 3"), df.where("n > 3"), key="k", least=0.5)
     return hit.groupBy("k").agg(F.count("*").alias("pairs"), F.sum("shared").alias("shared"))
 
 
@@ -151,7 +151,7 @@ def drainage(spark, sf_dir):
 
 @query()
 def smoothest_states(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id < 20")
+    e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     seq = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("route"), F.row_number().over(w).cast("long").alias("seq"), "value")
     states = seq.withColumn("state", F.explode(F.array(*[F.lit(float(s)) for s in (0, 10, 20, 40)])))

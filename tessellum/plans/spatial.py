@@ -76,11 +76,11 @@ def radius_count(spark, sf_dir):
     return p.select("id").join(n, "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("n"), F.col("k").isNotNull().alias("any_near"))
 
 
-CELLS = "cells AS (SELECT (p_partkey % 40) AS r, (p_partkey // 40 % 40) AS c, max(p_size)::DOUBLE AS v FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1, 2)"
+CELLS = "cells AS (SELECT (p_partkey % 40) AS r, (p_partkey // 40 % 40) AS c, max(p_size)::DOUBLE AS v FROM part WHERE p_brand <> 'Brand#1' GROUP BY 1, 2)"
 
 
 def cells(spark, sf_dir):
-    df = table(spark, sf_dir, "part").where("p_partkey % 7 <> 0")
+    df = table(spark, sf_dir, "part").where("p_brand <> 'Brand#1'")
     return df.groupBy((F.col("p_partkey") % 40).alias("r"), (F.floor(F.col("p_partkey") / 40) % 40).alias("c")).agg(F.max("p_size").cast("double").alias("v"))
 
 
@@ -136,13 +136,13 @@ def affine_line(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT l_suppkey AS k, l_quantity AS lo, l_quantity + 5 AS hi FROM lineitem WHERE l_linenumber = 1 AND l_discount = 0), b AS (SELECT l_suppkey AS k, l_quantity AS lo, l_quantity + 3 AS hi FROM lineitem WHERE l_linenumber = 2 AND l_discount = 0)
+WITH a AS (SELECT l_orderkey AS k, l_quantity AS lo, l_quantity + 5 AS hi FROM lineitem WHERE l_linenumber <= 3), b AS (SELECT l_orderkey AS k, l_quantity AS lo, l_quantity + 3 AS hi FROM lineitem WHERE l_linenumber > 3)
 SELECT a.k, sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)) AS overlap FROM a JOIN b ON a.k = b.k AND greatest(a.lo, b.lo) < least(a.hi, b.hi) GROUP BY a.k
 """)
 def interval_overlap(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").where("l_discount = 0")
-    one = lambda n, d: df.where(f"l_linenumber = {n}").select(F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("lo"), (F.col("l_quantity") + d).alias("hi"))
-    return S.interval_overlap(one(1, 5), one(2, 3), key="k")
+    df = table(spark, sf_dir, "lineitem")
+    one = lambda n, d: df.where(f"l_linenumber {n}").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("lo"), (F.col("l_quantity") + d).alias("hi"))
+    return S.interval_overlap(one("<= 3", 5), one("> 3", 3), key="k")
 
 
 @query("""

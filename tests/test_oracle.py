@@ -27,3 +27,26 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_components_by_union_find(spark):
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    owner = {r.o_orderkey: r.o_custkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        a, b = sorted((top(owner[r.l_orderkey]), top(-1 - r.l_partkey)))
+        up[b] = a
+    got = {r.node: r.component for r in QUERIES["components"](spark, SF).collect()}
+    assert got == {n: top(n) for n in up}
+    sizes: dict[int, int] = {}
+    for c in got.values():
+        sizes[c] = sizes.get(c, 0) + 1
+    best = min(c for c, n in sizes.items() if n == max(sizes.values()))
+    assert {r.node for r in QUERIES["largest_component"](spark, SF).collect()} == {n for n, c in got.items() if c == best}
