@@ -7,8 +7,8 @@
    of its runs alone. The longest match of a suffix is found by comparison at run ends; all other
    positions follow, because between run ends the match of the next position is one byte shorter.
    So the matching statistics stream over the text from the samples, and long matches are marked.
-3. An anchor with more kinds of runs than ``crowd`` would be a block that grows with the corpus. Its
-   windows are counted by their hashes instead, with partial sums, which is exact as well.
+3. An anchor with more kinds of runs than ``crowd`` would be a block that grows with the corpus. Its windows
+   are settled by hashes in sets that shrink by fours (``crowd_repeats``), which is exact as well.
 
 Defined results: a null or empty text has 0 bytes and keeps nothing; equal rows repeat each other, so both
 lose their long strings; a null doc_id stays null; other columns are ignored. Kept bytes may cut a
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import bounded_batches, map_batches
-from .substring_dedup import keyed
-from .winnow import cover, runs, windows
-from .words import BYTE_VALUE, flat, signed
+from tessellum.plans.stages import stash
+
+from .batches import bounded_batches, map_batches, pieces
+from .substring_dedup import id_of, keyed
+from .winnow import cover, runs
+from .words import BYTE_VALUE, Spans, flat, mix, signed
 
 #: Bytes indexed together.
 BLOCK = 1 << 20
@@ -124,7 +126,7 @@ def run_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
         return step
 
-    return map_batches(texts.select("did", "th", "text"), make, "did long, th long, anchor long, run long, start int, n int")
+    return map_batches(texts.select("did", "th", "text"), make, "did long, th int, anchor long, run long, start int, n int")
 
 
 def segment_rows(listed: DataFrame, length: int) -> DataFrame:
@@ -146,7 +148,7 @@ def segment_rows(listed: DataFrame, length: int) -> DataFrame:
 
         return step
 
-    return map_batches(listed.select("did", "th", "text", "runs"), make, "did long, th long, anchor long, crowded boolean, start int, n int, bytes binary")
+    return map_batches(listed.select("did", "th", "text", "runs"), make, "did long, th int, anchor long, crowded boolean, start int, n int, bytes binary")
 
 
 def index_blocks(segments: DataFrame, length: int) -> DataFrame:
@@ -160,7 +162,7 @@ def index_blocks(segments: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([rows[i][1] for i in seg.tolist()], pa.int64()),
-                pa.array([rows[i][2] for i in seg.tolist()], pa.int64()),
+                pa.array([rows[i][2] for i in seg.tolist()], pa.int32()),
                 pa.array((base[seg] + start).astype(np.int32)),
                 pa.array(size.astype(np.int32)),
             ],
@@ -169,7 +171,7 @@ def index_blocks(segments: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         held, anchor, total = [], None, 0
-        for batch in batches:
+        for batch in pieces(batches):
             for r in zip(*(batch.column(k).to_pylist() for k in ("anchor", "did", "th", "start", "bytes")), strict=True):
                 if total >= BLOCK and r[0] != anchor:
                     yield found(held)
@@ -180,43 +182,93 @@ def index_blocks(segments: DataFrame, length: int) -> DataFrame:
             yield found(held)
 
     dealt = segments.select("anchor", "did", "th", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "did long, th long, start int, size int")
+    return dealt.mapInArrow(run, "did long, th int, start int, size int")
+
+
+def _node_hashes(live: DataFrame, level: int, length: int, gram: int) -> DataFrame:
+    """``live`` with lo, hi (the windows of node q that the segment has), core and span.
 
+    A window is named by the bytes it has before the anchor. Node q of a level is the windows with
+    q * 2**level or more and fewer than (q + 1) * 2**level. core hashes the bytes common to all of them,
+    span the bytes they cover together; span is null where the segment lacks some of them.
+    """
+    width = length - gram + 1
 
-def crowd_windows(segments: DataFrame, length: int) -> DataFrame:
     def make():
         def step(batch):
-            out: dict[str, list] = {k: [] for k in ("row", "window", "start")}
-            for i, (b, start, n) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("start").to_pylist(), batch.column("n").to_pylist(), strict=True)):
-                out["row"].append(np.full(n, i))
-                out["window"].append(signed(windows(BYTE_VALUE[np.frombuffer(b, np.uint8)], 0, n, length)))
-                out["start"].append(np.arange(start, start + n))
-            got = {k: np.concatenate(v) for k, v in out.items()}
-            row = pa.array(got["row"])
-            return {**{k: batch.column(k).take(row) for k in ("anchor", "did", "th")}, "window": got["window"], "start": got["start"]}
+            n = batch.num_rows
+            lo, hi, ahead, core, span = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int64), []
+            columns = (batch.column(k).to_pylist() for k in ("bytes", "anchor", "n", "q"))
+            for i, (b, anchor, count, q) in enumerate(zip(*columns, strict=True)):
+                spans = Spans(BYTE_VALUE[np.frombuffer(b, np.uint8)])
+                before = int(np.flatnonzero(signed(mix(spans.all(gram)[:width])) == anchor)[0])  # of the first window
+                first, end = q << level, min(q + 1 << level, width)
+                lo[i], hi[i] = max(first, before - count + 1), min(end, before + 1)
+                ahead[i] = before
+                tag = np.uint64((level << 32) + q)
+                of = lambda x, y: signed(mix(spans.of(np.array([x]), np.array([y])) + mix(np.array([tag]))))[0]
+                if lo[i] < hi[i]:
+                    core[i] = of(before - first, before - end + 1 + length)
+                span.append(int(of(before - end + 1, before - first + length)) if (lo[i], hi[i]) == (first, end) else None)
+            kept = {k: batch.column(k) for k in ("anchor", "did", "th", "start", "n", "bytes", "q")}
+            return kept | {"lo": lo, "hi": hi, "before": ahead, "core": core, "span": span}
 
         return step
 
-    each = map_batches(segments.select("anchor", "did", "th", "start", "n", "bytes"), make, "anchor long, did long, th long, window long, start int")
-    many = each.groupBy("anchor", "window").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "window")
-    return each.join(many, ["anchor", "window"]).select("did", "th", "start", F.lit(length).alias("size"))
+    schema = "anchor long, did long, th int, start int, n int, bytes binary, q int, lo int, hi int, before int, core long, span long"
+    return map_batches(live, make, schema).where("lo < hi")
+
+
+def crowd_repeats(segments: DataFrame, length: int, gram: int) -> DataFrame:
+    """(did, th, start, size) of the windows of crowded anchors that occur again.
+
+    From the whole set of windows of an anchor down to single ones, by fours: a segment whose core nobody
+    shares is out, one whose span somebody shares is settled as a whole, the others go on to the quarters,
+    and so does one of each settled kind, for the others may share a part of it. So a segment costs a few rows a level, however many share its anchor, and a level is sums and joins by keys.
+    """
+    live = segments.select("anchor", "did", "th", "start", "n", "bytes", F.lit(0).alias("q"))
+    found = None
+    for level in (8, 6, 4, 2, 0):
+        node = stash(_node_hashes(live, level, length, gram), "nodes")
+        key = ["anchor", "q", "core"]
+        met = node.groupBy(*key).agg(F.count("*").alias("c"), F.min("span").alias("s0"), F.max("span").alias("s1"), F.count("span").alias("cs"))
+        met = stash(met.where("c > 1").select(*key, F.expr("cs < c OR s0 < s1").alias("differ")), "cores")
+        one = [F.first(k).alias(f"{k}_1") for k in ("did", "th", "start")]
+        again = node.where("span IS NOT NULL").groupBy(*key, "span").agg(F.count("*").alias("c"), *one)
+        again = stash(again.where("c > 1").select(*key, "span", "did_1", "th_1", "start_1", F.lit(True).alias("settled")), "spans")
+        left = stash(node.join(met, key).join(again, [*key, "span"], "left"), "shared")
+        settled = left.where("settled").select("did", "th", "start", "before", "lo", "hi")
+        marks = settled.select("did", "th", (F.col("start") + F.col("before") - F.col("hi") + 1).alias("start"), (F.col("hi") - F.col("lo") - 1 + length).alias("size"))
+        found = marks if found is None else found.unionByName(marks)
+        onward = left.where("settled IS NULL OR (differ AND did = did_1 AND th = th_1 AND start = start_1)")
+        if level:  # the quarters in which the segment has windows
+            part = 1 << (level - 2)
+            quarters = F.sequence(F.floor(F.col("lo") / part).cast("int"), F.floor((F.col("hi") - 1) / part).cast("int"))
+            live = onward.select("anchor", "did", "th", "start", "n", "bytes", F.explode(quarters).alias("q"))
+    return found
 
 
 def repeats(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     """(did, th, start, size): stretches of bytes that long repeats cover. Equal rows share a list, rightly: each repeats the other."""
     rows = run_rows(docs, length, gram)
     shared = rows.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("run") < F.max("run")).alias("differ")).where("c > 1").select("anchor", "differ")
-    seeded = rows.join(shared, "anchor")
-    kinds = seeded.groupBy("anchor", "run").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "start", "n")).alias("first"), F.first("differ").alias("differ"))
-    whole = seeded.join(kinds.where("c > 1").select("anchor", "run"), ["anchor", "run"]).select("did", "th", "start", (F.col("n") - 1 + length).alias("size"))
-    differing = kinds.where("differ").select("anchor", "first.*")
-    crowds = differing.groupBy("anchor").agg((F.count("*") > crowd).alias("crowded"))
-    listed = differing.join(crowds, "anchor").groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "crowded", "start", "n")).alias("runs"))
-    segments = segment_rows(docs.join(listed, ["did", "th"]), length)
-    return whole.unionByName(index_blocks(segments.where("NOT crowded"), length)).unionByName(crowd_windows(segments.where("crowded"), length))
-
-
-def kept_bytes(docs: DataFrame, length: int = 200, gram: int = 50, crowd: int = 256, digest: bool = False) -> DataFrame:
+    # sums become tables before they meet the rows again: a join of plain exchanges can be split at a hot key
+    seeded = stash(rows.join(stash(shared, "shared"), "anchor"), "seeded")
+    # any occurrence serves as the one of its kind, for equal runs have equal bytes
+    one = [F.first(k).alias(k) for k in ("did", "th", "start", "n", "differ")]
+    kinds = seeded.groupBy("anchor", "run").agg(F.count("*").alias("c"), *one)
+    kinds = stash(kinds.where("c > 1 OR differ"), "kinds")
+    many = kinds.where("c > 1").select("anchor", "run")
+    whole = seeded.join(many, ["anchor", "run"]).select("did", "th", "start", (F.col("n") - 1 + length).alias("size"))
+    differing = kinds.where("differ").select("anchor", "did", "th", "start", "n")
+    crowds = stash(differing.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > crowd).select("anchor", F.lit(True).alias("crowded")), "crowds")
+    dealt = differing.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    listed = dealt.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "crowded", "start", "n")).alias("runs"))
+    segments = stash(segment_rows(docs.join(listed, ["did", "th"]), length), "segments")
+    return whole.unionByName(index_blocks(segments.where("NOT crowded"), length)).unionByName(crowd_repeats(segments.where("crowded"), length, gram))
+
+
+def kept_bytes(docs: DataFrame, length: int = 200, gram: int = 32, crowd: int = 256, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes (kept), or their digest (kept_sha256)."""
     texts = keyed(docs)
     cuts = repeats(texts, length, gram, crowd).groupBy("did", "th").agg(F.collect_list(F.struct("start", "size")).alias("cuts"))
@@ -244,4 +296,4 @@ def kept_bytes(docs: DataFrame, length: int = 200, gram: int = 50, crowd: int =
 
         return step
 
-    return map_batches(texts.join(cuts, ["did", "th"], "left").select("doc_id", "text", "cuts"), make, f"doc_id long, n_bytes long, n_removed long, n_spans long, {name} {kind}")
+    return map_batches(texts.join(cuts, ["did", "th"], "left").select(id_of(), "text", "cuts"), make, f"doc_id long, n_bytes long, n_removed long, n_spans long, {name} {kind}")
