@@ -25,9 +25,10 @@ def per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def distinct_per_row(row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
-    keys = np.sort(mix(hashes + row.astype(U) * U(0x9FB21C651E98DF25)))
-    # a key's row is lost by mixing, so each first of its kind is looked up again
-    order = np.argsort(mix(hashes + row.astype(U) * U(0x9FB21C651E98DF25)), kind="stable")
+    """How many different hashes each row has."""
+    keys = mix(hashes + row.astype(U) * U(0x9FB21C651E98DF25))
+    order = np.argsort(keys)
+    keys = keys[order]
     new = np.ones(len(order), bool)
     new[1:] = keys[1:] != keys[:-1]
     return np.bincount(row[order[new]], minlength=rows)
