@@ -258,3 +258,11 @@ def test_rasters_and_joins(spark):
     assert rows(J.shared_borders(spark.createDataFrame(square("p", 0.0) + square("q", 1.0), "o string, x0 double, y0 double, x1 double, y1 double"), owner="o")) == [("p", "q", 1.0)]
     corners = spark.createDataFrame([("t", i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.5), (0.5, 0.5)])], "key string, i int, x double, y double")
     assert rows(R.tile_error(corners, x="x", y="y")) == [("t", 0.5, 0.125)]
+
+
+def test_page_inventory(spark):
+    from tessellum.functions import text as T
+
+    html = "<html><head><title>A  b</title><style>p{}</style></head><body><p>One <b>two</b></p><script>var x='</p>'</script><ul><li>three</li><li> </li></ul></body></html>"
+    assert spark.range(1).select(T.html_text_inventory(F.lit(html)).alias("t")).first().t == ["A b", "One two", "three"]
+    assert spark.range(1).select(T.title_of(F.lit(html)).alias("t")).first().t == "A  b"
