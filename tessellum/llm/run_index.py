@@ -126,7 +126,7 @@ def run_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
         return step
 
-    return map_batches(texts.select("did", "th", "text"), make, "did long, th int, anchor long, run long, start int, n int")
+    return map_batches(texts.select("did", "th", "text"), make, "did long, th long, anchor long, run long, start int, n int")
 
 
 def segment_rows(listed: DataFrame, length: int) -> DataFrame:
@@ -148,7 +148,7 @@ def segment_rows(listed: DataFrame, length: int) -> DataFrame:
 
         return step
 
-    return map_batches(listed.select("did", "th", "text", "runs"), make, "did long, th int, anchor long, crowded boolean, start int, n int, bytes binary")
+    return map_batches(listed.select("did", "th", "text", "runs"), make, "did long, th long, anchor long, crowded boolean, start int, n int, bytes binary")
 
 
 def index_blocks(segments: DataFrame, length: int) -> DataFrame:
@@ -162,7 +162,7 @@ def index_blocks(segments: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([rows[i][1] for i in seg.tolist()], pa.int64()),
-                pa.array([rows[i][2] for i in seg.tolist()], pa.int32()),
+                pa.array([rows[i][2] for i in seg.tolist()], pa.int64()),
                 pa.array((base[seg] + start).astype(np.int32)),
                 pa.array(size.astype(np.int32)),
             ],
@@ -182,7 +182,7 @@ def index_blocks(segments: DataFrame, length: int) -> DataFrame:
             yield found(held)
 
     dealt = segments.select("anchor", "did", "th", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "did long, th int, start int, size int")
+    return dealt.mapInArrow(run, "did long, th long, start int, size int")
 
 
 def _node_hashes(live: DataFrame, level: int, length: int, gram: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _node_hashes(live: DataFrame, level: int, length: int, gram: int) -> DataFra
 
         return step
 
-    schema = "anchor long, did long, th int, start int, n int, bytes binary, q int, lo int, hi int, before int, core long, span long"
+    schema = "anchor long, did long, th long, start int, n int, bytes binary, q int, lo int, hi int, before int, core long, span long"
     return map_batches(live, make, schema).where("lo < hi")
 
 

@@ -34,7 +34,7 @@ LAST = (1 << 63) - 1
 
 def keyed(docs: DataFrame) -> DataFrame:
     """did (doc_id, with null as the largest), th (a hash of the text) and text; did and th together tell rows apart that share a doc_id."""
-    return texts_of(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.hash("text").alias("th"), "text")
+    return texts_of(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("th"), "text")
 
 
 def id_of(did: str = "did"):
@@ -52,7 +52,7 @@ def run_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
         return step
 
-    return map_batches(texts.select("did", "th", "text"), make, "did long, th int, anchor long, run long, start int, n int")
+    return map_batches(texts.select("did", "th", "text"), make, "did long, th long, anchor long, run long, start int, n int")
 
 
 def window_rows(listed: DataFrame, length: int) -> DataFrame:
@@ -78,7 +78,7 @@ def window_rows(listed: DataFrame, length: int) -> DataFrame:
 
         return step
 
-    return map_batches(listed.select("did", "th", "text", "runs"), make, "did long, th int, anchor long, window long, start int")
+    return map_batches(listed.select("did", "th", "text", "runs"), make, "did long, th long, anchor long, window long, start int")
 
 
 def repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
