@@ -120,7 +120,7 @@ g AS (SELECT *, unnest(generate_series(CAST(ceil(a0 / 24) AS BIGINT), CAST(ceil(
 SELECT user_id, k * 24.0::DOUBLE AS at, round(v0 + (v1 - v0) * (k * 24 - a0) / (a1 - a0), 4) AS value FROM g
 """)
 def resampled(spark, sf_dir):
-    e = events(spark, sf_dir).select("user_id", (F.floor(micros("ts") / 1000).cast("double") / 3600000).alias("a"), F.col("value").alias("v"))
+    e = events(spark, sf_dir).select("user_id", (F.floor((micros("ts") + 500) / 1000).cast("double") / 3600000).alias("a"), F.col("value").alias("v"))  # the nearest millisecond
     return O.resample(e, key="user_id", at="a", value="v", step=24.0).select("user_id", "at", F.round("value", 4).alias("value"))
 
 
