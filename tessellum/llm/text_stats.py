@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from .winnow import cover
-from .words import Spans, U, hash_words, mix, split_words
+from .words import exact_ids, split_words
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -24,14 +24,12 @@ def per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return sums[off[1:]] - sums[off[:-1]]
 
 
-def distinct_per_row(row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
-    """How many different hashes each row has."""
-    keys = mix(hashes + row.astype(U) * U(0x9FB21C651E98DF25))
-    order = np.argsort(keys)
-    keys = keys[order]
-    new = np.ones(len(order), bool)
+def distinct_per_row(row: np.ndarray, ids: np.ndarray, rows: int) -> np.ndarray:
+    """How many different ids each row has."""
+    keys = np.sort(row * (int(ids.max(initial=0)) + 1) + ids)
+    new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    return np.bincount(row[order[new]], minlength=rows)
+    return np.bincount(keys[new] // (int(ids.max(initial=0)) + 1), minlength=rows)
 
 
 class Stats:
@@ -41,14 +39,14 @@ class Stats:
         rows = len(off) - 1
         self.buf, self.off = buf, off
         self.starts, self.ends, self.first = split_words(buf, off)
-        self.words = hash_words(buf, self.starts, self.ends)
+        self.words = exact_ids(buf, self.starts, self.ends)[0]  # equal words alone have equal numbers
         self.n_bytes = np.diff(off)
         self.n_words = np.diff(self.first)
         self.row = np.repeat(np.arange(rows), self.n_words)
-        inside = np.zeros(len(buf) + 1, np.int8)
-        inside[self.starts] += 1
-        np.subtract.at(inside, self.ends, 1)
-        within = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        turn = np.zeros(len(buf) + 1, np.int8)
+        turn[self.starts] = 1
+        turn[self.ends] -= 1
+        within = np.cumsum(turn[:-1], dtype=np.int8).view(bool)
         self.word_chars = per_row(within & ((buf & 0xC0) != 0x80), off)
         self.n_symbols = per_row(SYMBOL[buf], off)
         self.n_dup_lines, self.n_lines = self._lines()
@@ -65,21 +63,20 @@ class Stats:
         held = np.searchsorted(self.starts, end) > np.searchsorted(self.starts, begin)
         begin, end, row = begin[held], end[held], row[held]
         n = np.bincount(row, minlength=rows)
-        return n - distinct_per_row(row, hash_words(self.buf, begin, end), rows), n
+        return n - distinct_per_row(row, exact_ids(self.buf, begin, end)[0], rows), n
 
     def _repeats(self, size: int) -> np.ndarray:
         n = len(self.words) - size + 1
         if n <= 0:
             return np.zeros(len(self.off) - 1, np.int64)
+        # numbers of longer and longer sequences, each made of two overlapping ones of one word less: exact at every length
+        base = int(self.words.max()) + 1
         whole = np.flatnonzero(self.row[size - 1 :] == self.row[:n])
-        key = mix(Spans(self.words).all(size)[whole] + self.row[whole].astype(U) * U(0x9FB21C651E98DF25))
-        order = np.argsort(key)
-        sorted_key = key[order]
-        same = sorted_key[1:] == sorted_key[:-1]
-        twice = np.zeros(len(whole), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
-        at = whole[twice]
+        key = self.row[whole] * base + self.words[whole]
+        for j in range(1, size):
+            key = np.unique(key, return_inverse=True)[1] * base + self.words[whole + j]
+        _, key, count = np.unique(key, return_inverse=True, return_counts=True)
+        at = whole[count[key] > 1]
         return per_row(cover(len(self.words), at, at + size), self.first)
 
     @property

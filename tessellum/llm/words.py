@@ -1,8 +1,8 @@
 """Texts of a batch as flat arrays: words, and 64-bit hashes of words and of spans by prefix sums.
 
 A word is a run of bytes other than space and U+0009 to U+000D, so UTF-8 bytes serve as well as characters.
-A span's hash is the sum of its elements' values times powers of an odd base, modulo 2**64, then mixed;
-prefix sums give any span in constant time.
+A word's hash is its XXH64. A span's hash is made of two sums of its elements' values times powers of a base,
+modulo the prime 2**31 - 1, each with its own base; prefix sums give any span in constant time.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ import xxhash
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes hashed at once; words beyond LONG bytes are hashed one by one.
-STEP, LONG = 1 << 20, 1 << 16
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+PRIME = U((1 << 31) - 1)
+#: Bases of the two sums and their inverses.
+_BASES = (0x2545F491, 0x5851F42D)
+_INVERSES = tuple(pow(b, -1, int(PRIME)) for b in _BASES)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,36 +33,46 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: A value for each byte.
 BYTE_VALUE = mix((np.arange(1, 257, dtype=U)) * U(0xD1B54A32D192ED03))
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+_powers: list[list[np.ndarray]] = [[np.ones(1, U), np.ones(1, U)], [np.ones(1, U), np.ones(1, U)]]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        m = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(m, base, U)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
+def powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the lane's base and of its inverse."""
+    for k, base in enumerate((_BASES[lane], _INVERSES[lane])):
+        x = _powers[lane][k]
+        while len(x) < n:
+            x = np.concatenate([x, x * U(pow(base, len(x), int(PRIME))) % PRIME])
+        _powers[lane][k] = x
+    up, down = _powers[lane]
+    return up[:n], down[:n]
 
 
 class Spans:
-    """Hashes of spans of one sequence of 64-bit values."""
+    """62-bit hashes of spans of one sequence of 64-bit values; sums stay below 2**63 for up to 2**32 values."""
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        up, self.down = powers(n + 1)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(values * up[:n], out=self.sums[1:])
+        self.sums, self.down = [], []
+        for lane, part in enumerate((values, values >> U(32))):
+            up, down = powers(lane, n + 1)
+            sums = np.zeros(n + 1, U)
+            np.cumsum(part % PRIME * up[:n] % PRIME, out=sums[1:])
+            self.sums.append(sums)
+            self.down.append(down)
+
+    @staticmethod
+    def _joined(lanes: list[np.ndarray]) -> np.ndarray:
+        return (lanes[0] << U(31)) | lanes[1]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        return self._joined([(sums[end] - sums[start]) % PRIME * down[start] % PRIME for sums, down in zip(self.sums, self.down, strict=True)])
 
     def all(self, length: int) -> np.ndarray:
         """Of every span of that length."""
-        n = len(self.sums) - length
-        return (self.sums[length:] - self.sums[:n]) * self.down[:n] if n > 0 else np.zeros(0, U)
+        n = len(self.sums[0]) - length
+        if n <= 0:
+            return np.zeros(0, U)
+        return self._joined([(sums[length:] - sums[:n]) % PRIME * down[:n] % PRIME for sums, down in zip(self.sums, self.down, strict=True)])
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,20 +103,26 @@ def split_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
+def exact_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each piece of the bytes, equal for equal pieces alone, and the different pieces by number. Pieces are not empty and don't overlap."""
+    size = ends - starts
+    edges = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(size, out=edges[1:])
+    turn = np.zeros(len(buf) + 1, np.int8)
+    turn[starts] = 1
+    turn[ends] -= 1
+    letters = buf[np.cumsum(turn[:-1], dtype=np.int8).view(bool)]
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(letters))])
+    coded = pieces.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
 def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = np.empty(len(starts), U)
-    lo = 0
-    while lo < len(starts):
-        s0 = int(starts[lo])
-        hi = max(lo + 1, int(np.searchsorted(starts, s0 + STEP)))
-        e0 = min(int(ends[hi - 1]), s0 + STEP + LONG)
-        a = starts[lo:hi] - s0
-        out[lo:hi] = Spans(BYTE_VALUE[buf[s0:e0]]).of(a, np.minimum(ends[lo:hi] - s0, e0 - s0))
-        lo = hi
-    out = mix(out + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
-    for i in np.flatnonzero(ends - starts > LONG):
-        out[i] = xxhash.xxh64_intdigest(buf[starts[i] : ends[i]].tobytes())
-    return out
+    """XXH64 of each word; a batch's different words are hashed once."""
+    if not len(starts):
+        return np.zeros(0, U)
+    ids, different = exact_ids(buf, starts, ends)
+    return np.array([xxhash.xxh64_intdigest(x) for x in different.to_pylist()], U)[ids]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
