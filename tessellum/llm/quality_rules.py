@@ -1,12 +1,12 @@
 """Quality rules: counts with fixed limits, then a hashed n-gram log-likelihood ratio.
 
 Byte n-grams are hashed into ``2 ** bits`` buckets. Two multinomials over the buckets are counted: one of the whole
-raw corpus, every text, and one of trusted texts, which are the rows labelled 1, at most ``most_trusted`` of them,
-those of least hash of the doc_id. A text's verdict is its mean log ratio per n-gram against one fixed
+raw corpus, every text, and one of trusted texts, which are all rows labelled 1. A text's verdict is its mean log ratio per n-gram against one fixed
 threshold. The table holds whole numbers (``UNIT`` to one nat), so sums don't depend on their order and every text
 is judged alike on every run.
 
-What comes to the driver is one row a bucket, whatever the corpus.
+What comes to the driver is one row a bucket, whatever the corpus. The labels are broadcast only if Spark's size
+limit allows; else texts and labels are shuffled by doc_id once.
 
 Defined results: a null or empty text has no words and fails the base rules; a text too short for an n-gram has
 ratio 0; without a trusted text all ratios are 0; repeated rows are judged each; a null doc_id stays null.
@@ -25,7 +25,6 @@ from .words import U, flat
 
 GRAM, BITS, UNIT = 4, 16, 1 << 12
 STEP = 1 << 20
-MOST_TRUSTED = 20_000
 #: Mean log ratio (nats an n-gram) below which a text is dropped.
 THRESHOLD = -0.7
 
@@ -60,11 +59,10 @@ def counts(marked: DataFrame) -> DataFrame:
     return part.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
 
 
-def ratios(docs: DataFrame, labels: DataFrame, label: str = "quality", most_trusted: int = MOST_TRUSTED) -> np.ndarray:
+def ratios(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
     """Log ratio of each bucket in units of 1 / UNIT nat."""
     good = labels.groupBy("doc_id").agg(F.min(label).alias("y")).where("y = 1 AND doc_id IS NOT NULL")
-    chosen = good.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most_trusted).select("doc_id", F.lit(True).alias("trusted"))
-    marked = texts_of(docs).join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    marked = texts_of(docs).join(good.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     raw, trusted = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for r in counts(marked).collect():
         raw[r.bucket], trusted[r.bucket] = r.raw, r.trusted
@@ -86,9 +84,9 @@ def mean_ratio(table: np.ndarray, buf: np.ndarray, off: np.ndarray) -> tuple[np.
     return total, n
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, most_trusted: int = MOST_TRUSTED) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_ratio."""
-    table = ratios(docs, labels, most_trusted=most_trusted)
+    table = ratios(docs, labels)
 
     def make():
         def step(batch):
