@@ -1,16 +1,21 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context windows.
 
-Lexicon. From a bounded sample of labelled texts: words, and stems that many words begin with, whose
-presence raises the odds of the label by ``ODDS`` or more. Matching. The automata that accept all strings
+Lexicon. From a bounded sample of labelled texts: words, and stems that many words begin with, which
+texts of the label have ``ODDS`` times as often as others, or more. Matching. The automata that accept all strings
 within a term's edit budget are intersected with the trie of all terms; the product is made deterministic
 as words are met, so a word costs a table step per letter and mostly dies after a few. Context. A hit
 counts as quoted if quotation marks enclose it nearby, or a word of reporting or mention stands in the
-window before it; else as abuse. Score. Logistic regression over abuse and quoted hits, exact and
-misspelled, fitted on the same sample.
+window before it; else as abuse. Score. Logistic regression over abuse and quoted hits, fitted on the same
+sample. A hit counts as much as its term is worth, by the log of how many times oftener toxic texts have it. A misspelled hit counts
+as ``CREDIT`` of the exact one, so its weight doesn't depend on whether the sample has such a spelling; only
+terms whose misspellings stand in clean texts of the sample get less (``credits``).
+
+Limits: words of fewer than 5 letters and stems of fewer than 6 must stand unchanged.
 
 Labels are used from at most ``most_labels`` texts of each label, those of least hash of the doc_id, and never
-from the held-out fold. Defined results: a null or empty text has no hits and is scored so; if a label has
-no row in the sample, every score is 0; repeated rows are scored each; a null doc_id isn't held out.
+from the held-out fold. Copies in the sample count once (``unlike``). Defined results: a null or empty text has no hits and is scored so; if a label has
+no row in the sample, every score is 0; repeated rows are scored each; a null doc_id isn't held out;
+an empty table gives no rows; very long texts are scanned whole; other columns are ignored or kept as they are.
 """
 
 from __future__ import annotations
@@ -30,9 +35,13 @@ from .batches import bounded_batches, map_batches, pieces, texts_of
 from .quality_rank import in_fold, sample_of
 
 MOST_LABELS = 3000
-#: A term's least odds ratio, least number of toxic texts, and that number's least share of them.
+#: How many times oftener a term must stand in toxic texts than in clean ones, its least number of toxic texts, and that number's least share of them.
 ODDS, SUPPORT, SHARE = 15.0, 3, 0.01
 STEM_SIZES = (4, 5, 6, 7, 8)
+#: That ratio for a term of full worth; and occurrences in one text beyond this number don't count for it.
+SURE, MOST_IN_TEXT = 1000.0, 4
+#: What a misspelled hit counts, of an exact one, and how many texts that belief is worth against counted ones.
+CREDIT, BELIEF = 0.9, 2.0
 TOKEN = re.compile(r"[^\W_]+(?:[@$*0-9]+[^\W_]+)*")
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’", "”": "”", "»": "«"}
 # Words of reporting or mention, in the corpus's languages.
@@ -40,7 +49,7 @@ MENTION = frozenset(
     "said says say quote quoted quotes called calls wrote writes term word words slur phrase insult reported alleged "
     "dit disait cite mot terme appelle sagte sagt schrieb zitiert wort begriff dijo dice cita palabra término llamó".split()
 )
-REACH, BEFORE = 60, 6
+REACH, BEFORE, DENSE = 60, 6, 200
 
 
 def budget(term: str) -> int:
@@ -48,6 +57,11 @@ def budget(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def stem_budget(stem: str) -> int:
+    """Edits allowed in a stem, which any ending may follow, so fewer than in a word."""
+    return 0 if len(stem) < 6 else 1
+
+
 class _Node:
     __slots__ = ("next", "term", "stem", "most")
 
@@ -80,13 +94,14 @@ class _State(dict):
 
 
 class Lexicon:
-    """Terms matched as whole words within their budget, and stems matched exactly at a word's beginning."""
+    """Terms matched as whole words, and stems matched at a word's beginning, both within their budgets."""
 
-    def __init__(self, terms: list[str], stems: list[str], innocent: frozenset[str] = frozenset(), keep: int = 250_000, keep_states: int = 60_000):
+    def __init__(self, terms: list[str], stems: list[str], innocent: frozenset[str] = frozenset(), worth: list[float] | None = None, credit: list[float] | None = None, keep: int = 250_000, keep_states: int = 60_000):
         self.terms, self.innocent, self.keep, self.keep_states = [*terms, *stems], innocent, keep, keep_states
+        self.worth, self.credit = (x or [1.0] * len(self.terms) for x in (worth, credit))
         self.root = _Node()
         for i, (word, stem) in enumerate([*((t, False) for t in terms), *((s, True) for s in stems)]):
-            node, most = self.root, 0 if stem else budget(word)
+            node, most = self.root, (stem_budget if stem else budget)(word)
             node.most = max(node.most, most)
             for x in word:
                 node = node.next.setdefault(x, _Node())
@@ -119,7 +134,8 @@ class Lexicon:
             got.nodes, got.machine = tuple(least.items()), self
             ends = [(spent, node.term) for node, spent in least.items() if node.term is not None and spent <= budget(self.terms[node.term])]
             got.found = min(ends, default=None)
-            got.stem = next((node.stem for node, spent in least.items() if spent == 0 and node.stem is not None), None)
+            starts = [(spent, node.stem) for node, spent in least.items() if node.stem is not None and spent <= stem_budget(self.terms[node.stem])]
+            got.stem = min(starts, default=None)
         return got
 
     def match(self, word: str) -> tuple[int, int] | None:
@@ -128,14 +144,16 @@ class Lexicon:
             return None
         if len(self.states) > self.keep_states:
             self._empty()
-        state = self.start
+        state, best = self.start, None
         for letter in word:
             state = state[letter]
-            if state.stem is not None:
-                return (0, state.stem)
+            if state.stem is not None and (best is None or state.stem < best):
+                best = state.stem
+                if not best[0]:
+                    return best
             if not state.nodes:
-                return None
-        return state.found
+                return best
+        return best if state.found is None else state.found if best is None else min(best, state.found)
 
 
 class _Known(dict):
@@ -162,58 +180,87 @@ def quoted(text: str, start: int, end: int) -> bool:
 
 
 def features(lexicon: Lexicon, text: str) -> list[float]:
-    """1; presence and log count of abuse, of quoted hits, of misspelled abuse, of misspelled quoted hits."""
+    """1; greatest and log of the summed value of abuse, of quoted hits, of misspelled abuse, of misspelled quoted hits.
+
+    In texts of more than DENSE words the sum is that of an average stretch of DENSE words, since long texts meet more terms by chance.
+    """
     low = text.lower()
     known = lexicon.known
-    if not any(map(known.__getitem__, TOKEN.findall(low))):
+    words = TOKEN.findall(low)
+    if not any(map(known.__getitem__, words)):
         return [1.0, *[0.0] * 8]
-    n = [0, 0, 0, 0]
+    stretches = max(1.0, len(words) / DENSE)
+    best, total = [0.0] * 4, [0.0] * 4
     for m in TOKEN.finditer(low):
         hit = known[m[0]]
         if hit:
-            n[2 * (hit[0] > 0) + quoted(low, m.start(), m.end())] += 1
-    return [1.0, *(x for k in n for x in (float(k > 0), min(2.0, float(np.log1p(k)))))]
+            edits, term = hit
+            k, value = 2 * (edits > 0) + quoted(low, m.start(), m.end()), lexicon.worth[term] * (lexicon.credit[term] if edits else 1.0)
+            best[k] = max(best[k], value)
+            total[k] += value
+    return [1.0, *(x for b, t in zip(best, total, strict=True) for x in (b, min(2.0, math.log1p(t / stretches))))]
 
 
 def unlike(texts: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The texts without near copies: of those whose two longer words of least checksum agree, the first."""
+    """The sample without copies, so that a text that stands in it many times teaches no more than once.
+
+    A text goes if an earlier one of its label has the same four longer words of least checksum, or the same four of least
+    checksum read backwards; both sketches of one-word changes rarely fail at once, and unlike texts rarely share four.
+    Texts with fewer than eight longer words go only if they have the same set of words.
+    """
     seen, out = set(), []
     for t, y in texts:
-        sums = sorted(crc32(w.encode()) for w in set(TOKEN.findall(t.lower())) if len(w) > 4)[:2]
-        key = (tuple(sums), y)
-        if len(sums) < 2 or key not in seen:
-            seen.add(key)
+        words = set(TOKEN.findall(t.lower()))
+        long_ = [w for w in words if len(w) > 4]
+        if len(long_) < 8:
+            keys = [(y, frozenset(words))]
+        else:
+            keys = [(y, k, *sorted(crc32(w[::k].encode()) for w in long_)[:4]) for k in (1, -1)]
+        if seen.isdisjoint(keys):
             out.append((t, y))
+        seen.update(keys)
     return out
 
 
-def learn_terms(texts: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
-    """Words and stems that mark the texts of label 1, beyond what chance gives among so many candidates."""
+def learn_terms(texts: list[tuple[str, int]]) -> tuple[list[str], list[str], list[float]]:
+    """Words and stems that mark the texts of label 1, beyond what chance gives among so many candidates, and what each is worth."""
 
-    def parts(text: str) -> set[str]:
-        words = set(TOKEN.findall(text.lower()))
-        return words | {w[:k] + "-" for k in STEM_SIZES for w in words if len(w) > k}
+    def parts(text: str) -> Counter:
+        found: Counter = Counter()
+        for w, n in Counter(TOKEN.findall(text.lower())).items():
+            found[w] += n
+            for k in STEM_SIZES:
+                if len(w) > k:
+                    found[w[:k] + "-"] += n
+        return found
 
-    toxic = [t for t, y in texts if y]
+    toxic = [parts(t) for t, y in texts if y]
     clean = [t for t, y in texts if not y]
     if not toxic or not clean:
-        return [], []
-    hits: Counter = Counter()
-    for t in toxic:
-        hits.update(parts(t))
+        return [], [], []
+    hits: Counter = Counter()  # texts
+    for p in toxic:
+        hits.update(p.keys())
     hits = Counter({k: v for k, v in hits.items() if v >= max(SUPPORT, SHARE * len(toxic))})
-    misses: Counter = Counter()
+    often, misses, seldom = Counter(), Counter(), Counter()  # occurrences, and both for clean texts
+    for p in toxic:
+        often.update({k: min(n, MOST_IN_TEXT) for k, n in p.items() if k in hits})
     for t in clean:
-        misses.update(hits.keys() & parts(t))
+        p = parts(t)
+        both = hits.keys() & p.keys()
+        misses.update(both)
+        seldom.update({k: min(p[k], MOST_IN_TEXT) for k in both})
     base = len(toxic) / len(texts)
     chance = math.log(10 * max(1, len(hits)))
 
+    def odds(k: str) -> float:
+        return (often[k] + 0.5) / len(toxic) / ((seldom[k] + 0.5) / len(clean))
+
     def marks(k: str) -> bool:
         v, m = hits[k], misses[k]
-        odds = (v + 0.5) / (len(toxic) - v + 0.5) / ((m + 0.5) / (len(clean) - m + 0.5))
         share = v / (v + m)
         gain = share * math.log(share / base) + (1 - share) * math.log(max(1e-9, 1 - share) / (1 - base))
-        return odds >= ODDS and (v + m) * gain >= chance
+        return odds(k) >= ODDS and (v + m) * gain >= chance
 
     good = {k for k in hits if marks(k)}
     stems: list[str] = []
@@ -226,7 +273,7 @@ def learn_terms(texts: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
             stems.append(max(longer, key=len, default=k)[:-1])
     stems = sorted(set(stems))
     words = sorted(w for w in good if w[-1] != "-" and not any(w.startswith(s) for s in stems))
-    return words, stems
+    return words, stems, [min(1.0, math.log(odds(k)) / math.log(SURE)) for k in (*words, *(s + "-" for s in stems))]
 
 
 def innocent(lexicon: Lexicon, texts: list[str]) -> frozenset[str]:
@@ -247,24 +294,43 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 3, fold: int = 1, most_labels: int = MOST_LABELS) -> tuple[list[str], list[str], frozenset[str], np.ndarray] | None:
+def credits(lexicon: Lexicon, texts: list[tuple[str, int]]) -> list[float]:
+    """For each term, how much more often its misspellings stand in toxic texts than in clean ones, smoothed towards 1."""
+    share = [max(1, sum(y == label for _, y in texts)) for label in (0, 1)]
+    seen = [Counter(), Counter()]
+    for t, y in texts:
+        seen[y].update({hit[1] for w in set(TOKEN.findall(t.lower())) if (hit := lexicon.known[w]) and hit[0]})
+    clean = [seen[0][i] * share[1] / share[0] for i in range(len(lexicon.terms))]
+    return [(BELIEF + seen[1][i]) / (BELIEF + seen[1][i] + c * share[0] / share[1] / 2 + c) for i, c in enumerate(clean)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 3, fold: int = 1, most_labels: int = MOST_LABELS) -> tuple[tuple, np.ndarray] | None:
     rows = sample_of(docs, labels, label, folds, fold, most_labels).collect()
     rows.sort(key=lambda r: (crc32(str(r.doc_id).encode()), r.doc_id or 0, r.text))
     return learn([(r.text, r.y) for r in rows])
 
 
-def learn(texts: list[tuple[str, int]]) -> tuple[list[str], list[str], frozenset[str], np.ndarray] | None:
-    """(words, stems, innocent words, weights); innocent words come from one half of the clean texts, the weights from the rest."""
+def learn(texts: list[tuple[str, int]]) -> tuple[tuple, np.ndarray] | None:
+    """(what the lexicon is made of, weights); innocent words come from one half of the clean texts, credits and weights from the rest."""
     texts = unlike(texts)
     if {y for _, y in texts} != {0, 1}:
         return None
-    words, stems = learn_terms(texts)
+    words, stems, worth = learn_terms(texts)
     clean = [t for t, y in texts if not y]
     spared = frozenset(clean[::2])
-    lexicon = Lexicon(words, stems, innocent(Lexicon(words, stems), clean[::2]))
+    spare = innocent(Lexicon(words, stems), clean[::2])
     rest = [(t, y) for t, y in texts if y or t not in spared]
+    made_of = (words, stems, spare, worth, credits(Lexicon(words, stems, spare), rest))
+    lexicon = Lexicon(*made_of)
     x, y = np.array([features(lexicon, t) for t, _ in rest]), np.array([float(y) for _, y in rest])
-    return words, stems, lexicon.innocent, fit_weights(x, y)
+    return made_of, fit_weights(tied(x), y)
+
+
+def tied(x: np.ndarray) -> np.ndarray:
+    """``features`` with misspelled hits as CREDIT of exact ones: 1; greatest and log of the summed value of abuse, and of quoted hits."""
+    greatest = np.maximum(x[:, [1, 3]], CREDIT * x[:, [5, 7]])
+    summed = np.log1p(np.expm1(x[:, [2, 4]]) + CREDIT * np.expm1(x[:, [6, 8]]))
+    return np.column_stack([x[:, 0], greatest[:, 0], summed[:, 0], greatest[:, 1], summed[:, 1]])
 
 
 def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1, threshold: float = 0.7, most_labels: int = MOST_LABELS) -> DataFrame:
@@ -292,10 +358,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: i
 def _scorer(model):
     if model is None:
         return lambda batch: {"doc_id": batch.column("doc_id"), "score": [0.0] * batch.num_rows}
-    lexicon, w = Lexicon(*model[:3]), model[3]
+    lexicon, w = Lexicon(*model[0]), model[1]
 
     def step(batch):
-        x = np.array([features(lexicon, t) for t in batch.column("text").to_pylist()])
-        return {"doc_id": batch.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))}
+        x = np.array([features(lexicon, t) for t in batch.column("text").to_pylist()]).reshape(-1, 9)
+        return {"doc_id": batch.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(tied(x) @ w, -40, 40)))}
 
     return step
