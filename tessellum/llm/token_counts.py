@@ -2,20 +2,27 @@
 
 For each pretoken the table holds, at every prefix, the last token of that prefix's encoding and
 the number of tokens. Both follow from shorter prefixes (see ``bpe.PairTest``), so the counts of all
-prefixes cost one pass, and truncation or budget questions are answered from the table without
-encoding again.
+prefixes cost one pass. A text's table (``prefix_table``) holds the change of the count at every
+character; counts, truncation points and budgets are read off it (``budgets``) without encoding again.
+
+Characters are those of the normalised text: composed, lower case, special strings as they stand. Inside a
+special string the prefix ends in ordinary characters, and is counted so.
 
 Defined results: a null or empty text has 0 tokens; texts of white space only have 0; repeated rows
-are counted each; a null ``doc_id`` stays null; other columns are ignored.
+are counted each; a null ``doc_id`` stays null; an empty table gives no rows; a very long text takes four bytes a
+character while it is counted; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from bisect import bisect_right
+from array import array
 from functools import lru_cache
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -32,6 +39,12 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(256 + next(rest)) for b in range(256)]
 
 
+class _Prefix(dict):
+    """A node of the trie of prefixes met lately."""
+
+    __slots__ = ("row",)
+
+
 class PrefixCounter:
     """Prefix counts for a tokenizer file of the kind BPE with word ends (lower case, white space dropped)."""
 
@@ -43,17 +56,17 @@ class PrefixCounter:
         ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         vocab = model["vocab"]
         self.inner = {t for t in vocab if not t.endswith(END)}
-        self.final = {t for t in vocab if t.endswith(END)}
-        self.longest = max(map(len, self.inner))
-        self.longest_final = max(map(len, self.final)) - len(END)
+        self.final = {t.removesuffix(END) for t in vocab if t.endswith(END)}
+        self.longest = max(map(len, self.inner | self.final))
         self.bytes = byte_alphabet()
         self.stands = PairTest(self._units, lambda a, b: ranks.get((a, b)))
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}"))
+        self.spaced = regex.compile(rf"\p{{White_Space}}*+(?:{self.pieces.pattern})")
         self.keep = keep
-        self.known: dict[str, int] = _Missing(self)
-        self.prefixes: dict[str, tuple[str, int]] = {}
+        self.known: dict[str, bytes] = _Missing(self)
+        self.prefixes, self.held = _Prefix(), 0
 
     @staticmethod
     def _units(token: str) -> list[str]:
@@ -68,93 +81,114 @@ class PrefixCounter:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def table(self, piece: str, all_prefixes: bool = True) -> list[int]:
-        """Tokens of each prefix of one pretoken, by characters, entry 0 being 0; or of the whole alone.
+    def table(self, piece: str) -> list[int]:
+        """Change of the count at each character of one pretoken.
 
-        Tables of the inner tokens are kept by prefix, since many pretokens begin alike.
+        Rows are kept in a trie, since many pretokens begin alike.
         """
-        s = "".join(self.bytes[b] for b in piece.encode())
-        inner, final, stands, seen = self.inner, self.final, self.stands, self.prefixes
-        n = len(s)
-        if all_prefixes:
-            ends, at = set(), 0
-            for ch in piece:
-                at += len(ch.encode())
-                ends.add(at)
-        else:
-            ends = {n}
-        rows: list[tuple[str | None, int]] = [(None, 0)]
-        out = [0]
-        for i in range(1, n + 1):
-            if i in ends:
-                for j in range(max(0, i - self.longest_final), i):
-                    t = s[j:i] + END
-                    if t in final and stands(rows[j][0], t):
-                        out.append(rows[j][1] + 1)
-                        break
-            if i == n:
-                break
-            row = seen.get(s[:i]) if i < 40 else None
-            if row is None:
-                for j in range(max(0, i - self.longest), i):
-                    t = s[j:i]
-                    if t in inner and stands(rows[j][0], t):
-                        row = (t, rows[j][1] + 1)
-                        break
-                if i < 40:
-                    if len(seen) >= self.keep:
-                        seen.clear()
-                    seen[s[:i]] = row
+        raw = piece.encode()
+        node, rows, out, before = self.prefixes, [(None, 0, 0)], [], 0
+        if self.held >= self.keep:
+            self.prefixes, self.held = _Prefix(), 0
+            node = self.prefixes
+        s = "".join(map(self.bytes.__getitem__, raw))
+        for i, letter in enumerate(s, 1):
+            if node is not None:
+                onward = node.get(letter)
+                if onward is None:
+                    row = self._row(rows, s, i, i == len(s) or raw[i] & 0xC0 != 0x80)
+                    if i < 40:
+                        onward = node[letter] = _Prefix()
+                        onward.row = row
+                        self.held += 1
+                else:
+                    row = onward.row
+                node = onward
+            else:
+                row = self._row(rows, s, i, i == len(s) or raw[i] & 0xC0 != 0x80)
             rows.append(row)
+            if row[2] is not None:
+                out.append(row[2] - before)
+                before = row[2]
         return out
 
+    def _row(self, rows: list[tuple], s: str, i: int, ends: bool) -> tuple[str | None, int | None, int | None]:
+        """Last token and count of the first i bytes if more follow, and their count as a whole word if a character ends there."""
+        inner, final, stands = self.inner, self.final, self.stands
+        last = n = whole = None
+        for j in range(max(0, i - self.longest), i):
+            t = s[j:i]
+            if last is None and t in inner and stands(rows[j][0], t):
+                last, n = t, rows[j][1] + 1
+                if whole is not None or not ends:
+                    break
+            if ends and whole is None and t in final and stands(rows[j][0], t + END):
+                whole = rows[j][1] + 1
+                if last is not None:
+                    break
+        return last, n, whole
+
     def of_piece(self, piece: str) -> int:
-        return self.table(piece, all_prefixes=False)[-1]
+        return sum(self.table(piece))
+
+    def piece_steps(self, piece: str) -> list[int]:
+        """``table``, but for pretokens whose prefixes are split otherwise than the whole."""
+        if piece[0] == "'" and len(piece) > 1:
+            counts = [0, *(sum(self.of_piece(x) for x in self.pieces.findall(piece[:k])) for k in range(1, len(piece) + 1))]
+            return [b - a for a, b in pairwise(counts)]
+        return self.table(piece)
+
+    def _plain(self, text: str) -> np.ndarray:
+        """Changes of the count at each character of a normalised text without special strings."""
+        found = self.spaced.findall(text)
+        steps = np.frombuffer(b"".join(map(self.known.__getitem__, found)), np.int32)
+        rest = len(text) - len(steps)
+        return np.concatenate([steps, np.zeros(rest, np.int32)]) if rest else steps
+
+    def steps(self, text: str) -> np.ndarray:
+        """Entry i: by how much character i of the normalised text changes the count."""
+        if "<|" not in text:
+            return self._plain(self.normal(text))
+        parts, at = [], 0
+        for m in self.special.finditer(text):
+            before = self.normal(text[at : m.start()])
+            ahead = self._plain(before + m[0][:-1])
+            parts += [ahead, np.array([self._plain(before).sum() + 1 - ahead.sum()], np.int32)]
+            at = m.end()
+        return np.concatenate([*parts, self._plain(self.normal(text[at:]))])
 
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if "<|" in text and (marks := self.special.findall(text)):
-            return len(marks) + sum(self.count(x) for x in self.special.split(text))
-        return sum(map(self.known.__getitem__, self.pieces.findall(self.normal(text))))
+        return int(self.steps(text).sum())
 
     def prefix_counts(self, text: str) -> list[int]:
-        """Entry i: tokens of the first i characters of the normalised text (special strings are not looked for)."""
-        text = self.normal(text)
-        out, total, at = [0], 0, 0
-        for m in self.pieces.finditer(text):
-            out += [total] * (m.start() - at)
-            piece = m[0]
-            if piece[0] == "'" and len(piece) > 1:  # its prefixes are split otherwise than the whole
-                rows = [0, *(sum(self.of_piece(x) for x in self.pieces.findall(piece[:k])) for k in range(1, len(piece) + 1))]
-            else:
-                rows = self.table(piece)
-            out += [total + c for c in rows[1:]]
-            total, at = total + rows[-1], m.end()
-        return out + [total] * (len(text) - at)
+        """Entry i: tokens of the first i characters of the normalised text."""
+        return [0, *np.cumsum(self.steps(text)).tolist()]
 
     def fits(self, text: str, budget: int) -> int:
-        """The most characters of the normalised text for which that prefix and all shorter ones have at most ``budget`` tokens."""
-        high, tops = 0, []
-        for c in self.prefix_counts(text):
-            high = max(high, c)
-            tops.append(high)
-        return bisect_right(tops, budget) - 1
+        return fit(self.steps(text), budget)
+
+
+def fit(steps: np.ndarray, budget: int) -> int:
+    """The most characters for which that prefix and all shorter ones have at most ``budget`` tokens."""
+    if not len(steps):
+        return 0
+    return int(np.searchsorted(np.maximum.accumulate(np.cumsum(steps)), budget, "right"))
 
 
 class _Missing(dict):
-    """Pretokens met lately: when the table is full it becomes the older half, whose entries return when used."""
+    """Tables of pretokens met lately, with the white space before them: when the table is full it becomes the older half, whose entries return when used."""
 
     def __init__(self, counter: PrefixCounter):
         self.counter, self.older = counter, {}
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.counter.keep:
             self.older = dict(self)
             self.clear()
         got = self.older.get(piece)
         if got is None:
-            got = self.counter.of_piece(piece)
+            bare = piece.lstrip()
+            got = array("i", [0] * (len(piece) - len(bare)) + self.counter.piece_steps(bare)).tobytes()
         self[piece] = got
         return got
 
@@ -166,26 +200,62 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every whole text; a map without a shuffle."""
+    """doc_id, n_bytes, n_tokens, over_limit and n_chars_fit (``fit`` for the limit) of every whole text, read off its
+    table of prefixes where that is made; a map without a shuffle."""
 
     def make():
         c = counter(vocabulary)
 
         def step(batch):
             texts = batch.column("text").to_pylist()
-            n = [c.count(x) for x in texts]
-            return {"doc_id": batch.column("doc_id"), "n_bytes": [len(x.encode()) for x in texts], "n_tokens": n, "over_limit": [k > limit for k in n]}
+            n, chars = [], []
+            for x in texts:
+                steps = c.steps(x)
+                n.append(int(steps.sum()))
+                chars.append(fit(steps, limit))
+            return {"doc_id": batch.column("doc_id"), "n_bytes": [len(x.encode()) for x in texts], "n_tokens": n, "over_limit": [k > limit for k in n], "n_chars_fit": chars}
 
         return step
 
-    return map_batches(texts_of(docs), make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(texts_of(docs), make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chars_fit long")
 
 
-def within_budget(docs: DataFrame, vocabulary: str, budget: int) -> DataFrame:
-    """doc_id, n_chars_fit: how much of the normalised text stays within ``budget`` tokens."""
+def prefix_table(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, steps: the change of the count at every character, to be stored and asked later."""
 
     def make():
         c = counter(vocabulary)
-        return lambda batch: {"doc_id": batch.column("doc_id"), "n_chars_fit": [c.fits(x, budget) for x in batch.column("text").to_pylist()]}
 
-    return map_batches(texts_of(docs), make, "doc_id long, n_chars_fit long")
+        def step(batch):
+            texts = batch.column("text").to_pylist()
+            steps = [c.steps(x) for x in texts]
+            return {"doc_id": batch.column("doc_id"), "n_bytes": [len(x.encode()) for x in texts], "n_tokens": [int(x.sum()) for x in steps], "steps": steps}
+
+        return step
+
+    return map_batches(texts_of(docs), make, "doc_id long, n_bytes long, n_tokens long, steps array<int>")
+
+
+def budgets(table: DataFrame, limits: list[int]) -> DataFrame:
+    """doc_id, budget, n_chars_fit, cut for each row of a stored ``prefix_table`` and each limit; cut: whether the text is longer than that."""
+
+    def make():
+        def step(batch):
+            rows, n, chars, cut = [], [], [], []
+            for i, listed in enumerate(batch.column("steps")):
+                steps = np.asarray(listed.values, np.int32)
+                for limit in limits:
+                    rows.append(i)
+                    n.append(limit)
+                    chars.append(fit(steps, limit))
+                    cut.append(chars[-1] < len(steps))
+            return {"doc_id": batch.column("doc_id").take(pa.array(rows)), "budget": n, "n_chars_fit": chars, "cut": cut}
+
+        return step
+
+    return map_batches(table.select("doc_id", "steps"), make, "doc_id long, budget long, n_chars_fit long, cut boolean")
+
+
+def within_budget(docs: DataFrame, vocabulary: str, budget: int) -> DataFrame:
+    """doc_id, n_chars_fit: how much of the normalised text stays within ``budget`` tokens."""
+    return budgets(prefix_table(docs, vocabulary), [budget]).select("doc_id", "n_chars_fit")
