@@ -5,11 +5,13 @@ by the shingles of least hash: of n shingles, a text that contains at least t *
 n - ceil(t * n), so it has one of the n - ceil(t * n) + 1 least ones; each partition takes that number for
 its upper bound. A sketch of a long document would not show a short item, so documents are not sketched:
 all their shingles meet the sketches, and documents with too few shingles for a partition are left out.
-Candidates are verified by exact containment, shingle by shingle as text, in the same pass.
+Only the documents that meet a sketch are read again: for these candidates containment is counted
+exactly, shingle by shingle as text, against the items whose sketch they met.
 
 Defined results: words are lower-cased runs of characters other than space and U+0009 to U+000D; items and
-texts of fewer words than a shingle have none, and so no pair. Shingles count once per item. Repeated rows
-give one pair; a null doc_id or item_id is kept as such; other columns are ignored.
+texts of fewer words than a shingle have none, and so no pair; null counts as empty. Shingles count once per
+item, and a long text is cut into shingles whole. Repeated rows give one pair; a null doc_id or item_id is kept
+as such; an empty table gives no pairs; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,9 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellum.plans.stages import stash
+
 from .batches import fresh
+from .substring_dedup import LAST, id_of, keyed
 
-#: Shingles of all items up to which they are broadcast; beyond, the join is shuffled by hash.
+#: Shingles of all items up to which they and their sketches are broadcast; beyond, the joins are shuffled by hash.
 BROADCAST_ROWS = 500_000
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -47,31 +52,45 @@ def sketched(items: DataFrame, threshold: float, size: int) -> DataFrame:
     return each.select("item_id", "n_item", least(F.col("n_item")).alias("need"), "h", "shingle", (F.col("place") <= upper - least(upper) + 1).alias("sketch"))
 
 
+def small(asked: DataFrame) -> bool:
+    return asked.count() <= BROADCAST_ROWS
+
+
+def candidates(texts: DataFrame, asked: DataFrame, size: int = 5) -> DataFrame:
+    """(did, th, item_id): the texts that have a shingle of an item's sketch, by its hash."""
+    sketches = asked.where("sketch").select("h", "item_id", "need")
+    if small(asked):
+        sketches = F.broadcast(sketches)
+    each = shingles(texts, ["did", "th"], size)
+    return each.join(sketches, (each.h == sketches.h) & (each.n_shingles >= sketches.need)).select("did", "th", "item_id").distinct()
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """(doc_id, th, item_id, n_item, n_common): the items of whose distinct shingles a text contains at least the threshold."""
-    asked = sketched(items, threshold, size)
-    if asked.count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    each = shingles(texts, ["doc_id", "th"], size)
-    same = F.concat_ws(" ", *[each[f"w{i}"] for i in range(1, size + 1)]) == asked["shingle"]
-    hits = each.join(asked, (each.h == asked.h) & same & (each.n_shingles >= asked.need)).select("doc_id", "th", "item_id", "n_item", "need", "shingle", "sketch")
-    common = hits.distinct().groupBy("doc_id", "th", "item_id", "n_item", "need").agg(F.count("*").alias("n_common"), F.max("sketch").alias("candidate"))
-    return common.where("candidate AND n_common >= need").select("doc_id", "th", "item_id", "n_item", "n_common")
+    """(did, th, item_id, n_item, n_common): the items of whose distinct shingles a text contains at least the threshold."""
+    asked = stash(sketched(items, threshold, size), "items")
+    texts = keyed(docs)
+    met = stash(candidates(texts, asked, size), "candidates").groupBy("did", "th").agg(F.collect_set(F.struct("item_id")).alias("met"))
+    each = shingles(texts.join(met, ["did", "th"]), ["did", "th", "met"], size)
+    whole = F.broadcast(asked) if small(asked) else asked
+    same = F.concat_ws(" ", *[each[f"w{i}"] for i in range(1, size + 1)]) == whole["shingle"]
+    own = F.exists(each["met"], lambda x: x["item_id"].eqNullSafe(whole["item_id"]))
+    hits = each.join(whole, (each.h == whole.h) & same & own).select("did", "th", "item_id", "n_item", "need", "shingle")
+    common = hits.distinct().groupBy("did", "th", "item_id", "n_item", "need").agg(F.count("*").alias("n_common"))
+    return common.where("n_common >= need").select("did", "th", "item_id", "n_item", "n_common")
 
 
 def pairs(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """doc_id, item_id, n_item, n_common, containment."""
     got = contained(docs, items, threshold, size)
-    return got.select("doc_id", "item_id", "n_item", "n_common", (F.col("n_common") / F.col("n_item")).alias("containment")).distinct()
+    return got.select(id_of(), "item_id", "n_item", "n_common", (F.col("n_common") / F.col("n_item")).alias("containment")).distinct()
 
 
 def without_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """The documents that contain no item."""
-    own, did, th = fresh(docs, "own", "did", "th")
-    hit = contained(docs, items, threshold, size).select(F.col("doc_id").alias(did), F.col("th").alias(th)).distinct()
-    named = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
-    return named.join(hit, named.doc_id.eqNullSafe(hit[did]) & (named[own] == hit[th]), "left_anti").select(*docs.columns)
+    did, th = fresh(docs, "did", "th")
+    hit = contained(docs, items, threshold, size).select(F.col("did").alias(did), F.col("th").alias(th)).distinct()
+    named = docs.withColumn(did, F.coalesce("doc_id", F.lit(LAST))).withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return named.join(hit, [did, th], "left_anti").select(*docs.columns)
 
 
 def oracle(threshold: float = 0.8, size: int = 5) -> str:
