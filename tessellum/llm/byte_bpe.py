@@ -7,11 +7,12 @@ with their last tokens; when only the whole is live, its tokens can't change any
 emitted, so the lookahead is at most the longest token. States and transitions are made when first met and kept
 in tables of bounded size.
 
-Decoding joins the ids' bytes and feeds them in pieces to a state machine that holds back an
-unfinished character.
+Decoding joins the ids' bytes and feeds them in pieces to a state machine over the bytes of UTF-8, which holds
+back an unfinished character.
 
 Defined results: a null or empty text has no ids and decodes to nothing; repeated rows are encoded
-each; a null ``doc_id`` stays null; other columns are ignored.
+each; a null ``doc_id`` stays null; an empty table gives no rows; very long texts are encoded whole, a pretoken
+of any length at a bounded lookahead; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,30 +103,60 @@ class Transducer:
         return out
 
 
+def utf8_machine() -> list[list[int]]:
+    """Next state for each state and byte. 0: between characters; 1, 2, 3: so many continuation bytes to come; 4 to 7: the
+    next one is restricted, after E0 (no overlong), ED (no surrogate), F0 (no overlong), F4 (up to U+10FFFF); BROKEN otherwise."""
+    steps = [[BROKEN] * 256 for _ in range(BROKEN)]
+
+    def put(state: int, first: int, last: int, to: int) -> None:
+        for b in range(first, last + 1):
+            steps[state][b] = to
+
+    for lead in ((0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)):
+        put(0, *lead)
+    for state, first, last, to in ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)):
+        put(state, first, last, to)
+    return steps
+
+
+BROKEN = 8
+_STEPS = utf8_machine()
+
+
 class Utf8Stream:
-    """Text from bytes that arrive in pieces; an unfinished character waits for its rest, a broken one becomes U+FFFD."""
+    """Text from bytes that arrive in pieces, by a state machine over single bytes.
+
+    An unfinished character waits for its rest. Where the machine breaks, the bytes since the last whole character
+    become one U+FFFD, and the byte at which it broke is looked at again, as a possible beginning.
+    """
 
     def __init__(self):
-        self.held = b""
+        self.held, self.state = b"", 0
 
     def feed(self, piece: bytes) -> str:
-        data = self.held + piece
-        cut = len(data)
-        for back in range(1, min(3, cut) + 1):
-            b = data[-back]
-            if b >= 0xC0:
-                need = 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-                if need > back:
-                    cut -= back
-                break
-            if b < 0x80:
-                break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        if not self.state and piece.isascii():
+            return piece.decode("ascii")
+        data, state, steps = self.held + piece, self.state, _STEPS
+        out, begin, whole = [], 0, 0  # begin: of what isn't given out yet; whole: end of the last whole character
+        i = len(self.held)
+        while i < len(data):
+            state = steps[state][data[i]]
+            i += 1
+            if not state:
+                whole = i
+            elif state == BROKEN:
+                out += (data[begin:whole].decode(), "\ufffd")
+                if i - 1 > whole:  # it broke off a character that had begun
+                    i -= 1
+                begin = whole = i
+                state = 0
+        self.held, self.state = data[whole:], state
+        out.append(data[begin:whole].decode())
+        return "".join(out)
 
     def end(self) -> str:
-        rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        rest, self.held, self.state = self.held, b"", 0
+        return "\ufffd" if rest else ""
 
 
 class _Known(dict):
