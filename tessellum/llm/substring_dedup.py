@@ -1,17 +1,22 @@
 """Substring dedup by seed and extend.
 
-Seeds: winnowed word anchors (``winnow``) join the documents. Extension: around an anchor a match is
-extended both ways as far as the words agree. Runs of windows that agree as a whole are settled by one
-comparison; the runs at the edges of a repeat are extended window by window, each window being a pair
-of extensions left and right of the anchor that together reach the threshold. Adjoining windows merge
-into maximal repeats, which are cut out of every document but the one with the smallest doc_id.
+Seeds. Winnowed word anchors (``winnow``) join the documents. Each occurrence of a window gets as partner the least
+occurrence (by doc_id) of its kind among those of its anchor: runs of windows that agree as a whole get one together, the
+runs at the edges of a repeat one for each window. Seeds on one diagonal, that is of one pair of texts at one distance,
+are put together.
 
-No pair of documents is ever listed: each window meets the least doc_id of its kind, by aggregates with
-partial sums, so a passage that a third of all documents share costs a row per occurrence.
+Extension. The partner's words travel to the text, and the match is extended from its seeds to the left and to the right
+as far as the words themselves agree (``extended``). What is shorter than ``length`` words is dropped; the others are
+maximal repeats against that partner, and are cut out of every document but the one with the smallest doc_id. Hashes
+only propose.
+
+No pair of documents is listed but a text and its partner: partners are found by aggregates with partial sums, so a
+passage that a third of all documents share costs a row per occurrence.
 
 Defined results: a null or empty text has no words; documents under ``length`` words lose nothing; rows
-with the same doc_id never remove words of each other; a null doc_id counts as larger than all others.
-Other columns are ignored.
+with the same doc_id never remove words of each other; equal rows are judged once and cut alike; a null doc_id counts
+as larger than all others; an empty table gives no rows; very long texts are cut into chunks that hold each window
+once. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from tessellum.plans.stages import stash
 
 from .batches import map_batches, texts_of
-from .winnow import cover, runs, windows
+from .winnow import runs, windows
 from .words import flat, hash_words, signed, split_words
 
 LAST = (1 << 63) - 1
@@ -81,8 +86,8 @@ def window_rows(listed: DataFrame, length: int) -> DataFrame:
     return map_batches(listed.select("did", "th", "text", "runs"), make, "did long, th long, anchor long, window long, start int")
 
 
-def repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(did, th, start, n): n windows from start on whose words also stand in a document with a smaller did."""
+def partners(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(did, th, start, n, first): n windows from start on, and the least (did, th, start) at which the same words seem to stand, of a smaller did."""
     rows = run_rows(texts, length, gram)
     shared = (
         rows.groupBy("anchor")
@@ -92,21 +97,97 @@ def repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
     )
     # sums become tables before they meet the rows again: a join of plain exchanges can be split at a hot key
     seeded = stash(rows.join(stash(shared, "shared"), "anchor"), "seeded")
-    firsts = seeded.groupBy("anchor", "run").agg(F.min("did").alias("lo"))
-    known = seeded.join(stash(firsts, "firsts"), ["anchor", "run"]).where("did > lo OR differ")
-    known = stash(known.select("did", "th", "anchor", "start", "n", (F.col("did") > F.col("lo")).alias("whole")), "known")
-    whole = known.where("whole").select("did", "th", "start", "n")
-    edges = known.where("NOT whole").groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
+    place = F.struct("did", "th", "start")
+    firsts = seeded.groupBy("anchor", "run").agg(F.min(place).alias("first"))
+    known = seeded.join(stash(firsts, "firsts"), ["anchor", "run"]).where("did > first.did OR differ")
+    known = stash(known.select("did", "th", "anchor", "start", "n", F.when(F.col("did") > F.col("first.did"), F.col("first")).alias("first")), "known")
+    whole = known.where("first IS NOT NULL").select("did", "th", "start", "n", "first")
+    edges = known.where("first IS NULL").groupBy("did", "th").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
     each = window_rows(texts.join(edges, ["did", "th"]), length)
-    least = each.groupBy("anchor", "window").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor", "window", "lo")
-    single = each.join(stash(least, "least"), ["anchor", "window"]).where("did > lo").select("did", "th", "start", F.lit(1).alias("n"))
+    least = each.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.max("did").alias("hi")).where("first.did < hi").select("anchor", "window", "first")
+    single = each.join(stash(least, "least"), ["anchor", "window"]).where("did > first.did").select("did", "th", "start", F.lit(1).alias("n"), "first")
     return whole.unionByName(single)
 
 
+def diagonals(seeds: DataFrame, length: int) -> DataFrame:
+    """(did, th, start, size, p_did, p_th, p_start): the words that the seeds of one text, partner and distance cover together."""
+    ahead = (F.col("first.start") - F.col("start")).alias("ahead")
+    seeds = seeds.select("did", "th", F.col("first.did").alias("p_did"), F.col("first.th").alias("p_th"), ahead, "start", "n")
+    listed = seeds.groupBy("did", "th", "p_did", "p_th", "ahead").agg(F.collect_set(F.struct("start", "n")).alias("seeds"))
+
+    def make():
+        def step(batch):
+            row, starts, sizes = [], [], []
+            for i, x in enumerate(batch.column("seeds")):
+                s = np.asarray(x.values.field("start"), np.int64)
+                order = np.argsort(s)
+                s, e = s[order], (s + np.asarray(x.values.field("n"), np.int64) - 1 + length)[order]
+                reach = np.maximum.accumulate(e)
+                heads = np.concatenate([[0], np.flatnonzero(s[1:] > reach[:-1]) + 1])
+                row.append(np.full(len(heads), i))
+                starts.append(s[heads])
+                sizes.append(reach[np.append(heads[1:] - 1, len(s) - 1)] - s[heads])
+            row, start = np.concatenate(row), np.concatenate(starts)
+            at = pa.array(row)
+            keep = {k: batch.column(k).take(at) for k in ("did", "th", "p_did", "p_th")}
+            return keep | {"start": start, "size": np.concatenate(sizes), "p_start": start + np.asarray(batch.column("ahead"), np.int64)[row]}
+
+        return step
+
+    return map_batches(listed, make, "did long, th long, start int, size int, p_did long, p_th long, p_start int")
+
+
+def words_of(asked: DataFrame) -> DataFrame:
+    """(p_did, p_th, p_start, size, words): the words of the asked stretches, joined by one space."""
+
+    def make():
+        def step(batch):
+            buf, off = flat(batch.column("text"))
+            starts, ends, first = split_words(buf, off)
+            data, out = buf.tobytes(), {k: [] for k in ("row", "p_start", "size", "words")}
+            for i, listed in enumerate(batch.column("asked")):
+                for x in listed.as_py():
+                    a = int(first[i]) + x["p_start"]
+                    out["row"].append(i)
+                    out["p_start"].append(x["p_start"])
+                    out["size"].append(x["size"])
+                    out["words"].append(joined(data, starts, ends, a, a + x["size"]))
+            row = pa.array(out.pop("row"), pa.int64())
+            return {"p_did": batch.column("p_did").take(row), "p_th": batch.column("p_th").take(row), **out}
+
+        return step
+
+    return map_batches(asked, make, "p_did long, p_th long, p_start int, size int, words binary")
+
+
+def joined(data: bytes, starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> bytes:
+    return b" ".join([data[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)])
+
+
+def extended(own: bytes, other: bytes, length: int) -> list[tuple[int, int]]:
+    """(start, size) of the longest stretches, of at least ``length`` words, that agree word by word; both hold words joined by one space."""
+    if own == other:
+        return [(0, own.count(b" ") + 1)]
+    same = np.array([x == y for x, y in zip(own.split(b" "), other.split(b" "), strict=False)], np.int8)
+    turn = np.diff(same, prepend=0, append=0)
+    starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    return [(int(a), int(b - a)) for a, b in zip(starts, ends, strict=True) if b - a >= length]
+
+
+def matches(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(did, th, cuts): for each text with seeds the stretches (start, size) that they cover and its partners' words there."""
+    merged = stash(diagonals(partners(texts, length, gram), length), "diagonals")
+    asked = merged.groupBy("p_did", "p_th").agg(F.collect_set(F.struct("p_start", "size")).alias("asked"))
+    named = texts.select(F.col("did").alias("p_did"), F.col("th").alias("p_th"), "text").join(asked, ["p_did", "p_th"])
+    # rows that share doc_id and text have the same words, and one of them serves
+    there = stash(words_of(named).dropDuplicates(["p_did", "p_th", "p_start", "size"]), "words")
+    met = merged.join(there, ["p_did", "p_th", "p_start", "size"])
+    return met.groupBy("did", "th").agg(F.collect_list(F.struct("start", "size", "words")).alias("cuts"))
+
+
 def kept_words(docs: DataFrame, length: int = 50, gram: int = 10, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space (kept_text), or their digest (kept_sha256)."""
     texts = keyed(docs)
-    cuts = repeats(texts, length, gram).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
     name = "kept_sha256" if digest else "kept_text"
 
     def make():
@@ -117,11 +198,11 @@ def kept_words(docs: DataFrame, length: int = 50, gram: int = 10, digest: bool =
             cuts, data = batch.column("cuts"), buf.tobytes()
             for i in range(batch.num_rows):
                 a, b = int(first[i]), int(first[i + 1])
-                listed = cuts[i].values if cuts[i].is_valid else None
                 gone = np.zeros(b - a, bool)
-                if listed is not None and len(listed):
-                    s = np.asarray(listed.field("start"), np.int64)
-                    gone = cover(b - a, s, s + np.asarray(listed.field("n"), np.int64) - 1 + length)
+                for x in cuts[i].as_py() or ():
+                    own = joined(data, starts, ends, a + x["start"], a + x["start"] + x["size"])
+                    for at, size in extended(own, x["words"], length):
+                        gone[x["start"] + at : x["start"] + at + size] = True
                 stay = np.flatnonzero(~gone) + a
                 text = b" ".join([data[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)])
                 removed.append(int(gone.sum()))
@@ -130,4 +211,4 @@ def kept_words(docs: DataFrame, length: int = 50, gram: int = 10, digest: bool =
 
         return step
 
-    return map_batches(texts.join(cuts, ["did", "th"], "left").select(id_of(), "text", "cuts"), make, f"doc_id long, n_words long, n_removed long, {name} string")
+    return map_batches(texts.join(matches(texts, length, gram), ["did", "th"], "left").select(id_of(), "text", "cuts"), make, f"doc_id long, n_words long, n_removed long, {name} string")
