@@ -77,11 +77,14 @@ def neighbours(links: DataFrame, of: object, *, a: str = "a", b: str = "b") -> D
 def related(tokens: DataFrame, *, item: str, token: str, weight: str, limit: int, order: str | None = None) -> DataFrame:
     """(item, other, score, place): other items by the summed weight of shared tokens, best first; ties by ``order`` (the other item if none).
 
-    Joined on the token, so only items that share one meet. Give tokens that few items carry; a token of
-    most items says nothing and would join all with all.
+    Joined on the token, so only items that share one meet, and each pair once: both directions' sums are made
+    together and told apart afterwards. Give tokens that few items carry; a token of most items says nothing and
+    would join all with all.
     """
-    left = tokens.select(F.col(token).alias("t"), F.col(item).alias("item"))
-    right = tokens.select(F.col(token).alias("t"), F.col(item).alias("other"), F.col(weight).alias("w"))
-    score = left.join(right, "t").where("item <> other").groupBy("item", "other").agg(F.sum("w").alias("score")).where("score > 0")
+    left = tokens.select(F.col(token).alias("t"), F.col(item).alias("x"), F.col(weight).alias("wx"))
+    right = tokens.select(F.col(token).alias("t"), F.col(item).alias("y"), F.col(weight).alias("wy"))
+    sums = left.join(right, "t").where("x < y").groupBy("x", "y").agg(F.sum("wx").alias("sx"), F.sum("wy").alias("sy"))
+    way = lambda a, b, w: F.struct(F.col(a).alias("item"), F.col(b).alias("other"), F.col(w).alias("score"))
+    score = sums.select(F.inline(F.array(way("x", "y", "sy"), way("y", "x", "sx")))).where("score > 0")
     rank = Window.partitionBy("item").orderBy(F.desc("score"), F.col(order or "other"))
     return score.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= limit)

@@ -146,8 +146,8 @@ def trace(links: DataFrame, starts: DataFrame, *, src: str, dst: str, most_round
     raise RuntimeError(f"tracing didn't end in {most_rounds} steps")
 
 
-def simple_paths(edges: DataFrame, *, start: object, end: object, stretch: float, u: str = "u", v: str = "v", weight: str = "w", most_steps: int = 12) -> DataFrame:
-    """(path, length): paths without a repeated node whose length is at most ``stretch`` times the shortest, in at most ``most_steps`` edges."""
+def simple_paths(edges: DataFrame, *, start: object, end: object, stretch: float, u: str = "u", v: str = "v", weight: str = "w") -> DataFrame:
+    """(path, length): all paths without a repeated node whose length is at most ``stretch`` times the shortest; weights must be positive."""
     net = edges.select(F.col(u).alias("a"), F.col(v).alias("b"), F.col(weight).cast("double").alias("w"))
     first = net.sparkSession.createDataFrame([(start, start, 0.0)], "node long, source long, dist double")
     best = shortest_paths(net, first, u="a", v="b", weight="w").where(F.col("node") == F.lit(end)).select("dist").first()
@@ -157,15 +157,14 @@ def simple_paths(edges: DataFrame, *, start: object, end: object, stretch: float
     most = best[0] * stretch
     now = net.sparkSession.createDataFrame([([start], 0.0)], schema)
     done = net.sparkSession.createDataFrame([], schema)
-    for _ in range(most_steps):
+    while True:
         on = now.join(net, F.element_at("path", -1) == net.a).where(~F.array_contains("path", F.col("b")))
         now = stash(on.select(F.array_append("path", F.col("b")).alias("path"), (F.col("length") + F.col("w")).alias("length")).where(F.col("length") <= most + 1e-9), "paths")
         if now.isEmpty():
-            break
+            return done
         at_end = F.element_at("path", -1) == F.lit(end)
         done = done.unionByName(now.where(at_end))
         now = now.where(~at_end)
-    return done
 
 
 def grade_cost(length: Column, rise: Column, steps: Column, *, flat: float, steep: float, limit: float = 0.1, stair_speed: float = 0.3) -> Column:

@@ -6,9 +6,10 @@ status; no check stops another.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FINDING = ("check", "msg", "where", "severity")
@@ -57,44 +58,84 @@ def off_by(df: DataFrame, key: str, expected: str, got: str, tolerance: Column |
     return finding(df.where(bad), check, F.concat(F.lit("expected "), shown(F.col(expected)), F.lit(" got "), shown(F.col(got))), F.col(key))
 
 
+#: Characters of the claims that are looked for in one pass over the inventory.
+CLAIM_BLOCK = 4_000_000
+
+
 def stale(claims: DataFrame, inventory: DataFrame, *, key: str, text: str, exact: bool, size: int = 8, check: str = "stale") -> DataFrame:
     """Claims whose text no longer stands in the inventory: by equality, or inside a text.
 
-    Inside is looked for by the claim's first ``size`` characters at every place of every text, an
-    equi-join, and then compared whole; shorter claims are compared with every text, by blocks of claims.
+    Inside, all claims of a block are looked for together by one automaton, so a pass costs a step a character
+    whatever their number; a register beyond CLAIM_BLOCK characters takes several passes. An empty claim
+    stands nowhere. ``size`` is kept for callers that name it and has no effect.
     """
     if exact:
         gone = claims.join(inventory.select(F.col("text").alias(text)).distinct(), text, "left_anti")
         return finding(gone, check, "text is gone", F.col(key))
-    long_ = claims.where(F.length(text) >= size)
-    grams = inventory.select("text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - size + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(size))))).alias("g"))
-    asked = long_.select(key, text, F.substring(text, 1, size).alias("g"))
-    held = asked.join(grams, "g").where(F.contains("text", F.col(text))).select(key).distinct()
-    short = claims.where((F.length(text) < size) & (F.length(text) > 0)).select(key, text)
-    shards = inventory.select("text").distinct().withColumn("s", F.lit(1))
-    seen = short.withColumn("s", F.lit(1)).join(shards, "s").where(F.contains("text", F.col(text))).select(key).distinct()
-    return finding(claims.join(held.unionByName(seen), key, "left_anti"), check, "text is gone", F.col(key))
+    asked = claims.where(F.length(text) > 0).select(F.col(text).alias("claim")).distinct()
+    total = asked.agg(F.coalesce(F.sum(F.length("claim")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // CLAIM_BLOCK))
+    held = None
+    for i in range(blocks):
+        here = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("claim"), F.lit(blocks)) == i)
+        found = literals_in(inventory, [r["claim"] for r in here.collect()])
+        held = found if held is None else held.unionByName(found)
+    return finding(claims.join(held.distinct().withColumnRenamed("literal", text), text, "left_anti"), check, "text is gone", F.col(key))
+
+
+def literals_in(inventory: DataFrame, literals: list[str]) -> DataFrame:
+    """(literal): which of the literals stand in some text; each task names each at most once."""
+    import ahocorasick
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, seen = ahocorasick.Automaton(), set()
+        for x in literals:
+            machine.add_word(x, x)
+        if literals:
+            machine.make_automaton()
+        for batch in batches:
+            new = set()
+            for t in batch.column(0).to_pylist():
+                if literals and t:
+                    new.update(x for _, x in machine.iter(t))
+            new -= seen
+            seen |= new
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], names=["literal"])
+
+    return inventory.select("text").mapInArrow(run, "literal string")
+
+
+def _placed(pieces: DataFrame, *keys: str) -> DataFrame:
+    """``pieces`` (keys, pos, gap, hit) with lo and hi: where each hit stands, by a running sum over the pieces of a text."""
+    to_here = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = pieces.withColumn("hi", F.sum(F.length("gap") + F.coalesce(F.length("hit"), F.lit(0))).over(to_here).cast("int"))
+    return ends.where("hit IS NOT NULL").withColumn("lo", F.col("hi") - F.length("hit"))
 
 
 def number_spans(texts: DataFrame, *, key: str, text: str) -> DataFrame:
-    """(key, token, lo, hi): where numbers stand in each text, from the pieces between them."""
+    """(key, token, lo, hi): where numbers stand in each text, from the pieces between them; equal rows give one set."""
     p = r"\d(?:[\d,.]*\d)?"
     pieces = F.arrays_zip(F.split(text, p, -1).alias("gap"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,lo:int,hi:int>>").alias("out"))
-
-    def move(s: Column, x: Column) -> Column:
-        lo = s["at"] + F.length(x["gap"])
-        hi = lo + F.coalesce(F.length(x["hit"]), F.lit(0))
-        return F.struct(hi.alias("at"), F.when(x["hit"].isNull(), s["out"]).otherwise(F.array_append(s["out"], F.struct(x["hit"].alias("token"), lo.alias("lo"), hi.alias("hi")))).alias("out"))
-
-    return texts.select(key, F.explode(F.aggregate(pieces, start, move)["out"]).alias("s")).select(key, "s.token", "s.lo", "s.hi")
+    each = texts.where(F.col(text).rlike(r"\d")).select(key, F.xxhash64(text).alias("_h"), F.posexplode(pieces).alias("pos", "p"))
+    each = each.select(key, "_h", "pos", "p.gap", "p.hit").dropDuplicates([key, "_h", "pos"])
+    return _placed(each, key, "_h").select(key, F.col("hit").alias("token"), "lo", "hi")
 
 
 def literal_spans(texts: DataFrame, claims: DataFrame, *, key: str, text: str, claim: str) -> DataFrame:
-    """(key, lo, hi): all places, overlapping ones too, at which a claim of that text's key stands; ``claims`` is (key, claim)."""
-    met = texts.join(claims.select(key, claim), key).where((F.length(claim) > 0) & F.contains(text, F.col(claim)))
-    at = F.filter(F.sequence(F.lit(1), F.length(text) - F.length(claim) + 1), lambda i: F.substring(F.col(text), i, F.length(claim)) == F.col(claim))
-    return met.select(key, F.length(claim).alias("n"), F.explode(at).alias("i")).select(key, (F.col("i") - 1).alias("lo"), (F.col("i") - 1 + F.col("n")).alias("hi"))
+    """(key, lo, hi): all places, overlapping ones too, at which a claim of that text's key stands; ``claims`` is (key, claim).
+
+    The text is split before each place where the claim begins, so the pieces' lengths give the places.
+    """
+    met = texts.join(claims.select(key, claim).distinct(), key).where((F.length(claim) > 0) & F.contains(text, F.col(claim)))
+    quoted = F.replace(F.col(claim), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    begins = F.split(F.col(text), F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")), -1)
+    each = met.select(key, F.xxhash64(text, claim).alias("_h"), F.length(claim).alias("n"), F.startswith(text, F.col(claim)).alias("_first"), F.posexplode(begins).alias("pos", "piece"))
+    each = each.dropDuplicates([key, "_h", "pos"])
+    before = Window.partitionBy(key, "_h").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    at = each.withColumn("lo", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int")).where("(pos > 0 OR _first) AND length(piece) > 0")
+    return at.select(key, "lo", (F.col("lo") + F.col("n")).alias("hi"))
 
 
 def uncovered(numbers: DataFrame, spans: DataFrame, *, key: str) -> DataFrame:

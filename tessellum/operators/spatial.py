@@ -47,20 +47,23 @@ def within(left: DataFrame, right: DataFrame, *, lid: str, rid: str, radius: flo
     return a.join(b, ["_i", "_j"]).withColumn("dist", d).where(F.col("dist") <= radius).select(lid, rid, "dist")
 
 
-def nearest(left: DataFrame, right: DataFrame, *, lid: str, rid: str, size: float, most_rings: int = 40) -> DataFrame:
-    """(lid, rid, dist) of the nearest point, the smaller id on ties: the search radius doubles for those not yet served."""
+def nearest(left: DataFrame, right: DataFrame, *, lid: str, rid: str, size: float) -> DataFrame:
+    """(lid, rid, dist) of the nearest point, the smaller id on ties: the search radius doubles until all are served.
+
+    Points without finite coordinates have no row, and none has one if there is nothing to be near to.
+    """
     from tessellum.plans.stages import stash
 
-    waiting, done, radius = left, None, size
-    for _ in range(most_rings):
+    finite = "abs(x) < double('infinity') AND abs(y) < double('infinity')"
+    waiting, right, done, radius = left.where(finite), right.where(finite), None, size
+    while True:
         near = within(waiting, right, lid=lid, rid=rid, radius=radius).groupBy(lid).agg(F.min(F.struct("dist", rid)).alias("m"))
         got = stash(near.select(lid, F.col(f"m.{rid}").alias(rid), F.col("m.dist").alias("dist")), "nearest")
         done = got if done is None else done.unionByName(got)
         waiting = stash(waiting.join(got.select(lid), lid, "left_anti"), "waiting")
         if waiting.isEmpty() or right.isEmpty():
-            break
+            return done
         radius *= 2
-    return done
 
 
 def raster_lookup(points: DataFrame, cells: DataFrame, *, east: float, north: float, value: str = "v", step: float = 1.0, outside: object = 0) -> DataFrame:

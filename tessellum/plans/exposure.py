@@ -40,10 +40,10 @@ JOIN (SELECT * FROM (VALUES ('A'), ('N'), ('R')) a(f), (VALUES (30), (60)) b(d),
 """)
 def scenario_grid(spark, sf_dir):
     grid = X.scenario_grid(spark, flag=["A", "N", "R"], days=[30, 60], slack=[0, 5, 10])
-    late = F.datediff("l_shipdate", "o_orderdate") - F.col("days") - F.col("slack") < 0
-    # margins are counted once for each flag and delay; the scenarios meet those few rows only
+    late = F.col("delay") - F.col("days") - F.col("slack") < 0
+    # lines are counted once for each flag and delay; the scenarios meet those few rows only
     joined = lines(spark, sf_dir).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    margins = joined.groupBy("l_returnflag", "l_shipdate", "o_orderdate").agg(F.count("*").alias("k"), F.sum("l_quantity").alias("q"))
+    margins = joined.groupBy("l_returnflag", F.datediff("l_shipdate", "o_orderdate").alias("delay")).agg(F.count("*").alias("k"), F.sum("l_quantity").alias("q"))
     out = margins.join(grid, F.col("l_returnflag") == F.col("flag")).groupBy("flag", "days", "slack")
     return out.agg(F.sum(F.when(late, F.col("k")).otherwise(0)).alias("failing"), F.sum(F.when(late, F.col("q")).otherwise(0.0)).alias("qty"))
 

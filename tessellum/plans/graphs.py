@@ -102,7 +102,7 @@ best AS (SELECT min(d) AS m FROM p WHERE path[-1] = 4)
 SELECT array_to_string(path, '-') AS path, CAST(d AS DOUBLE) AS length FROM p, best WHERE path[-1] = 4 AND d <= m * 1.3
 """)
 def alternative_paths(spark, sf_dir):
-    got = G.simple_paths(net(spark, sf_dir), start=0, end=4, stretch=1.3, most_steps=4)
+    got = G.simple_paths(net(spark, sf_dir), start=0, end=4, stretch=1.3)
     return got.select(F.array_join("path", "-").alias("path"), "length")
 
 
