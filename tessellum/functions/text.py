@@ -106,3 +106,36 @@ def html_text_inventory(html: Column) -> Column:
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", "\n")
     lines = F.split(F.regexp_replace(F.regexp_replace(bare, r"(?i)</?(p|div|li|h[1-6]|td|th|tr|title|br|ul|ol|table|body|head|html|a|nav|footer|header|section|article)\b[^>]*>", "\n"), "<[^>]+>", ""), "\n")
     return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, SPACE, " "))), lambda x: x != "")
+
+
+def has_latin(text: Column) -> Column:
+    """Whether three Latin letters stand in a row."""
+    return text.rlike("[A-Za-z]{3,}")
+
+
+def has_cjk(text: Column) -> Column:
+    """Whether a kana or Han character stands there."""
+    return text.rlike("[぀-ヿ㐀-鿿]")
+
+
+def trimmed_number(value: Column, digits: int) -> Column:
+    """A number rounded to so many digits, without zeros at its end and without a zero before the point."""
+    text = F.format_string(f"%.{digits}f", value)
+    text = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.regexp_replace(F.regexp_replace(text, r"^(-?)0\.", "$1."), "^-0?$", "0")
+
+
+def fractional_year(at: Column) -> Column:
+    """Year and day of the year as a share of 365.25 days."""
+    return F.year(at) + (F.dayofyear(at) - 1) / F.lit(365.25)
+
+
+def lightened(colour: Column, share: float) -> Column:
+    """A colour #rrggbb moved towards white by a share."""
+    part = lambda i: F.conv(F.substring(colour, i, 2), 16, 10).cast("int")
+    mixed = [F.round(part(i) + (255 - part(i)) * share).cast("int") for i in (2, 4, 6)]
+    return F.lower(F.format_string("#%02x%02x%02x", *mixed))
+
+
+def radius_of(weight: Column, base: float = 11.0, each: float = 5.0) -> Column:
+    return base + each * weight

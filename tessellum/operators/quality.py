@@ -152,3 +152,9 @@ def totals(findings: DataFrame) -> DataFrame:
 def exit_status(findings: DataFrame) -> int:
     """1 if there is any error."""
     return int(not findings.where("severity = 'error'").isEmpty())
+
+
+def starts_with_any(df: DataFrame, key: str, column: str, beginnings: list[str], check: str, msg: str) -> DataFrame:
+    """Rows whose value begins with none of the allowed beginnings."""
+    fine = reduce(lambda a, b: a | b, [F.startswith(F.col(column), F.lit(x)) for x in beginnings])
+    return finding(df.where(~F.coalesce(fine, F.lit(False))), check, msg, F.col(key))
