@@ -24,7 +24,7 @@ from tessellum.plans.stages import stash
 from .batches import fresh
 from .substring_dedup import LAST, id_of, keyed
 
-#: Shingles of all items up to which they and their sketches are broadcast; beyond, the joins are shuffled by hash.
+#: Rows (shingles of the items, candidates, documents that hold items) up to which a table is broadcast; beyond, joins are shuffled.
 BROADCAST_ROWS = 500_000
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -52,29 +52,28 @@ def sketched(items: DataFrame, threshold: float, size: int) -> DataFrame:
     return each.select("item_id", "n_item", least(F.col("n_item")).alias("need"), "h", "shingle", (F.col("place") <= upper - least(upper) + 1).alias("sketch"))
 
 
-def small(asked: DataFrame) -> bool:
-    return asked.count() <= BROADCAST_ROWS
+def few(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table, to be broadcast if it is counted to have few rows."""
+    table = stash(df, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def candidates(texts: DataFrame, asked: DataFrame, size: int = 5) -> DataFrame:
     """(did, th, item_id): the texts that have a shingle of an item's sketch, by its hash."""
-    sketches = asked.where("sketch").select("h", "item_id", "need")
-    if small(asked):
-        sketches = F.broadcast(sketches)
+    sketches = few(asked.where("sketch").select("h", "item_id", "need"), "sketches")
     each = shingles(texts, ["did", "th"], size)
     return each.join(sketches, (each.h == sketches.h) & (each.n_shingles >= sketches.need)).select("did", "th", "item_id").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """(did, th, item_id, n_item, n_common): the items of whose distinct shingles a text contains at least the threshold."""
-    asked = stash(sketched(items, threshold, size), "items")
+    asked = few(sketched(items, threshold, size), "items")
     texts = keyed(docs)
-    met = stash(candidates(texts, asked, size), "candidates").groupBy("did", "th").agg(F.collect_set(F.struct("item_id")).alias("met"))
+    met = few(candidates(texts, asked, size).groupBy("did", "th").agg(F.collect_set(F.struct("item_id")).alias("met")), "candidates")
     each = shingles(texts.join(met, ["did", "th"]), ["did", "th", "met"], size)
-    whole = F.broadcast(asked) if small(asked) else asked
-    same = F.concat_ws(" ", *[each[f"w{i}"] for i in range(1, size + 1)]) == whole["shingle"]
-    own = F.exists(each["met"], lambda x: x["item_id"].eqNullSafe(whole["item_id"]))
-    hits = each.join(whole, (each.h == whole.h) & same & own).select("did", "th", "item_id", "n_item", "need", "shingle")
+    same = F.concat_ws(" ", *[each[f"w{i}"] for i in range(1, size + 1)]) == asked["shingle"]
+    own = F.exists(each["met"], lambda x: x["item_id"].eqNullSafe(asked["item_id"]))
+    hits = each.join(asked, (each.h == asked.h) & same & own).select("did", "th", "item_id", "n_item", "need", "shingle")
     common = hits.distinct().groupBy("did", "th", "item_id", "n_item", "need").agg(F.count("*").alias("n_common"))
     return common.where("n_common >= need").select("did", "th", "item_id", "n_item", "n_common")
 
@@ -88,7 +87,7 @@ def pairs(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int =
 def without_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """The documents that contain no item."""
     did, th = fresh(docs, "did", "th")
-    hit = contained(docs, items, threshold, size).select(F.col("did").alias(did), F.col("th").alias(th)).distinct()
+    hit = few(contained(docs, items, threshold, size).select(F.col("did").alias(did), F.col("th").alias(th)).distinct(), "hit")
     named = docs.withColumn(did, F.coalesce("doc_id", F.lit(LAST))).withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
     return named.join(hit, [did, th], "left_anti").select(*docs.columns)
 
