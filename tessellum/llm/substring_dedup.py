@@ -88,7 +88,7 @@ def window_rows(listed: DataFrame, length: int) -> DataFrame:
 
 def partners(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(did, th, start, n, first): n windows from start on, and the least (did, th, start) at which the same words seem to stand, of a smaller did."""
-    rows = run_rows(texts, length, gram)
+    rows = stash(run_rows(texts, length, gram), "runs")
     shared = (
         rows.groupBy("anchor")
         .agg(F.min("did").alias("lo"), F.max("did").alias("hi"), (F.min("run") < F.max("run")).alias("differ"))
