@@ -7,12 +7,17 @@
    of its runs alone. The longest match of a suffix is found by comparison at run ends; all other
    positions follow, because between run ends the match of the next position is one byte shorter.
    So the matching statistics stream over the text from the samples, and long matches are marked.
-3. An anchor with more kinds of runs than ``crowd`` would be a block that grows with the corpus. Its windows
-   are settled by hashes in sets that shrink by fours (``crowd_repeats``), which is exact as well.
+3. A block holds at most ``crowd`` kinds of runs. An anchor with more is split by what stands around it (``split``):
+   its windows are halved by quarters of their places, and only stretches with the same bytes in common stay
+   together, until each group fits a block of its own. So every size goes the same way.
+
+Equal stretches are told by 126 bits of hashes (anchor and run) and indexed once; whether unequal ones share a long
+string is decided by the index, which compares bytes.
 
 Defined results: a null or empty text has 0 bytes and keeps nothing; equal rows repeat each other, so both
-lose their long strings; a null doc_id stays null; other columns are ignored. Kept bytes may cut a
-character in two, since strings are judged as bytes.
+lose their long strings; a null doc_id stays null; an empty table gives no rows; texts over a chunk are cut into
+chunks that hold each window once; other columns are ignored. Kept bytes may cut a character in two, since
+strings are judged as bytes.
 """
 
 from __future__ import annotations
@@ -173,6 +178,8 @@ def index_blocks(segments: DataFrame, length: int) -> DataFrame:
         held, anchor, total = [], None, 0
         for batch in pieces(batches):
             for r in zip(*(batch.column(k).to_pylist() for k in ("anchor", "did", "th", "start", "bytes")), strict=True):
+                if held and r[:4] == held[-1][:4]:  # of equal rows one serves
+                    continue
                 if total >= BLOCK and r[0] != anchor:
                     yield found(held)
                     held, total = [], 0
@@ -181,7 +188,7 @@ def index_blocks(segments: DataFrame, length: int) -> DataFrame:
         if held:
             yield found(held)
 
-    dealt = segments.select("anchor", "did", "th", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = segments.select("anchor", "did", "th", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor", "did", "th", "start")
     return dealt.mapInArrow(run, "did long, th long, start int, size int")
 
 
@@ -219,15 +226,17 @@ def _node_hashes(live: DataFrame, level: int, length: int, gram: int) -> DataFra
     return map_batches(live, make, schema).where("lo < hi")
 
 
-def crowd_repeats(segments: DataFrame, length: int, gram: int) -> DataFrame:
-    """(did, th, start, size) of the windows of crowded anchors that occur again.
+def split(segments: DataFrame, length: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Of segments with crowded anchors: (marks, groups). Marks (did, th, start, size) are stretches that others equal;
+    groups (anchor, did, th, start, bytes) of at most ``crowd`` stretches go to the index, under a name of their own.
 
-    From the whole set of windows of an anchor down to single ones, by fours: a segment whose core nobody
-    shares is out, one whose span somebody shares is settled as a whole, the others go on to the quarters,
-    and so does one of each settled kind, for the others may share a part of it. So a segment costs a few rows a level, however many share its anchor, and a level is sums and joins by keys.
+    From all windows of an anchor down to single ones, by fours: a stretch whose core nobody shares is out, one that
+    others equal as a whole is marked, and of each such kind one goes on, for the others may share a part of it. A group
+    of few goes to the index; one of many is split, and all windows of a last one are equal. So a segment costs a few
+    rows a level, however many share its anchor, and a level is sums and joins by keys.
     """
     live = segments.select("anchor", "did", "th", "start", "n", "bytes", F.lit(0).alias("q"))
-    found = None
+    marks = groups = None
     for level in (8, 6, 4, 2, 0):
         node = stash(_node_hashes(live, level, length, gram), "nodes")
         key = ["anchor", "q", "core"]
@@ -237,19 +246,25 @@ def crowd_repeats(segments: DataFrame, length: int, gram: int) -> DataFrame:
         again = node.where("span IS NOT NULL").groupBy(*key, "span").agg(F.count("*").alias("c"), *one)
         again = stash(again.where("c > 1").select(*key, "span", "did_1", "th_1", "start_1", F.lit(True).alias("settled")), "spans")
         left = stash(node.join(met, key).join(again, [*key, "span"], "left"), "shared")
-        settled = left.where("settled").select("did", "th", "start", "before", "lo", "hi")
-        marks = settled.select("did", "th", (F.col("start") + F.col("before") - F.col("hi") + 1).alias("start"), (F.col("hi") - F.col("lo") - 1 + length).alias("size"))
-        found = marks if found is None else found.unionByName(marks)
+        begin, size = F.col("start") + F.col("before") - F.col("hi") + 1, F.col("hi") - F.col("lo") - 1 + length
+        found = left.where("settled").select("did", "th", begin.alias("start"), size.alias("size"))
+        marks = found if marks is None else marks.unionByName(found)
         onward = left.where("settled IS NULL OR (differ AND did = did_1 AND th = th_1 AND start = start_1)")
-        if level:  # the quarters in which the segment has windows
-            part = 1 << (level - 2)
-            quarters = F.sequence(F.floor(F.col("lo") / part).cast("int"), F.floor((F.col("hi") - 1) / part).cast("int"))
-            live = onward.select("anchor", "did", "th", "start", "n", "bytes", F.explode(quarters).alias("q"))
-    return found
+        if not level:  # all windows of a group are equal here
+            break
+        many = stash(onward.groupBy(*key).agg(F.count("*").alias("k")).where(F.col("k") > crowd).select(*key, F.lit(True).alias("many")), "many")
+        onward = stash(onward.join(many, key, "left"), "onward")
+        own = F.substring("bytes", F.col("before") - F.col("hi") + 2, size)
+        fit = onward.where("many IS NULL").select(F.xxhash64(F.lit(level), *key).alias("anchor"), "did", "th", begin.alias("start"), own.alias("bytes"))
+        groups = fit if groups is None else groups.unionByName(fit)
+        part = 1 << (level - 2)  # the quarters in which the segment has windows
+        quarters = F.sequence(F.floor(F.col("lo") / part).cast("int"), F.floor((F.col("hi") - 1) / part).cast("int"))
+        live = onward.where("many").select("anchor", "did", "th", "start", "n", "bytes", F.explode(quarters).alias("q"))
+    return marks, groups
 
 
 def repeats(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
-    """(did, th, start, size): stretches of bytes that long repeats cover. Equal rows share a list, rightly: each repeats the other."""
+    """(did, th, start, size): stretches of bytes that long repeats cover. Equal rows share a set, rightly: each repeats the other."""
     rows = run_rows(docs, length, gram)
     shared = rows.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("run") < F.max("run")).alias("differ")).where("c > 1").select("anchor", "differ")
     # sums become tables before they meet the rows again: a join of plain exchanges can be split at a hot key
@@ -263,15 +278,17 @@ def repeats(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     differing = kinds.where("differ").select("anchor", "did", "th", "start", "n")
     crowds = stash(differing.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > crowd).select("anchor", F.lit(True).alias("crowded")), "crowds")
     dealt = differing.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    listed = dealt.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "crowded", "start", "n")).alias("runs"))
+    listed = dealt.groupBy("did", "th").agg(F.collect_set(F.struct("anchor", "crowded", "start", "n")).alias("runs"))
     segments = stash(segment_rows(docs.join(listed, ["did", "th"]), length), "segments")
-    return whole.unionByName(index_blocks(segments.where("NOT crowded"), length)).unionByName(crowd_repeats(segments.where("crowded"), length, gram))
+    marks, groups = split(segments.where("crowded"), length, gram, crowd)
+    dealt = segments.where("NOT crowded").select("anchor", "did", "th", "start", "bytes").unionByName(groups)
+    return whole.unionByName(marks).unionByName(index_blocks(dealt, length))
 
 
 def kept_bytes(docs: DataFrame, length: int = 200, gram: int = 32, crowd: int = 256, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes (kept), or their digest (kept_sha256)."""
     texts = keyed(docs)
-    cuts = repeats(texts, length, gram, crowd).groupBy("did", "th").agg(F.collect_list(F.struct("start", "size")).alias("cuts"))
+    cuts = repeats(texts, length, gram, crowd).groupBy("did", "th").agg(F.collect_set(F.struct("start", "size")).alias("cuts"))
     name, kind = ("kept_sha256", "string") if digest else ("kept", "binary")
 
     def make():

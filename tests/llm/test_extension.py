@@ -78,3 +78,24 @@ def test_many_equal_rows(spark):
     frame = spark.range(10_000).selectExpr("CAST(NULL AS LONG) AS doc_id", f"'{text}' AS text").unionByName(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     got = kept_words(frame).groupBy("doc_id", "n_removed").count().collect()
     assert sorted((x.doc_id or 0, x.n_removed, x["count"]) for x in got) == [(0, 120, 10_000), (1, 0, 1)]
+
+
+def test_many_equal_rows_of_bytes(spark):
+    from tessellum.llm.run_index import kept_bytes
+
+    text = " ".join(f"w{i}" for i in range(120))
+    frame = spark.range(10_000).selectExpr("CAST(NULL AS LONG) AS doc_id", f"'{text}' AS text").unionByName(spark.createDataFrame([(1, "other " + text)], "doc_id long, text string"))
+    got = kept_bytes(frame).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted((x.doc_id or 0, x.n_removed, x["count"]) for x in got) == [(0, len(text), 10_000), (1, len(text), 1)]
+
+
+def test_groups_of_any_size_give_the_same(spark):
+    """However few kinds a block may hold, splitting loses no match and adds none."""
+    from tessellum.llm.run_index import kept_bytes
+
+    r = random.Random(11)
+    core = "".join(r.choice("abcdefgh") for _ in range(260))
+    docs = [(d, "".join(r.choice("xyz") for _ in range(r.randint(0, 40))) + core[r.randint(0, 60) : 260 - r.randint(0, 60)] + "".join(r.choice("xyz") for _ in range(r.randint(0, 40)))) for d in range(60)]
+    frame, want = spark.createDataFrame(docs, "doc_id long, text string"), sorted(brute.byte_dedup(docs))
+    for crowd in (1, 3, 1000):
+        assert sorted(map(tuple, kept_bytes(frame, crowd=crowd, digest=True).collect())) == want
