@@ -15,6 +15,7 @@ character while it is counted; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from array import array
@@ -48,7 +49,7 @@ class _Prefix(dict):
 class PrefixCounter:
     """Prefix counts for a tokenizer file of the kind BPE with word ends (lower case, white space dropped)."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 500_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != END:
@@ -195,8 +196,10 @@ class _Missing(dict):
 
 @lru_cache(2)
 def counter(path: str) -> PrefixCounter:
-    """One per worker process: its tables serve all the tasks there."""
-    return PrefixCounter(path)
+    """One per worker process: its tables serve all the tasks there. The vocabulary stays, so the collector needn't look at it again."""
+    got = PrefixCounter(path)
+    gc.freeze()
+    return got
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
