@@ -68,8 +68,7 @@ def penalty_alternatives(edges: DataFrame, start: int, end: int, *, penalty: flo
     """(route, seq, u, v, w): routes found one after the other, each raising the cost of its edges, both ways, for the next.
 
     Kept are those of at most ``stretch`` times the first one's length that share at most ``overlap`` of the shorter of the
-    two with each one kept before. Rounds end early once a round finds the route of the round before, for then the
-    penalties grow alike and every later round repeats one already judged.
+    two with each one kept before.
     """
     spark = edges.sparkSession
     plain = stash(edges.select("u", "v", F.col("w").cast("double").alias("w")).groupBy("u", "v").agg(F.min("w").alias("w")), "plain")
