@@ -18,7 +18,9 @@ of any length at a bounded lookahead; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -121,6 +123,7 @@ def utf8_machine() -> list[list[int]]:
 
 BROKEN = 8
 _STEPS = utf8_machine()
+_BEYOND_ASCII = re.compile(rb"[\x80-\xff]")
 
 
 class Utf8Stream:
@@ -140,6 +143,11 @@ class Utf8Stream:
         out, begin, whole = [], 0, 0  # begin: of what isn't given out yet; whole: end of the last whole character
         i = len(self.held)
         while i < len(data):
+            if not state:  # ASCII leads from between characters to between characters
+                ahead = _BEYOND_ASCII.search(data, i)
+                i = whole = ahead.start() if ahead else len(data)
+                if ahead is None:
+                    break
             state = steps[state][data[i]]
             i += 1
             if not state:
@@ -179,7 +187,7 @@ class _Known(dict):
 class ByteBpe:
     """A vocabulary file of lines ``base64 rank`` with the pattern that cuts texts into pretokens."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 250_000):
+    def __init__(self, path: str, pattern: str, keep: int = 500_000):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.pieces = regex.compile(pattern)
@@ -202,8 +210,10 @@ class ByteBpe:
 
 @lru_cache(2)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    """One per worker process."""
-    return ByteBpe(path, pattern)
+    """One per worker process. The vocabulary stays, so the collector needn't look at it again."""
+    got = ByteBpe(path, pattern)
+    gc.freeze()
+    return got
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -13,8 +13,8 @@ only. Components follow by alternating stars.
 
 Defined results: a text without words (null, empty) has fingerprint zero and links like any other; a text
 of fewer words than a shingle gives one shingle of all its words. Repeated rows share a component; a null
-doc_id keeps its row and is no candidate for component_id unless its component has no other.
-Other columns are ignored.
+doc_id keeps its row and is no candidate for component_id unless its component has no other; an empty table gives
+no rows; a very long text's shingles are hashed in parts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,6 +134,8 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b), a < b: different fingerprints of ``nodes.fp`` within the threshold; a pair may come up to six times."""
     if threshold > THRESHOLD:
         raise ValueError(f"the triples hold for up to {THRESHOLD} differing bits")
+    # a fingerprint becomes about a hundred rows, so these are dealt over all tasks first; a number that is named isn't lowered by adaptive planning
+    nodes = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     living, sent = _at_anchors(nodes, True, "b"), _at_anchors(nodes, False, "a")
     return sent.join(living, (sent.anchor == living.anchor) & (F.bit_count(sent.a.bitwiseXOR(living.b)) <= threshold) & (sent.a < living.b)).select("a", "b")
 
