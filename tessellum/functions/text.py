@@ -119,7 +119,7 @@ def has_cjk(text: Column) -> Column:
 
 
 def trimmed_number(value: Column, digits: int) -> Column:
-    """A number rounded to so many digits, without zeros at its end and without a zero before the point."""
+    """A number rounded half up to so many digits, without zeros at its end and without a zero before the point."""
     text = F.format_string(f"%.{digits}f", value)
     text = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.regexp_replace(F.regexp_replace(text, r"^(-?)0\.", "$1."), "^-0?$", "0")

@@ -98,15 +98,23 @@ def reach_after_closures(spark, sf_dir):
     return R.reach_after(n, people, 0, n.where("(u * 7 + v) % 4 = 0"))
 
 
+#: The tied rows of nations in both directions.
+BOTH = f"{ROWS}, bw AS (SELECT u, v, w FROM rows UNION ALL SELECT v, u, w FROM rows)"
+
+
+def both_ways(spark, sf_dir):
+    return G.undirected(in_rows(spark, sf_dir))
+
+
 @query(f"""
-WITH RECURSIVE {NET}, p AS (SELECT 0 AS node, 0 AS d UNION SELECT net.v, p.d + w FROM p JOIN net ON net.u = p.node WHERE p.d + w < 500), t AS (SELECT node, min(d) AS d FROM p GROUP BY node),
-up AS (SELECT b.node, min(a.node) AS via FROM t b JOIN net ON net.v = b.node JOIN t a ON a.node = net.u AND a.d + w = b.d WHERE b.node <> 0 GROUP BY b.node),
-walk AS (SELECT node, node AS here, false AS crosses, node AS first FROM t WHERE d > 60 UNION ALL SELECT walk.node, up.via, walk.crosses OR (least(here, via) + greatest(here, via)) % 5 = 0, here FROM walk JOIN up ON up.node = walk.here)
-SELECT CAST(node AS BIGINT) AS node, CAST(first AS BIGINT) AS first, crosses FROM walk WHERE here = 0
+WITH RECURSIVE {BOTH}, p AS (SELECT 100 AS node, 0 AS d UNION SELECT bw.v, p.d + w FROM p JOIN bw ON bw.u = p.node WHERE p.d + w < 1500), t AS (SELECT node, min(d) AS d FROM p GROUP BY node),
+up AS (SELECT b.node, min(a.node) AS via FROM t b JOIN bw ON bw.v = b.node JOIN t a ON a.node = bw.u AND a.d + w = b.d WHERE b.node <> 100 GROUP BY b.node),
+walk AS (SELECT node, node AS here, false AS crosses, node AS first FROM t WHERE d > 120 UNION ALL SELECT walk.node, up.via, walk.crosses OR (least(here, via) + greatest(here, via)) % 5 = 0, here FROM walk JOIN up ON up.node = walk.here)
+SELECT CAST(node AS BIGINT) AS node, CAST(first AS BIGINT) AS first, crosses FROM walk WHERE here = 100
 """)
 def route_exits(spark, sf_dir):
-    n = net(spark, sf_dir)
-    return R.exits(n, 0, F.col("dist") > 60, n.where("(u + v) % 5 = 0"))
+    n = both_ways(spark, sf_dir)
+    return R.exits(n, 100, F.col("dist") > 120, n.where("(u + v) % 5 = 0"))
 
 
 @query(f"""
@@ -128,10 +136,10 @@ def cut_edges(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE {NET}, f AS (SELECT 0 AS node, 0 AS d UNION SELECT net.v, f.d + w FROM f JOIN net ON net.u = f.node WHERE f.d + w < 400), df AS (SELECT node, min(d) AS d FROM f GROUP BY node),
-b AS (SELECT 4 AS node, 0 AS d UNION SELECT net.u, b.d + w FROM b JOIN net ON net.v = b.node WHERE b.d + w < 400), db AS (SELECT node, min(d) AS d FROM b GROUP BY node)
-SELECT CAST(net.u AS BIGINT) AS u, CAST(net.v AS BIGINT) AS v, CAST(fu.d + w + bv.d AS DOUBLE) AS via FROM net JOIN df fu ON fu.node = net.u JOIN df fv ON fv.node = net.v JOIN db bu ON bu.node = net.u JOIN db bv ON bv.node = net.v
-WHERE fu.d + w = fv.d AND bv.d + w = bu.d AND fu.d + w + bv.d <= 1.5 * (SELECT d FROM df WHERE node = 4)
+WITH RECURSIVE {BOTH}, f AS (SELECT 100 AS node, 0 AS d UNION SELECT bw.v, f.d + w FROM f JOIN bw ON bw.u = f.node WHERE f.d + w < 1500), df AS (SELECT node, min(d) AS d FROM f GROUP BY node),
+b AS (SELECT 104 AS node, 0 AS d UNION SELECT bw.u, b.d + w FROM b JOIN bw ON bw.v = b.node WHERE b.d + w < 1500), db AS (SELECT node, min(d) AS d FROM b GROUP BY node)
+SELECT CAST(bw.u AS BIGINT) AS u, CAST(bw.v AS BIGINT) AS v, CAST(fu.d + w + bv.d AS DOUBLE) AS via FROM bw JOIN df fu ON fu.node = bw.u JOIN df fv ON fv.node = bw.v JOIN db bu ON bu.node = bw.u JOIN db bv ON bv.node = bw.v
+WHERE fu.d + w = fv.d AND bv.d + w = bu.d AND fu.d + w + bv.d <= 1.5 * (SELECT d FROM df WHERE node = 104)
 """)
 def plateau_edge_lengths(spark, sf_dir):
-    return G.plateaus(net(spark, sf_dir), start=0, end=4)
+    return G.plateaus(both_ways(spark, sf_dir), start=100, end=104)
