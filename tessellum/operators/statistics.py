@@ -45,8 +45,8 @@ def mad(df: DataFrame, *, by: str, value: str) -> DataFrame:
 def block_bootstrap(df: DataFrame, *, value: str, order: str, block: int, draws: int, seed: int, levels=(0.025, 0.975)) -> DataFrame:
     """(low, high): percentile interval of the mean over moving blocks.
 
-    Blocks are first summed, one row each; a draw picks as many blocks as fill the series, by a hash of
-    (seed, draw, place), so the result doesn't depend on partitions. ``draws`` times the number of blocks rows.
+    Blocks are first summed, one row each; a draw picks as many blocks as fill the series, by an MD5 of
+    the seed and the place among all draws, so the result doesn't depend on partitions. ``draws`` times the number of blocks rows.
     """
     rows = df.select(F.col(value).alias("v"), F.row_number().over(Window.orderBy(order)).alias("i"))
     n = rows.count()
@@ -55,7 +55,8 @@ def block_bootstrap(df: DataFrame, *, value: str, order: str, block: int, draws:
     w = Window.orderBy("i").rowsBetween(0, block - 1)
     blocks = rows.select((F.col("i") - 1).alias("b"), F.sum("v").over(w).alias("s")).where(F.col("b") <= n - block)
     places = -(-n // block)
-    picks = df.sparkSession.range(draws * places).select((F.col("id") / places).cast("long").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n - block + 1)).alias("b"))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 12), 16, 10).cast("long")
+    picks = df.sparkSession.range(draws * places).select((F.col("id") / places).cast("long").alias("draw"), (drawn % (n - block + 1)).alias("b"))
     means = picks.join(blocks, "b").groupBy("draw").agg((F.sum("s") / (places * block)).alias("m"))
     p = F.percentile("m", F.array(*[F.lit(x) for x in levels]))
     return means.agg(p.alias("p")).select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))

@@ -135,6 +135,19 @@ def affine_line(spark, sf_dir):
     return S.affine_fit(p, x="x", y="y", target="t").select(F.round("a", 8).alias("slope_x"))
 
 
+@query(f"""
+WITH {PTS}, t AS (SELECT x, y, 2 * x - 3 * y + 5 + id % 7 AS t FROM pts), m AS (SELECT covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(y, y) AS yy, covar_pop(x, t) AS xt, covar_pop(y, t) AS yt, avg(x) AS mx, avg(y) AS my, avg(t) AS mt FROM t),
+f AS (SELECT *, (xt * yy - yt * xy) / (xx * yy - xy * xy) AS a, (yt * xx - xt * xy) / (xx * yy - xy * xy) AS b FROM m), r AS (SELECT max(abs(t - (a * x + b * y + mt - a * mx - b * my))) AS worst FROM t, f)
+SELECT round(a, 6) AS a, round(b, 6) AS b, round(mt - a * mx - b * my, 4) AS c, round(worst, 4) AS worst FROM f, r
+""")
+def affine_plane(spark, sf_dir):
+    """Both coordinates, the constant and the largest residual of the fit."""
+    p = points(spark, sf_dir).withColumn("t", 2 * F.col("x") - 3 * F.col("y") + 5 + F.col("id") % 7)
+    fit = S.affine_fit(p, x="x", y="y", target="t")
+    worst = p.crossJoin(F.broadcast(fit)).groupBy("a", "b", "c").agg(F.max(F.abs(F.col("t") - F.col("a") * F.col("x") - F.col("b") * F.col("y") - F.col("c"))).alias("worst"))
+    return worst.select(F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("c", 4).alias("c"), F.round("worst", 4).alias("worst"))
+
+
 @query("""
 WITH a AS (SELECT l_orderkey AS k, l_quantity AS lo, l_quantity + 5 AS hi FROM lineitem WHERE l_linenumber <= 3), b AS (SELECT l_orderkey AS k, l_quantity AS lo, l_quantity + 3 AS hi FROM lineitem WHERE l_linenumber > 3)
 SELECT a.k, sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)) AS overlap FROM a JOIN b ON a.k = b.k AND greatest(a.lo, b.lo) < least(a.hi, b.hi) GROUP BY a.k

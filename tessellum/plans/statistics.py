@@ -91,7 +91,12 @@ def shift_null(spark, sf_dir):
     return S.shift_null(days, at="i", a="x", b="y").select(F.round("observed", 4).alias("observed"), F.round("p", 8).alias("p"))
 
 
-@query()
+@query("""
+WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY 1), r AS (SELECT v, row_number() OVER (ORDER BY day) AS i FROM d), n AS (SELECT count(*) AS n FROM r),
+b AS (SELECT i - 1 AS b, sum(v) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM r), k AS (SELECT CAST(ceil(n / 5) AS BIGINT) AS places, n - 4 AS m FROM n),
+p AS (SELECT id // places AS draw, CAST('0x' || substr(md5('6674:' || id), 1, 12) AS BIGINT) % m AS b FROM k, range(0, 4000 * (SELECT places FROM k)) t(id)), m AS (SELECT draw, sum(s) / (any_value(places) * 5) AS m FROM p JOIN b USING (b), k GROUP BY draw)
+SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m
+""")
 def block_bootstrap(spark, sf_dir):
     days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    return S.block_bootstrap(days, value="v", order="day", block=5, draws=4000, seed=6674)
+    return S.block_bootstrap(days, value="v", order="day", block=5, draws=4000, seed=6674).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

@@ -10,6 +10,8 @@ SF = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: No row at this size, for which the larger tables are used.
 SPARSE = {"alternative_paths"}
+#: Nothing to route between at this size: tests/test_plain.py looks at these on a network of its own.
+EMPTY = {"penalty_routes", "plateau_routes", "plateau_edges"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -19,7 +21,8 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows or name in EMPTY
 
 
 def test_entry(spark):
