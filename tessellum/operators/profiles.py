@@ -30,11 +30,11 @@ def lengths(line: DataFrame, *, key: str) -> DataFrame:
 
 def placed(segs: DataFrame, at: DataFrame, *, key: str, place: str, names: tuple[str, str] = ("x", "y")) -> DataFrame:
     """``at`` (key, place, ...) with the point of the line there, by a segment that reaches over the place."""
-    s = segs.select(F.col(key).alias("_k"), "d0", "d1", "x0", "y0", "x1", "y1")
-    last = s.groupBy("_k").agg(F.max("d1").alias("_end"))
-    met = at.join(s.join(last, "_k"), (F.col(key) == F.col("_k")) & (F.col(place) >= F.col("d0")) & ((F.col(place) < F.col("d1")) | ((F.col(place) == F.col("d1")) & (F.col("d1") == F.col("_end")))))
-    f = (F.col(place) - F.col("d0")) / (F.col("d1") - F.col("d0"))
-    return met.select(*at.columns, (F.col("x0") + (F.col("x1") - F.col("x0")) * f).alias(names[0]), (F.col("y0") + (F.col("y1") - F.col("y0")) * f).alias(names[1]))
+    s = segs.select(F.col(key).alias("_k"), *[F.col(n).alias(f"_{n}") for n in ("d0", "d1", "x0", "y0", "x1", "y1")])
+    last = s.groupBy("_k").agg(F.max("_d1").alias("_end"))
+    met = at.join(s.join(last, "_k"), (F.col(key) == F.col("_k")) & (F.col(place) >= F.col("_d0")) & ((F.col(place) < F.col("_d1")) | ((F.col(place) == F.col("_d1")) & (F.col("_d1") == F.col("_end")))))
+    f = (F.col(place) - F.col("_d0")) / (F.col("_d1") - F.col("_d0"))
+    return met.select(*at.columns, *[(F.col(f"_{n}0") + (F.col(f"_{n}1") - F.col(f"_{n}0")) * f).alias(to) for n, to in zip("xy", names, strict=True)])
 
 
 def label_anchors(line: DataFrame, *, key: str, spacing: float, least: float, half: float) -> DataFrame:

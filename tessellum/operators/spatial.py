@@ -128,3 +128,11 @@ def path_encode(points: DataFrame, *, key: str, order: str, digits: int = 1) ->
     part = F.when(first, F.concat(F.lit("M"), number("qx"), F.lit(","), number("qy"))).otherwise(F.concat(F.lit("l"), number("dx"), F.lit(","), number("dy")))
     kept = step.where(first | (F.col("dx") != 0) | (F.col("dy") != 0)).select(key, order, part.alias("s"))
     return kept.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "s"))), lambda x: x["s"]), "").alias("d"))
+
+
+def similarity_fit(pairs: DataFrame, *, x: str, y: str, u: str, v: str) -> DataFrame:
+    """(a, b, tx, ty) of u = a * x - b * y + tx, v = b * x + a * y + ty by least squares, from one row of sums."""
+    c = lambda i, j: F.covar_pop(i, j)
+    s = pairs.agg((c(x, u) + c(y, v)).alias("p"), (c(x, v) - c(y, u)).alias("q"), (c(x, x) + c(y, y)).alias("n"), *[F.avg(k).alias(f"m{i}") for i, k in enumerate((x, y, u, v))])
+    a, b = F.col("p") / F.col("n"), F.col("q") / F.col("n")
+    return s.select(a.alias("a"), b.alias("b"), (F.col("m2") - a * F.col("m0") + b * F.col("m1")).alias("tx"), (F.col("m3") - b * F.col("m0") - a * F.col("m1")).alias("ty"))
