@@ -96,6 +96,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .decontaminate import oracle
+    from . import decontaminate, secrets, substring_dedup
 
-    return {"op8_decontaminate": oracle(threshold=0.8, size=5)}
+    return {
+        "op5_secret_scan": secrets.oracle(),
+        "op6_substring_dedup": substring_dedup.oracle(length=50),
+        "op8_decontaminate": decontaminate.oracle(threshold=0.8, size=5),
+    }

@@ -150,3 +150,33 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*names)
+
+
+def oracle(rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> str:
+    """``scanned`` in DuckDB SQL: every rule over every text, positions by running sums over what stands between matches."""
+
+    def plain(pattern: str) -> str:
+        """Letters in either case as classes, since other engines' case folding reaches beyond ASCII."""
+        head, mark, rest = pattern.partition("(?i:")
+        if not mark:
+            return pattern
+        words, _, rest = rest.partition(")")
+        return head + "(?:" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words) + ")" + rest
+
+    parts = []
+    for i, r in enumerate(rules):
+        q = plain(r.pattern).replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, '{r.kind}' AS kind, {i} AS rank, {r.least} AS least, regexp_split_to_array(t, '{q}') AS g, "
+            f"regexp_extract_all(t, '{q}') AS h, regexp_extract_all(t, '{q}', {r.group}) AS v FROM d WHERE regexp_matches(t, '{q}')"
+        )
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in base)
+    shown = "kind || ':' || a || ':' || e"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}),
+x AS (SELECT doc_id, kind, rank, least, unnest(h) AS h, unnest(v) AS v, unnest(g[1:len(h)]) AS g, unnest(range(1, len(h) + 1)) AS i FROM m),
+p AS (SELECT *, sum(length(g) + length(h)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM x),
+s AS (SELECT doc_id, kind, rank, CAST(stop - length(h) AS BIGINT) AS a, CAST(stop AS BIGINT) AS e FROM p WHERE length(v) >= least)
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({shown}, ',' ORDER BY a, rank) FILTER (rank < {len(base)}), '')) AS base_sha256,
+  coalesce(string_agg({shown}, ',' ORDER BY a, rank), '') AS spans FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+""".strip()

@@ -212,3 +212,16 @@ def kept_words(docs: DataFrame, length: int = 50, gram: int = 10, digest: bool =
         return step
 
     return map_batches(texts.join(matches(texts, length, gram), ["did", "th"], "left").select(id_of(), "text", "cuts"), make, f"doc_id long, n_words long, n_removed long, {name} string")
+
+
+def oracle(length: int = 50) -> str:
+    """``kept_words`` with digests in DuckDB SQL, every window as text."""
+    return f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + {length - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {length - 2})) AS i FROM d WHERE len(w) >= {length})),
+least AS (SELECT s, min(doc_id) AS lo FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+cut AS (SELECT DISTINCT doc_id, unnest(range(i, i + {length})) AS p FROM win JOIN least USING (s) WHERE lo < doc_id),
+each AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN cut USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+""".strip()
