@@ -135,7 +135,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if threshold > THRESHOLD:
         raise ValueError(f"the triples hold for up to {THRESHOLD} differing bits")
     # a fingerprint becomes about a hundred rows, so these are dealt over all tasks first; a number that is named isn't lowered by adaptive planning
-    nodes = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    nodes = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     living, sent = _at_anchors(nodes, True, "b"), _at_anchors(nodes, False, "a")
     return sent.join(living, (sent.anchor == living.anchor) & (F.bit_count(sent.a.bitwiseXOR(living.b)) <= threshold) & (sent.a < living.b)).select("a", "b")
 
