@@ -9,7 +9,8 @@ is judged alike on every run.
 What comes to the driver is one row a bucket, whatever the corpus.
 
 Defined results: a null or empty text has no words and fails the base rules; a text too short for an n-gram has
-ratio 0; without a trusted text all ratios are 0; repeated rows are judged each; a null doc_id stays null.
+ratio 0; without a trusted text all ratios are 0; repeated rows are judged each; a null doc_id stays null; an empty
+table gives no rows; a very long text is counted whole, its n-grams in pieces; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, tokens, whether they are over 2048, and how many characters fit that many, of every text."""
     import public_tokenizers
 
     from .token_counts import token_counts
@@ -21,6 +22,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and the digests of the ids and of what they decode to, of every text."""
     import public_tokenizers
 
     from .byte_bpe import encode_digests
@@ -29,42 +31,49 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bradley-Terry scores of every text, learned outside the fold."""
     from .quality_rank import scored
 
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, fold=0, threshold=0.3)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text, with terms and weights learned outside the fold."""
     from .toxicity import scored
 
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1, threshold=0.7)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text, base kinds counted and digested."""
     from .secrets import scanned
 
     return scanned(table(spark, sf_dir, "documents"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text that stand in windows of fifty of an earlier document, and the digest of the others."""
     from .substring_dedup import kept_words
 
     return kept_words(table(spark, sf_dir, "documents"), length=50, digest=True)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by fixed rules and the verdict of the ratio for every text."""
     from .quality_rules import judged
 
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain at least 0.8 of an item's five-word shingles."""
     from .decontaminate import pairs
 
     return pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, size=5)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and the least doc_id reachable over links of four bits."""
     from .simhash import grouped
 
     got = grouped(table(spark, sf_dir, "documents"), threshold=4, shingle=4)
@@ -72,6 +81,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text in strings of 200 that stand anywhere else, and the digest of the others."""
     from .run_index import kept_bytes
 
     return kept_bytes(table(spark, sf_dir, "documents"), length=200, digest=True)

@@ -7,7 +7,8 @@ mandatory trigram are matched against every text. Positions come from the pieces
 points, by a running sum within the text.
 
 Defined results: a null or empty text has no spans; repeated rows have equal results each; a null doc_id
-stays null; other columns are ignored.
+stays null; an empty table gives no rows; a very long text is matched whole; other columns are ignored, and kept as they are
+where texts are redacted.
 """
 
 from __future__ import annotations
