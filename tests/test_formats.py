@@ -19,7 +19,7 @@ def shapefile() -> tuple[bytes, bytes]:
     null = struct.pack("<i", 0)
     shp = b"\0" * 100 + record(1, polygon) + record(2, point) + record(3, null) + record(4, line)
     fields = b"".join(n.ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([w]) + b"\0" * 15 for n, w in ((b"NAME", 6), (b"CODE", 3)))
-    rows = b"".join(b" " + a.encode("cp932").ljust(6) + b.encode().ljust(3) for a, b in (("新宮", "1"), ("b", "22"), ("c", "3"), ("d", "4")))
+    rows = b"".join(b" " + a.encode("cp932").ljust(6) + b.encode().ljust(3) for a, b in (("東町", "1"), ("b", "22"), ("c", "3"), ("d", "4")))
     dbf = b"\x03\0\0\0" + struct.pack("<IHH", 4, 32 + 64 + 1, 10) + b"\0" * 20 + fields + b"\r" + rows
     return shp, dbf
 
@@ -33,7 +33,7 @@ def test_shapes(spark, tmp_path):
         z.writestr("x/A.dbf", dbf)
     got = {r.n: r for r in read_shapes(spark, str(tmp_path / "a.zip")).collect()}
     assert {n: r.kind for n, r in got.items()} == {1: "Polygon", 2: "Point", 4: "LineString"}
-    assert got[1].properties == {"NAME": "新宮", "CODE": "1"} and [len(p) for p in got[1].parts] == [5, 4] and tuple(got[1].parts[0][1]) == (0.0, 2.0)
+    assert got[1].properties == {"NAME": "東町", "CODE": "1"} and [len(p) for p in got[1].parts] == [5, 4] and tuple(got[1].parts[0][1]) == (0.0, 2.0)
     assert [r.n for r in read_shapes(spark, str(tmp_path / "a.zip"), box=(9, 9, 11, 11)).collect()] == [4]
     (tmp_path / "b.shp").write_bytes(shp)
     assert {(r.n, len(r.properties)) for r in read_shapes(spark, str(tmp_path / "b.shp")).collect()} == {(1, 0), (2, 0), (4, 0)}
@@ -76,11 +76,11 @@ def test_parcels(spark, tmp_path):
         + point("P1", 4, 0) + point("P2", 4, 3) + point("P3", 0, 3)
         + curve("C1", ref("P1") + direct) + curve("C2", ref("P2") + ref("P1"), "-") + curve("C3", ref("P3") + ref("P2")) + curve("C4", ref("P3") + direct)
         + f'<zmn:GM_Surface id="F1"><zmn:GM_Polygon>{ring("C1", "C2", "C3", "C4")}</zmn:GM_Polygon></zmn:GM_Surface></空間属性>'
-        '<主題属性><筆 id="H1"><大字名>神倉</大字名><地番>12-3</地番><形状 idref="F1"/></筆><筆 id="H2"><地番>9</地番></筆></主題属性></地図>'
+        '<主題属性><筆 id="H1"><大字名>中町</大字名><地番>12-3</地番><形状 idref="F1"/></筆><筆 id="H2"><地番>9</地番></筆></主題属性></地図>'
     )
     (tmp_path / "a.xml").write_text(xml, encoding="utf-8")
     got = read_parcels(spark, str(tmp_path / "a.xml")).collect()
-    assert [(r.id, r.tags, r.gaps) for r in got] == [("H1", {"大字名": "神倉", "地番": "12-3"}, 0)]
+    assert [(r.id, r.tags, r.gaps) for r in got] == [("H1", {"大字名": "中町", "地番": "12-3"}, 0)]
     r = [(p.x, p.y) for p in got[0].rings[0]]
     assert r[0] == r[-1] and set(r) == {(0, 0), (4, 0), (4, 3), (0, 3)} and len(r) == 5
     assert abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:], strict=False))) / 2 == 12
