@@ -24,11 +24,44 @@ PIECE_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Ship the package and bound Arrow batches. The two settings stay with the session, since plans read them when they run."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Tables that a worker keeps from task to task, and those that the task at hand has asked for.
+_kept: dict[str, object] = {}
+_asked: set[str] = set()
+
+
+def kept(name: str, build: Callable[[], object]) -> object:
+    """What ``build`` gives, once a worker process, until a task begins there that doesn't ask for it; it must have ``release``."""
+    _asked.add(name)
+    if name not in _kept:
+        _kept[name] = build()
+    return _kept[name]
+
+
+def begun(make: Callable[[], object]) -> object:
+    """``make()`` at a task's beginning; tables that tasks of other operators have left in this worker are let go."""
+    _asked.clear()
+    step = make()
+    gone = [n for n in _kept if n not in _asked]
+    for name in gone:
+        _kept.pop(name).release()
+    if gone:
+        tidy()
+    return step
+
+
+def tidy() -> None:
+    """Give memory that is no longer used back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its own counsel
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches, cut into parts of at most PIECE_BYTES or one row; memory that is no longer used goes back at the end."""
     for batch in batches:
@@ -40,9 +73,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 todo += [part.slice(half), part.slice(0, half)]
             elif part.num_rows:
                 yield part
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its own counsel
-        ctypes.CDLL(None).malloc_trim(0)
+    tidy()
 
 
 def texts_of(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,17 +88,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
-    """Apply ``make()()`` to each Arrow batch; ``make`` runs once per task, on the executor."""
+    """Apply ``make()()`` to each Arrow batch; ``make`` runs once per task, on the executor. If what it makes has ``close``, that is called at the end."""
     bounded_batches(df.sparkSession)
     fields = df.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow_schema(fields)
     names = arrow.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
-        for batch in pieces(batches):
-            if (out := step(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([_as(out[n], arrow.field(n).type) for n in names], schema=arrow)
+        step = begun(make)
+        try:
+            for batch in pieces(batches):
+                if (out := step(batch)) is not None:
+                    yield pa.RecordBatch.from_arrays([_as(out[n], arrow.field(n).type) for n in names], schema=arrow)
+        finally:
+            getattr(step, "close", lambda: None)()
 
     return df.mapInArrow(run, fields)
 

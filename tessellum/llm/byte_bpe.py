@@ -21,13 +21,12 @@ import base64
 import gc
 import hashlib
 import re
-from functools import lru_cache
 from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
 
-from .batches import map_batches, texts_of
+from .batches import kept, map_batches, texts_of
 from .bpe import PairTest
 
 
@@ -73,6 +72,14 @@ class Transducer:
         self.states: dict[tuple, _State] = {}
         self.start = self.state(b"", ((0, None),))
 
+    def release(self) -> None:
+        """Let go of all states, which refer to each other, and of the pairs tested."""
+        for state in self.states.values():
+            state.clear()
+        self.states.clear()
+        self.stands.known.clear()
+        self._empty()
+
     def state(self, tail: bytes, live: tuple) -> _State:
         got = self.states.get((tail, live))
         if got is None:
@@ -187,7 +194,7 @@ class _Known(dict):
 class ByteBpe:
     """A vocabulary file of lines ``base64 rank`` with the pattern that cuts texts into pretokens."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 500_000):
+    def __init__(self, path: str, pattern: str, keep: int = 250_000):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.pieces = regex.compile(pattern)
@@ -197,6 +204,11 @@ class ByteBpe:
             self.bytes[rank] = token
         self.names = [str(i) for i in range(len(self.bytes))]
 
+    def release(self) -> None:
+        self.known.transducer.release()
+        self.known.clear()
+        self.known.older = {}
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.known.__getitem__, self.pieces.findall(text))))
 
@@ -208,12 +220,15 @@ class ByteBpe:
         return "".join([*(stream.feed(self.decode_bytes(ids[i : i + piece])) for i in range(0, len(ids), piece)), stream.end()])
 
 
-@lru_cache(2)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
     """One per worker process. The vocabulary stays, so the collector needn't look at it again."""
-    got = ByteBpe(path, pattern)
-    gc.freeze()
-    return got
+
+    def build() -> ByteBpe:
+        got = ByteBpe(path, pattern)
+        gc.freeze()
+        return got
+
+    return kept(f"byte_bpe {path} {pattern}", build)
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -19,7 +19,6 @@ import gc
 import json
 import unicodedata
 from array import array
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .batches import map_batches, texts_of
+from .batches import kept, map_batches, texts_of
 from .bpe import PairTest
 
 END = "</w>"
@@ -158,6 +157,12 @@ class PrefixCounter:
             at = m.end()
         return np.concatenate([*parts, self._plain(self.normal(text[at:]))])
 
+    def release(self) -> None:
+        self.known.clear()
+        self.known.older = {}
+        self.prefixes, self.held = _Prefix(), 0
+        self.stands.known.clear()
+
     def count(self, text: str) -> int:
         return int(self.steps(text).sum())
 
@@ -194,12 +199,15 @@ class _Missing(dict):
         return got
 
 
-@lru_cache(2)
 def counter(path: str) -> PrefixCounter:
     """One per worker process: its tables serve all the tasks there. The vocabulary stays, so the collector needn't look at it again."""
-    got = PrefixCounter(path)
-    gc.freeze()
-    return got
+
+    def build() -> PrefixCounter:
+        got = PrefixCounter(path)
+        gc.freeze()
+        return got
+
+    return kept(f"token_counts {path}", build)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:

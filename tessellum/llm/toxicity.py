@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import bounded_batches, map_batches, pieces, texts_of
+from .batches import begun, bounded_batches, map_batches, pieces, texts_of
 from .quality_rank import in_fold, sample_of
 
 MOST_LABELS = 3000
@@ -126,6 +126,14 @@ class Lexicon:
         put(self.root, 0)
         self.start = self.state(start)
 
+    def release(self) -> None:
+        """Let go of all states, which refer to each other, so that their memory is free at once."""
+        for state in self.states.values():
+            state.clear()
+        self.states.clear()
+        self.known.clear()
+        self.start = None
+
     def state(self, least: dict[_Node, int]) -> _State:
         key = frozenset(least.items())
         got = self.states.get(key)
@@ -346,11 +354,14 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: i
     model = fit(docs, labels, folds=folds, fold=fold, most_labels=most_labels)
 
     def run(batches):
-        step = _scorer(model)
-        for batch in pieces(batches):
-            text = pc.fill_null(batch.column("text"), "")
-            score = step(pa.RecordBatch.from_arrays([text, text], names=["doc_id", "text"]))["score"]
-            yield batch.filter(pa.array(np.asarray(score) < threshold))
+        step = begun(lambda: _scorer(model))
+        try:
+            for batch in pieces(batches):
+                text = pc.fill_null(batch.column("text"), "")
+                score = step(pa.RecordBatch.from_arrays([text, text], names=["doc_id", "text"]))["score"]
+                yield batch.filter(pa.array(np.asarray(score) < threshold))
+        finally:
+            getattr(step, "close", lambda: None)()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -364,4 +375,5 @@ def _scorer(model):
         x = np.array([features(lexicon, t) for t in batch.column("text").to_pylist()]).reshape(-1, 9)
         return {"doc_id": batch.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(tied(x) @ w, -40, 40)))}
 
+    step.close = lexicon.release
     return step
