@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import fresh
+from .decontaminate import few
 from .substring_dedup import id_of, keyed
 from .trigrams import query
 
@@ -88,7 +89,7 @@ def spans(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(did, th, kind, rank, start, end): code points, end exclusive; leftmost and without overlaps within a kind."""
     scan = {r.kind for r in rules if not query(r.pattern)}
     asked = F.coalesce("kinds", F.array().cast("array<string>"))
-    looked = texts.join(candidates(texts, rules), ["did", "th"], "left").withColumn("kinds", asked)
+    looked = texts.join(few(candidates(texts, rules), "candidates"), ["did", "th"], "left").withColumn("kinds", asked)
     each = F.array(
         *[
             F.when(
@@ -143,7 +144,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     names = docs.columns
     did, th, kinds = fresh(docs, "did", "th", "kinds")
     named = docs.withColumn(did, F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = candidates(keyed(docs), rules).select(F.col("did").alias(did), F.col("th").alias(th), F.col("kinds").alias(kinds))
+    found = few(candidates(keyed(docs), rules).select(F.col("did").alias(did), F.col("th").alias(th), F.col("kinds").alias(kinds)), "candidates")
     out = named.join(found, [did, th], "left")
     for r in rules:
         may = F.lit(True) if not query(r.pattern) else F.coalesce(F.array_contains(kinds, r.kind), F.lit(False))
