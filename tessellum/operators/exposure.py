@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,8 @@ def tier_cube(df: DataFrame, *, by: list[str], tier: str, measures: dict[str, Co
 
 
 def scenario_grid(spark, **axes: list) -> DataFrame:
-    """All combinations of a few literal values; their number is the product of the lists given here."""
-    out = None
-    for name, values in axes.items():
-        one = spark.createDataFrame([(v,) for v in values], [name])
-        out = one if out is None else out.crossJoin(one)
-    return F.broadcast(out)
+    """All combinations of a few literal values, made here: their number is the product of the lists, and crossing tables would take a task for each pair of their partitions."""
+    return F.broadcast(spark.createDataFrame(list(product(*axes.values())), list(axes)))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
