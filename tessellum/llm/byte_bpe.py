@@ -31,30 +31,33 @@ from .bpe import PairTest
 
 
 class _State(dict):
-    """The live prefixes: the bytes since the first of them, and for each its offset there and its last token.
+    """``key``: the bytes since the first live prefix, and then for each live prefix its offset there and its last token's id
+    (-1: none), all in one tuple, which is the state's key as well: with many states it is their keys that take memory.
 
     Maps a byte to (next state, id and length of the token at which the prefix that the byte completes
     ends, whether all tokens up to there are settled). Entries are made when first asked for.
     """
 
-    __slots__ = ("tail", "live", "machine")
+    __slots__ = ("key", "machine")
 
     def __missing__(self, byte: int) -> tuple:
-        tail, m = self.tail + bytes((byte,)), self.machine
-        ranks, stands, openings = m.ranks, m.stands, m.openings
+        m, (tail, *live) = self.machine, self.key
+        tail += bytes((byte,))
+        ids, tokens, openings = m.ids, m.tokens, m.openings
         onward, found = [], None
-        for at, last in self.live:
+        for at, last in zip(live[::2], live[1::2], strict=True):
             t = tail[at:]
-            if found is None and t in ranks and stands(last, t):
-                found = t
+            # the vocabulary's own bytes are compared, so what is known of pairs keeps no copies
+            if found is None and (i := ids.get(t)) is not None and m.stands(tokens.get(last), tokens[i]):
+                found = i
             if t in openings:
-                onward.append((at, last))
+                onward += (at, last)
         if found is None:
             raise ValueError(f"no token ends at byte {byte}")
-        onward.append((len(tail), found))
-        first = onward[0][0]
-        to = m.state(tail[first:], tuple((at - first, last) for at, last in onward))
-        got = self[byte] = (to, m.ids[found], len(found), len(onward) == 1)
+        onward += (len(tail), found)
+        first = onward[0]
+        onward[::2] = [at - first for at in onward[::2]]
+        got = self[byte] = (m.state((tail[first:], *onward)), found, len(tokens[found]), len(onward) == 2)
         return got
 
 
@@ -63,14 +66,15 @@ class Transducer:
     shorter than the whole by less than the longest token, so no more lookahead is needed."""
 
     def __init__(self, ranks: dict[bytes, int], keep_states: int = 300_000):
-        self.ranks, self.ids, self.keep_states = ranks, ranks, keep_states
+        self.ids, self.keep_states = ranks, keep_states
+        self.tokens = {i: t for t, i in ranks.items()}
         self.openings = {t[:k] for t in ranks for k in range(1, len(t))}
         self.stands = PairTest(lambda whole: [whole[i : i + 1] for i in range(len(whole))], lambda a, b: ranks.get(a + b))
         self._empty()
 
     def _empty(self) -> None:
         self.states: dict[tuple, _State] = {}
-        self.start = self.state(b"", ((0, None),))
+        self.start = self.state((b"", 0, -1))
 
     def release(self) -> None:
         """Let go of all states, which refer to each other, and of the pairs tested."""
@@ -80,11 +84,11 @@ class Transducer:
         self.stands.known.clear()
         self._empty()
 
-    def state(self, tail: bytes, live: tuple) -> _State:
-        got = self.states.get((tail, live))
+    def state(self, key: tuple) -> _State:
+        got = self.states.get(key)
         if got is None:
-            got = self.states[tail, live] = _State()
-            got.tail, got.live, got.machine = tail, live, self
+            got = self.states[key] = _State()
+            got.key, got.machine = key, self
         return got
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
