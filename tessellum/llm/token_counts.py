@@ -39,10 +39,36 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(256 + next(rest)) for b in range(256)]
 
 
-class _Prefix(dict):
-    """A node of the trie of prefixes met lately."""
+class _State(dict):
+    """The next state by each byte met. A state is the longest end of the bytes read that begins a token; ``inner`` and
+    ``final`` are the tokens that end there, longest first."""
 
-    __slots__ = ("row",)
+    __slots__ = ("counter", "final", "inner", "read")
+
+    def __init__(self, counter: PrefixCounter, read: str):
+        self.counter, self.read = counter, read
+        ends = [read[k:] for k in range(len(read))]
+        self.inner = [(len(t), counter.after(t)) for t in ends if t in counter.inner]
+        self.final = [(len(t), counter.after(t + END)) for t in ends if t in counter.final]
+
+    def __missing__(self, byte: int) -> _State:
+        self.counter.room()
+        got = self[byte] = self.counter.state(self.read + self.counter.bytes[byte])
+        return got
+
+
+class _After(dict):
+    """Whether one token may stand after each of those met before it (``bpe.PairTest``)."""
+
+    __slots__ = ("counter", "token")
+
+    def __init__(self, counter: PrefixCounter, token: str):
+        self.counter, self.token = counter, token
+
+    def __missing__(self, left: str | None) -> bool:
+        self.counter.room()
+        got = self[left] = self.counter.stands._test(left, self.token)
+        return got
 
 
 class PrefixCounter:
@@ -57,8 +83,10 @@ class PrefixCounter:
         vocab = model["vocab"]
         self.inner = {t for t in vocab if not t.endswith(END)}
         self.final = {t.removesuffix(END) for t in vocab if t.endswith(END)}
-        self.longest = max(map(len, self.inner | self.final))
+        self.begins = {t[:k] for t in self.inner | self.final for k in range(len(t) + 1)}
         self.bytes = byte_alphabet()
+        if not (self.inner.issuperset(self.bytes) and self.final.issuperset(self.bytes)):
+            raise ValueError(f"{path} lacks tokens of single bytes")
         self.stands = PairTest(self._units, lambda a, b: ranks.get((a, b)))
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -66,7 +94,9 @@ class PrefixCounter:
         self.spaced = regex.compile(rf"\p{{White_Space}}*+(?:{self.pieces.pattern})")
         self.keep = keep
         self.known: dict[str, bytes] = _Missing(self)
-        self.prefixes, self.held = _Prefix(), 0
+        self.states: dict[str, _State] = {}
+        self.afters: dict[str, _After] = {}
+        self.forget()
 
     @staticmethod
     def _units(token: str) -> list[str]:
@@ -81,52 +111,56 @@ class PrefixCounter:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def forget(self) -> None:
+        """Begin the tables of states and pairs anew; emptied in place, since a pretoken may be under way."""
+        for met in (*self.states.values(), *self.afters.values()):
+            met.clear()
+        self.states, self.afters, self.met = {}, {}, 0
+        self.start = self.state("")
+
+    def room(self) -> None:
+        if self.met >= self.keep:
+            self.forget()
+        self.met += 1
+
+    def after(self, token: str) -> _After:
+        got = self.afters.get(token)
+        if got is None:
+            got = self.afters[token] = _After(self, token)
+        return got
+
+    def state(self, read: str) -> _State:
+        while read not in self.begins:
+            read = read[1:]
+        got = self.states.get(read)
+        if got is None:
+            got = self.states[read] = _State(self, read)
+        return got
+
     def table(self, piece: str) -> list[int]:
         """Change of the count at each character of one pretoken.
 
-        Rows are kept in a trie, since many pretokens begin alike.
+        At each byte: the last token and the count if more follow, and the count as a whole word if a character ends there.
         """
         raw = piece.encode()
-        node, rows, out, before = self.prefixes, [(None, 0, 0)], [], 0
-        if self.held >= self.keep:
-            self.prefixes, self.held = _Prefix(), 0
-            node = self.prefixes
-        s = "".join(map(self.bytes.__getitem__, raw))
-        for i, letter in enumerate(s, 1):
-            if node is not None:
-                onward = node.get(letter)
-                if onward is None:
-                    row = self._row(rows, s, i, i == len(s) or raw[i] & 0xC0 != 0x80)
-                    if i < 40:
-                        onward = node[letter] = _Prefix()
-                        onward.row = row
-                        self.held += 1
-                else:
-                    row = onward.row
-                node = onward
-            else:
-                row = self._row(rows, s, i, i == len(s) or raw[i] & 0xC0 != 0x80)
-            rows.append(row)
-            if row[2] is not None:
-                out.append(row[2] - before)
-                before = row[2]
-        return out
-
-    def _row(self, rows: list[tuple], s: str, i: int, ends: bool) -> tuple[str | None, int | None, int | None]:
-        """Last token and count of the first i bytes if more follow, and their count as a whole word if a character ends there."""
-        inner, final, stands = self.inner, self.final, self.stands
-        last = n = whole = None
-        for j in range(max(0, i - self.longest), i):
-            t = s[j:i]
-            if last is None and t in inner and stands(rows[j][0], t):
-                last, n = t, rows[j][1] + 1
-                if whole is not None or not ends:
+        plain, end = len(raw) == len(piece), len(raw)
+        state, lasts, counts, out, before, i = self.start, [None], [0], [], 0, 0
+        for byte in raw:
+            state = state[byte]
+            i += 1
+            for size, after in state.inner:
+                if after[lasts[i - size]]:
+                    lasts.append(after.token)
+                    counts.append(counts[i - size] + 1)
                     break
-            if ends and whole is None and t in final and stands(rows[j][0], t + END):
-                whole = rows[j][1] + 1
-                if last is not None:
-                    break
-        return last, n, whole
+            if plain or i == end or raw[i] & 0xC0 != 0x80:
+                for size, after in state.final:
+                    if after[lasts[i - size]]:
+                        n = counts[i - size] + 1
+                        out.append(n - before)
+                        before = n
+                        break
+        return out
 
     def of_piece(self, piece: str) -> int:
         return sum(self.table(piece))
@@ -160,8 +194,7 @@ class PrefixCounter:
     def release(self) -> None:
         self.known.clear()
         self.known.older = {}
-        self.prefixes, self.held = _Prefix(), 0
-        self.stands.known.clear()
+        self.forget()
 
     def count(self, text: str) -> int:
         return int(self.steps(text).sum())

@@ -1,6 +1,7 @@
 """The stored table of prefix counts against the tokenizer itself, asked again for every prefix."""
 
 import random
+import sys
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -58,3 +59,38 @@ def test_fit_of_the_query(spark):
     c = PrefixCounter(PATH)
     assert got[1].over_limit and got[1].n_chars_fit == c.fits(long_, 100) < len(long_) and c.prefix_counts(long_)[got[1].n_chars_fit] <= 100
     assert not got[2].over_limit and got[2].n_chars_fit == 5
+
+
+def test_new_pretokens_cost_few_calls():
+    """Pretokens met for the first time, whose tokens and pairs have mostly been met: a few calls each, not some at every byte."""
+    from tessellum.llm.token_counts import PrefixCounter
+
+    r = random.Random(8)
+    bits = "the and tion ing er re on at en ción".split()
+    words = sorted({"".join(r.choice(bits) for _ in range(r.randint(3, 6))) for _ in range(30_000)})
+    r.shuffle(words)
+    c, calls = PrefixCounter(PATH), 0
+    c.count(" ".join(words[2000:]))
+
+    def called(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(called)
+    try:
+        n = c.count(" ".join(words[:2000]))
+    finally:
+        sys.setprofile(None)
+    assert n == len(Tokenizer.from_file(PATH).encode(" ".join(words[:2000]), add_special_tokens=False).ids)
+    assert calls < 8 * 2000
+
+
+def test_small_tables():
+    """Tables that overflow inside a pretoken change no count, and hold no more than allowed."""
+    from tessellum.llm.token_counts import PrefixCounter
+
+    t, c, r = Tokenizer.from_file(PATH), PrefixCounter(PATH, keep=30), random.Random(9)
+    texts = [*TEXTS, "".join(r.choice("abcdeéñ日") for _ in range(300)), "antidisestablishmentarianism" * 8]
+    for text in texts:
+        assert c.prefix_counts(text) == counts(t, text), text
+        assert sum(map(len, (*c.states.values(), *c.afters.values()))) <= c.met <= 30
