@@ -30,6 +30,8 @@ from .batches import kept, map_batches, texts_of
 from .bpe import PairTest
 
 END = "</w>"
+#: White space as the vocabulary's pattern has it; ``str.lstrip`` alone would take U+001C to U+001F too, which are pretokens.
+SPACE = "".join(regex.findall(r"\p{White_Space}", "".join(map(chr, range(0x3001)))))
 
 
 def byte_alphabet() -> list[str]:
@@ -226,7 +228,7 @@ class _Missing(dict):
             self.clear()
         got = self.older.get(piece)
         if got is None:
-            bare = piece.lstrip()
+            bare = piece.lstrip(SPACE)
             got = array("i", [0] * (len(piece) - len(bare)) + self.counter.piece_steps(bare)).tobytes()
         self[piece] = got
         return got

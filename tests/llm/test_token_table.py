@@ -94,3 +94,11 @@ def test_small_tables():
     for text in texts:
         assert c.prefix_counts(text) == counts(t, text), text
         assert sum(map(len, (*c.states.values(), *c.afters.values()))) <= c.met <= 30
+
+
+def test_separators_are_no_white_space():
+    from tessellum.llm.token_counts import PrefixCounter
+
+    t, c = Tokenizer.from_file(PATH), PrefixCounter(PATH)
+    for text in ("\x1c", "a\x1fb", "\x1c!", " \x1d? a", "\x1c\x1e 's", "\x85a\u2028b\u3000\x1d"):
+        assert c.prefix_counts(text) == counts(t, text), text
