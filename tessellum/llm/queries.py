@@ -87,6 +87,15 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_bytes(table(spark, sf_dir, "documents"), length=200, digest=True)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and the digests of the ids and of what they decode to, of every text; words encoded over a trie."""
+    import public_tokenizers
+
+    from .prefix_trie import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 ALL = (
     op1_token_counts,
     op2_byte_bpe,
@@ -98,6 +107,7 @@ ALL = (
     op8_decontaminate,
     op9_simhash,
     op10_run_index,
+    op11_prefix_trie,
 )
 
 
