@@ -96,6 +96,22 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two vocabularies in every text, and how the links count in the whole corpus."""
+    import public_tokenizers
+
+    from .alignment import aligned
+
+    return aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of every text towards the benchmark's words, and the tenth of the documents that is drawn by them."""
+    from .importance import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), target_id="item_id", length=1, buckets=10_000, seed="2024", least=20, percent=10)
+
+
 ALL = (
     op1_token_counts,
     op2_byte_bpe,
@@ -108,6 +124,8 @@ ALL = (
     op9_simhash,
     op10_run_index,
     op11_prefix_trie,
+    op12_alignment,
+    op13_importance,
 )
 
 
@@ -116,10 +134,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, secrets, substring_dedup
+    from . import decontaminate, importance, secrets, substring_dedup
 
     return {
         "op5_secret_scan": secrets.oracle(),
         "op6_substring_dedup": substring_dedup.oracle(length=50),
         "op8_decontaminate": decontaminate.oracle(threshold=0.8, size=5),
+        "op13_importance": importance.oracle(),
     }

@@ -113,3 +113,36 @@ def rules(text: str | None) -> tuple:
     repeat = {i + j for at in windows.values() if len(at) > 1 for i in at for j in range(5)}
     failed = len(w) < 10 or 100 * len(repeat) > 20 * len(w)
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(repeat), failed)
+
+
+def alignment(rows: list[tuple[int, str | None]], a, b, a_bytes, b_bytes) -> list[tuple]:
+    """Operator 12 from its definition: ``a`` and ``b`` give ids of a text, ``a_bytes`` and ``b_bytes`` the bytes of an id."""
+    told, held = [], {}
+    for d, text in rows:
+        ta, tb = (a(" " + text), b(text)) if text else ([], [])
+        if not text or any(b"".join(map(f, t)) != (" " + text).encode() for f, t in ((a_bytes, ta), (b_bytes, tb))):
+            told.append((d, [], [], [], ""))
+            continue
+        spans = []
+        for f, t in ((a_bytes, ta), (b_bytes, tb)):
+            at, own = 0, []
+            for i in t:
+                own.append((at, at + len(f(i)), i))
+                at += len(f(i))
+            spans.append(own)
+        links = [(x[2], y[2]) for x in spans[0] for y in spans[1] if x[0] < y[1] and y[0] < x[1]]
+        for p in set(links):
+            held[p] = held.get(p, 0) + 1
+        cuts = sorted({x[1] for x in spans[0]} & {y[1] for y in spans[1]})
+        groups, low = [], 0
+        for c in cuts:
+            groups.append("|".join(",".join(str(i) for s, e, i in own if low <= s and e <= c) for own in spans))
+            low = c
+        told.append((d, ta, tb, links, ";".join(groups)))
+    best_a, best_b = {}, {}
+    for (i, j), n in held.items():
+        best_a[i], best_b[j] = max(best_a.get(i, 0), n), max(best_b.get(j, 0), n)
+    return [
+        (d, len(ta), len(tb), g.count(";") + 1 if g else 0, len(links), sum(held[p] == best_a[p[0]] for p in links), sum(held[p] for p in links), sha(g.encode()) if g else "", sum(held[p] == best_b[p[1]] for p in links))
+        for d, ta, tb, links, g in told
+    ]
