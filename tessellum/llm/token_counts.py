@@ -168,8 +168,9 @@ class PrefixCounter:
         return sum(self.table(piece))
 
     def piece_steps(self, piece: str) -> list[int]:
-        """``table``, but for pretokens whose prefixes are split otherwise than the whole."""
-        if piece[0] == "'" and len(piece) > 1:
+        """``table``, but for pretokens whose prefixes are split otherwise than the whole: contractions, of three characters at most.
+        A longer run of punctuation that begins with an apostrophe has runs of punctuation as prefixes."""
+        if piece[0] == "'" and 1 < len(piece) <= 3:
             counts = [0, *(sum(self.of_piece(x) for x in self.pieces.findall(piece[:k])) for k in range(1, len(piece) + 1))]
             return [b - a for a, b in pairwise(counts)]
         return self.table(piece)

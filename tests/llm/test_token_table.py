@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -102,3 +103,15 @@ def test_separators_are_no_white_space():
     t, c = Tokenizer.from_file(PATH), PrefixCounter(PATH)
     for text in ("\x1c", "a\x1fb", "\x1c!", " \x1d? a", "\x1c\x1e 's", "\x85a\u2028b\u3000\x1d"):
         assert c.prefix_counts(text) == counts(t, text), text
+
+
+def test_runs_that_begin_with_an_apostrophe():
+    from tessellum.llm.token_counts import PrefixCounter
+
+    t, c = Tokenizer.from_file(PATH), PrefixCounter(PATH)
+    for text in ["'" * 60, "'-" * 40, "''s 'tis", "'!?x", "a'" + "'," * 30 + "'re", "'d'", "'é", "'٣"]:
+        assert c.prefix_counts(text) == counts(t, text), text
+    began = time.process_time()
+    assert c.count("'" * 200_000) == len(t.encode("'" * 200_000, add_special_tokens=False).ids)
+    assert c.count("'-" * 100_000) > 0
+    assert time.process_time() - began < 4
