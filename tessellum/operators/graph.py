@@ -5,15 +5,13 @@ Iterations run on the cluster with the lineage cut each round; what comes to the
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.plans.stages import ship, stash
+from tessellum.plans.stages import stash
 
 from .components import components
+from .trees import bridges
 
 
 def undirected(edges: DataFrame, *, u: str = "u", v: str = "v") -> DataFrame:
@@ -77,61 +75,6 @@ def contracted(edges: DataFrame, *, u: str = "u", v: str = "v", weight: str = "w
     return chain.groupBy("chain").agg(F.sum("w").alias("total"), F.count("*").alias("n")).join(caps, "chain", "left").select("chain", "a", "b", "total", "n")
 
 
-def _bridge_frame(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Bridges of one component by depth-first low points, without recursion; parallel edges are no bridges."""
-    near: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    pairs = list(zip(pdf["u"], pdf["v"], strict=True))
-    for i, (a, b) in enumerate(pairs):
-        near[a].append((b, i))
-        near[b].append((a, i))
-    depth: dict[int, int] = {}
-    low: dict[int, int] = {}
-    cut, below, people = [], {}, defaultdict(float)
-    for a, b, x, y in pdf[["u", "v", "wu", "wv"]].itertuples(index=False):
-        people[a], people[b] = x, y
-    root = max(people, key=lambda n: (n == pdf["root"].iloc[0], -n))
-    stack = [(root, -1, iter(near[root]))]
-    depth[root] = low[root] = 0
-    below[root] = people[root]
-    while stack:
-        node, via, rest = stack[-1]
-        for other, edge in rest:
-            if edge == via:
-                continue
-            if other in depth:
-                low[node] = min(low[node], depth[other])
-            else:
-                depth[other] = low[other] = len(stack)
-                below[other] = people[other]
-                stack.append((other, edge, iter(near[other])))
-                break
-        else:
-            stack.pop()
-            if stack:
-                up = stack[-1][0]
-                low[up] = min(low[up], low[node])
-                below[up] += below[node]
-                if low[node] > depth[up]:
-                    cut.append((*sorted((up, node)), float(below[node])))
-    return pd.DataFrame(cut, columns=["u", "v", "beyond"])
-
-
-def bridges(edges: DataFrame, weights: DataFrame, *, root: object, u: str = "u", v: str = "v") -> DataFrame:
-    """(u, v, beyond): edges whose loss cuts their component, with the weight on the side away from the root.
-
-    One task for each connected component: the search is sequential by nature, so components must fit a worker.
-    ``weights`` is (node, weight); a node without a row weighs 0.
-    """
-    ship(edges.sparkSession)
-    pairs = edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).where("u <> v")
-    member = components(pairs, "u", "v")
-    w = weights.select(F.col("node").alias("n"), F.col("weight").cast("double").alias("w"))
-    named = pairs.join(member.withColumnRenamed("node", "u"), "u")
-    named = named.join(w.withColumnsRenamed({"n": "u", "w": "wu"}), "u", "left").join(w.withColumnsRenamed({"n": "v", "w": "wv"}), "v", "left")
-    named = named.select("component", "u", "v", F.coalesce("wu", F.lit(0.0)).alias("wu"), F.coalesce("wv", F.lit(0.0)).alias("wv"), F.lit(root).cast("long").alias("root"))
-    return named.groupBy("component").applyInPandas(_bridge_frame, "u long, v long, beyond double")
-
-
 def trace(links: DataFrame, starts: DataFrame, *, src: str, dst: str, most_rounds: int = 10_000) -> DataFrame:
     """(start, node, step): all nodes reached from each start over directed links, each once, at its first step."""
     step = stash(links.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct(), "links")
@@ -195,3 +138,6 @@ def plateaus(edges: DataFrame, *, start: object, end: object, u: str = "u", v: s
     tight = (F.abs(F.col("d1") + F.col("w") - F.col("e0")) < 1e-9) & (F.abs(F.col("d2") + F.col("w") - F.col("e1")) < 1e-9)
     best = out.where(F.col("n1") == F.lit(end)).select(F.col("d1").alias("best"))
     return got.where(tight).crossJoin(F.broadcast(best)).select(u, v, (F.col("d1") + F.col("w") + F.col("d2")).alias("via"), "best").where(F.col("via") <= F.col("best") * stretch).drop("best")
+
+
+__all__ = ["bridges", "contracted", "degrees", "grade_cost", "largest_component", "oriented", "plateaus", "shared_length", "shortest_paths", "simple_paths", "trace", "undirected"]

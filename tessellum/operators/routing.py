@@ -1,7 +1,7 @@
 """Routing beyond one solve: alternatives, waypoints, numbered ways, directness, isochrones and reach after closures.
 
 A route is an ordered table of edges (route, seq, u, v, w). Solves run on the cluster (``graph.shortest_paths``
-with predecessors); what the driver loops over is a route's alternatives or the legs of a tour, which are few.
+with predecessors), and so do the ways back over their trees (``chains.ancestors``); what the driver loops over is the rounds of penalties and the routes kept, which are few.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessellum.plans.stages import stash
 
+from .chains import ancestors, follow
 from .graph import degrees, shared_length, shortest_paths, undirected
 
 ROUTE = "seq int, u long, v long, w double"
@@ -34,104 +35,108 @@ def tree(edges: DataFrame, root: int, *, backward: bool = False) -> DataFrame:
     return dist.join(tight.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("next")), "node", "left").select("node", "dist", F.when(F.col("node") != root, F.col("next")).alias("next"))
 
 
-def route_to(grown: DataFrame, edges: DataFrame, target: int, *, most: int = 100_000) -> list[tuple[int, int, float]]:
-    """The edges from the tree's root to the target, walked back over ``next`` with one small lookup a step; empty if unreached."""
-    path, node = [], target
-    step = stash(grown.where("next IS NOT NULL").select("node", "next"), "steps")
-    for _ in range(most):
-        got = step.where(F.col("node") == node).select("next").first()
-        if got is None:
-            break
-        path.append((got[0], node))
-        node = got[0]
-    if not path:
-        return []
-    asked = edges.sparkSession.createDataFrame(path, "u long, v long")
-    w = {(r.u, r.v): r.w for r in edges.join(F.broadcast(asked), ["u", "v"]).groupBy("u", "v").agg(F.min(F.col("w").cast("double")).alias("w")).collect()}
-    return [(u, v, w[u, v]) for u, v in reversed(path)]
+def ways(grown: DataFrame, edges: DataFrame, targets: DataFrame, *, backward: bool = False) -> DataFrame:
+    """(route, seq, u, v, w): the edges between the tree's root and each target of ``targets`` (route, node), all routes at once.
 
+    ``grown`` is a ``tree``, ``edges`` has one row (u, v, w) for each pair. A target that the tree doesn't reach has no rows.
+    """
+    up = stash(grown.where("next IS NOT NULL").select("node", F.col("next").alias("to")), "up")
+    met = stash(ancestors(up, targets.select("route", "node")), "met").select("route", "at", "step")
+    on = met.join(up.withColumnRenamed("node", "at"), "at")
+    if backward:
+        on = on.select("route", F.col("step").alias("seq"), F.col("at").alias("u"), F.col("to").alias("v"))
+    else:
+        whole = met.groupBy("route").agg(F.max("step").alias("n"))
+        on = on.join(whole, "route").select("route", (F.col("n") - 1 - F.col("step")).alias("seq"), F.col("to").alias("u"), F.col("at").alias("v"))
+    return on.join(edges.select("u", "v", "w"), ["u", "v"]).select("route", "seq", "u", "v", "w")
 
-def as_route(spark, listed: list[tuple[int, int, float]]) -> DataFrame:
-    return spark.createDataFrame([(i, u, v, float(w)) for i, (u, v, w) in enumerate(listed)], ROUTE)
 
+def _simple(edges: DataFrame) -> DataFrame:
+    """One edge for each (u, v), the lightest."""
+    return stash(edges.groupBy("u", "v").agg(F.min(F.col("w").cast("double")).alias("w")), "simple")
 
-def _key(u: int, v: int) -> tuple[int, int]:
-    return (u, v) if u < v else (v, u)
 
+def _sides(routes: DataFrame) -> DataFrame:
+    return routes.select("route", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "w")
 
-def _shared(a: list[tuple], b: list[tuple]) -> float:
-    other = {_key(u, v) for u, v, _ in b}
-    return sum(w for u, v, w in a if _key(u, v) in other)
+
+def apart(routes: DataFrame, offered: DataFrame, order: list[str], *, share: float, most: int) -> list:
+    """The routes kept, in order: of those on offer the first, then the first that shares with none kept more than ``share`` of the shorter one's length, and so on.
+
+    ``offered`` is (route, *order). Each choice strikes out what shares too much with it, in one join over the edges of all that is left; there are ``most`` at most.
+    """
+    sides = stash(_sides(routes), "sides")
+    left = stash(offered.join(sides.groupBy("route").agg(F.sum("w").alias("size")), "route"), "left")
+    kept: list = []
+    while len(kept) < most and (best := left.orderBy(*order).select("route", "size").first()) is not None:
+        kept.append(best.route)
+        own = sides.where(F.col("route") == F.lit(best.route)).select("a", "b").distinct()
+        shared = sides.join(own, ["a", "b"]).groupBy("route").agg(F.sum("w").alias("shared"))
+        fine = F.coalesce("shared", F.lit(0.0)) <= share * F.least("size", F.lit(best.size))
+        left = stash(left.where(F.col("route") != F.lit(best.route)).join(shared, "route", "left").where(fine).drop("shared"), "left")
+    return kept
+
+
+def _numbered(routes: DataFrame, kept: list, kind: str) -> DataFrame:
+    """Only the routes kept, by their place among them."""
+    places = routes.sparkSession.createDataFrame([(r, i) for i, r in enumerate(kept)], f"route {kind}, _place int")
+    return routes.join(F.broadcast(places), "route").withColumn("route", F.col("_place")).drop("_place")
 
 
 def penalty_alternatives(edges: DataFrame, start: int, end: int, *, penalty: float = 4.0, stretch: float = 1.6, overlap: float = 0.5, rounds: int = 40) -> DataFrame:
-    """(route, seq, u, v, w): routes found one after the other, each raising the cost of its edges, both ways, for the next.
+    """(route, seq, u, v, w): shortest ways, each over costs raised by ``penalty`` for every earlier way that used an edge in either direction.
 
-    Kept are those of at most ``stretch`` times the first one's length that share at most ``overlap`` of the shorter of the
-    two with each one kept before.
+    Of these, those of at most ``stretch`` times the first one's length are on offer, and ``apart`` keeps what shares at most ``overlap``. Uses are a table that
+    grows by one way a round; a way is looked up by jumps, not edge by edge.
     """
     spark = edges.sparkSession
-    plain = stash(edges.select("u", "v", F.col("w").cast("double").alias("w")).groupBy("u", "v").agg(F.min("w").alias("w")), "plain")
-    times: dict[tuple[int, int], float] = {}
-    kept: list[list[tuple]] = []
-    base = None
-    for _ in range(rounds):
+    plain, found = _simple(edges), None
+    for k in range(rounds):
         raised = plain
-        if times:
-            listed = spark.createDataFrame([(a, b, t) for (a, b), t in times.items()], "a long, b long, t double")
-            key = (F.least("u", "v") == F.col("a")) & (F.greatest("u", "v") == F.col("b"))
-            raised = plain.join(F.broadcast(listed), key, "left").select("u", "v", (F.col("w") * F.coalesce("t", F.lit(1.0))).alias("w"))
-        found = route_to(tree(raised, start), raised, end)
-        if not found:
+        if found is not None:
+            uses = _sides(found).groupBy("a", "b").agg(F.count("*").alias("uses"))
+            raised = plain.withColumns({"a": F.least("u", "v"), "b": F.greatest("u", "v")}).join(uses, ["a", "b"], "left")
+            raised = raised.select("u", "v", (F.col("w") * F.pow(F.lit(penalty), F.coalesce("uses", F.lit(0)))).alias("w"))
+        way = stash(ways(tree(raised, start), plain, spark.createDataFrame([(k, end)], "route int, node long")), "way")
+        if way.isEmpty():
             break
-        asked = spark.createDataFrame([(u, v) for u, v, _ in found], "u long, v long")
-        real = {(r.u, r.v): r.w for r in plain.join(F.broadcast(asked), ["u", "v"]).collect()}
-        found = [(u, v, real[u, v]) for u, v, _ in found]
-        length = sum(w for *_, w in found)
-        base = length if base is None else base
-        for u, v, _ in found:
-            times[_key(u, v)] = times.get(_key(u, v), 1.0) * penalty
-        if length <= stretch * base and all(_shared(found, k) <= overlap * min(length, sum(w for *_, w in k)) for k in kept):
-            kept.append(found)
-    rows = [(i, j, u, v, w) for i, k in enumerate(kept) for j, (u, v, w) in enumerate(k)]
-    return spark.createDataFrame(rows, "route int, " + ROUTE)
+        found = way if found is None else found.unionByName(way)
+    if found is None:
+        return spark.createDataFrame([], "route int, " + ROUTE)
+    size = stash(found.groupBy("route").agg(F.sum("w").alias("length")), "size")
+    base = size.where("route = 0").first().length
+    kept = apart(found, size.where(F.col("length") <= stretch * base).select("route"), ["route"], share=overlap, most=rounds)
+    return _numbered(found, kept, "int").select("route", F.col("seq").cast("int").alias("seq"), "u", "v", "w")
 
 
 def plateau_routes(edges: DataFrame, start: int, end: int, *, stretch: float = 1.5, least: float = 0.08, most_share: float = 0.8, most: int = 8) -> DataFrame:
     """(route, plateau, seq, u, v, w): the best plateau routes, longest plateau first.
 
     A plateau is a chain of edges on both the tree from the start and the tree to the end. Its route goes to the
-    plateau's beginning on the one tree and on from its end on the other. Routes over ``stretch`` times the shortest,
-    plateaus under ``least`` of it, and routes that share more than ``most_share`` with one kept are left out.
+    plateau's end on the one tree and on from there on the other. Routes over ``stretch`` times the shortest and
+    plateaus under ``least`` of it are left out; ``apart`` chooses among the others.
     """
     spark = edges.sparkSession
-    plain = stash(edges.select("u", "v", F.col("w").cast("double").alias("w")).groupBy("u", "v").agg(F.min("w").alias("w")), "plain")
+    plain = _simple(edges)
     out, back = stash(tree(plain, start), "out"), stash(tree(plain, end, backward=True), "back")
     total = out.where(F.col("node") == end).select("dist").first()
     if total is None:
         return spark.createDataFrame([], "route int, plateau double, " + ROUTE)
     on = out.where("next IS NOT NULL").select(F.col("next").alias("u"), F.col("node").alias("v"))
     both = on.join(back.where("next IS NOT NULL").select(F.col("node").alias("u"), F.col("next").alias("v")), ["u", "v"]).join(plain, ["u", "v"])
-    # every node has one edge in and one out at most here, so the least node of a component names its chain
-    from .components import components
-
-    both = stash(both, "both")
-    chains = both.join(components(both, "u", "v"), F.col("u") == F.col("node")).groupBy("component").agg(F.sum("w").alias("plateau"), F.collect_set("u").alias("us"), F.collect_set("v").alias("vs"))
-    ends = chains.select("plateau", F.array_except("us", "vs")[0].alias("x"), F.array_except("vs", "us")[0].alias("y"))
-    d = ends.join(out.select(F.col("node").alias("x"), F.col("dist").alias("dx")), "x").join(back.select(F.col("node").alias("y"), F.col("dist").alias("dy")), "y")
-    fine = d.where((F.col("dx") + F.col("plateau") + F.col("dy") <= stretch * total[0] + 1e-9) & (F.col("plateau") >= least * total[0]))
-    kept: list[tuple[float, list[tuple]]] = []
-    for c in fine.orderBy(F.desc("plateau"), "x").toLocalIterator():
-        ahead = route_to(out, plain, c.y)
-        rest = [(v, u, w) for u, v, w in reversed(route_to(back, plain.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"), c.y))]
-        found = ahead + rest
-        length = sum(w for *_, w in found)
-        if all(_shared(k, found) <= most_share * min(length, sum(w for *_, w in k)) for _, k in kept):
-            kept.append((c.plateau, found))
-        if len(kept) >= most:
-            break
-    rows = [(i, p, j, u, v, w) for i, (p, k) in enumerate(kept) for j, (u, v, w) in enumerate(k)]
-    return spark.createDataFrame(rows, "route int, plateau double, " + ROUTE)
+    both = stash(both.select(F.col("u").alias("node"), F.col("v").alias("to"), "w"), "both")
+    # a node has one edge in and one out at most here; a plateau begins where none leads in
+    ends = follow(both, sums=("w",)).join(both.select(F.col("to").alias("node")), "node", "left_anti").select(F.col("node").alias("route"), F.col("to").alias("node"), F.col("w").alias("plateau"))
+    far = out.select(F.col("node").alias("route"), F.col("dist").alias("before"))
+    ends = ends.join(far, "route").join(back.select("node", F.col("dist").alias("after")), "node")
+    whole = F.col("before") + F.col("plateau") + F.col("after")
+    fine = stash(ends.where((whole <= stretch * total[0] + 1e-9) & (F.col("plateau") >= least * total[0])).select("route", "node", "plateau"), "fine")
+    ahead = stash(ways(out, plain, fine), "ahead")
+    n = ahead.groupBy("route").agg(F.count("*").alias("n"))
+    rest = ways(back, plain, fine, backward=True).join(n, "route", "left").select("route", (F.col("seq") + F.coalesce("n", F.lit(0))).alias("seq"), "u", "v", "w")
+    found = stash(ahead.unionByName(rest), "found")
+    kept = apart(found, fine.select("route", (-F.col("plateau")).alias("short")), ["short", "route"], share=most_share, most=most)
+    return _numbered(found.join(fine.select("route", "plateau"), "route"), kept, "long").select("route", "plateau", F.col("seq").cast("int").alias("seq"), "u", "v", "w")
 
 
 def legs(edges: DataFrame, stops: DataFrame, *, detour: float = 2.5, over: float = 300.0) -> DataFrame:
@@ -250,4 +255,4 @@ def usage(routes: DataFrame) -> DataFrame:
     return routes.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "route").distinct().groupBy("u", "v").agg(F.count("*").alias("uses"))
 
 
-__all__ = ["along_number", "as_route", "directness", "exits", "isochrone", "legs", "many_to_many", "number_ends", "penalty_alternatives", "plateau_routes", "reach_after", "route_to", "shared_length", "tied_ends", "tree", "usage"]
+__all__ = ["along_number", "apart", "directness", "exits", "isochrone", "legs", "many_to_many", "number_ends", "penalty_alternatives", "plateau_routes", "reach_after", "shared_length", "tied_ends", "tree", "usage", "ways"]

@@ -22,12 +22,12 @@ def seats(spark, sf_dir):
 
 @query()
 def penalty_routes(spark, sf_dir):
-    return R.penalty_alternatives(net(spark, sf_dir), 0, 4, rounds=6)
+    return R.penalty_alternatives(G.undirected(net(spark, sf_dir)), 0, 9, rounds=6)
 
 
 @query()
 def plateau_routes(spark, sf_dir):
-    return R.plateau_routes(net(spark, sf_dir), 0, 4)
+    return R.plateau_routes(G.undirected(net(spark, sf_dir)), 0, 9)
 
 
 @query(f"""

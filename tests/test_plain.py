@@ -47,23 +47,10 @@ def solve(edges, root, back=False):
     return dist, to
 
 
-def walk(to, node):
-    out = []
-    while node in to:
-        out.append((to[node], node))
-        node = to[node]
-    return out[::-1]
-
-
 def key(u, v):
     return (min(u, v), max(u, v))
 
 
-def shared(a, b, edges):
-    other = {key(*e) for e in b}
-    return sum(edges[e] for e in a if key(*e) in other)
-
-
 def routes(df):
     out = {}
     for r in df.orderBy("route", "seq").collect():
@@ -75,50 +62,117 @@ def frame(spark, edges):
     return spark.createDataFrame([(u, v, w) for (u, v), w in edges.items()], "u long, v long, w double")
 
 
+def all_paths(edges, start, end, over=()):
+    """Every path without a repeated node, as a tuple of edges."""
+    if start == end:
+        yield ()
+    else:
+        for u, v in edges:
+            if u == start and v not in over:
+                for rest in all_paths(edges, v, end, (*over, u)):
+                    yield ((u, v), *rest)
+
+
+def length(edges, path):
+    return sum(edges[e] for e in path)
+
+
+def kept_apart(edges, offered, share):
+    """Which of the listed paths stay: those that no path kept before them overlaps by more than the share of the shorter one."""
+    kept = []
+    for p in offered:
+        sides = [{key(*e) for e in k} for k in kept]
+        common = [sum(edges[e] for e in p if key(*e) in s) for s in sides]
+        if not any(c > share * min(length(edges, p), length(edges, k)) for c, k in zip(common, kept, strict=True)):
+            kept.append(p)
+    return [list(p) for p in kept]
+
+
 def test_penalty_alternatives(spark):
     from tessellum.operators.routing import penalty_alternatives
 
-    edges = network(3, 16)
+    edges = network(2, 8)
     end = max((d, n) for n, d in solve(edges, 0)[0].items())[1]
-    times, kept, base = {}, [], None
-    for _ in range(5):
-        raised = {e: w * times.get(key(*e), 1) for e, w in edges.items()}
-        path = walk(solve(raised, 0)[1], end)
-        size = sum(edges[e] for e in path)
-        base = base or size
-        for e in path:
-            times[key(*e)] = times.get(key(*e), 1) * 4.0
-        if size <= 1.6 * base and all(shared(path, k, edges) <= 0.5 * min(size, sum(edges[e] for e in k)) for k in kept):
-            kept.append(path)
-    assert routes(penalty_alternatives(frame(spark, edges), 0, end, rounds=5)) == kept and len(kept) > 1
+    every = list(all_paths(edges, 0, end))
+    found = []
+    for _ in range(4):
+        used = [key(*e) for p in found for e in p]
+        found.append(min(every, key=lambda p: sum(edges[e] * 4.0 ** used.count(key(*e)) for e in p)))
+    fine = [p for p in found if length(edges, p) <= 2.5 * length(edges, found[0])]
+    want = kept_apart(edges, fine, 0.5)
+    assert routes(penalty_alternatives(frame(spark, edges), 0, end, rounds=4, stretch=2.5)) == want and len(want) > 1
 
 
 def test_plateau_routes(spark):
     from tessellum.operators.routing import plateau_routes
 
-    edges = network(5, 16)
-    df, pf = solve(edges, 0)
-    end = max((d, n) for n, d in df.items())[1]
-    db, pb = solve(edges, end, back=True)
-    on = {u: v for v, u in pf.items() if pb.get(u) == v}
-    cand = []
-    for x in set(on) - set(on.values()):
-        chain, u = [], x
-        while u in on:
-            chain.append((u, on[u]))
-            u = on[u]
-        size = sum(edges[e] for e in chain)
-        if df[x] + size + db[u] <= 1.5 * df[end] + 1e-9 and size >= 0.08 * df[end]:
-            ahead = walk(pf, u)
-            while u in pb:
-                ahead.append((u, pb[u]))
-                u = pb[u]
-            cand.append((-size, x, ahead))
-    kept = []
-    for _, _, path in sorted(cand):
-        if all(shared(k, path, edges) <= 0.8 * min(sum(edges[e] for e in path), sum(edges[e] for e in k)) for k in kept):
-            kept.append(path)
-    assert routes(plateau_routes(frame(spark, edges), 0, end)) == kept[:8] and kept
+    edges = network(5, 9)
+    end = max((d, n) for n, d in solve(edges, 0)[0].items())[1]
+    best = lambda a, b: min(all_paths(edges, a, b), key=lambda p: length(edges, p), default=None)
+    ahead, rest = {n: best(0, n) for n in range(9)}, {n: best(n, end) for n in range(9)}
+    both = {e for p in ahead.values() for e in p or ()} & {e for p in rest.values() for e in p or ()}
+    offered = []
+    for x in {u for u, _ in both} - {v for _, v in both}:
+        chain, y = [], x
+        while onward := [e for e in both if e[0] == y]:
+            chain += onward
+            y = onward[0][1]
+        path = ahead[y] + rest[y]
+        assert [e for e in path if e in chain] == chain
+        if length(edges, path) <= 1.5 * length(edges, ahead[end]) + 1e-9 and length(edges, chain) >= 0.08 * length(edges, ahead[end]):
+            offered.append((-length(edges, chain), x, path))
+    want = kept_apart(edges, [p for *_, p in sorted(offered)], 0.8)
+    assert routes(plateau_routes(frame(spark, edges), 0, end)) == want[:8] and want
+
+
+def test_route_queries_have_rows(spark):
+    for name in ("penalty_routes", "plateau_routes"):
+        got = QUERIES[name](spark, SF).collect()
+        for k in {r.route for r in got}:
+            own = sorted((r.seq, r.u, r.v) for r in got if r.route == k)
+            assert [s for s, *_ in own] == list(range(len(own))) and own[0][1] == 0 and own[-1][2] == 9
+            assert all(a[2] == b[1] for a, b in zip(own, own[1:], strict=False))
+        assert got, name
+
+
+def test_bridges_of_made_networks(spark):
+    """Against removal of every edge, with parallel edges, rings, single edges and several components."""
+    from tessellum.operators.graph import bridges
+
+    r = random.Random(8)
+    for n, m in ((30, 29), (40, 60)):
+        edges = [(a, b) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(m)) if a != b]
+        edges += edges[:2] + [(100, 101), (101, 102), (200, 201), (201, 202), (202, 200)]
+        weight = {k: float(k % 7) for k in {x for e in edges for x in e} if k % 3}
+
+        def part(node, skip=None, edges=edges):
+            seen, todo = {node}, [node]
+            while todo:
+                x = todo.pop()
+                for i, e in enumerate(edges):
+                    if i != skip and x in e and (y := e[0] if e[1] == x else e[1]) not in seen:
+                        seen.add(y)
+                        todo.append(y)
+            return seen
+
+        want = set()
+        for i, (a, b) in enumerate(edges):
+            whole = part(a)
+            if b not in part(a, i):
+                root = 101 if 101 in whole else min(whole)
+                want.add((*key(a, b), sum(weight.get(x, 0) for x in whole - part(root, i))))
+        w = spark.createDataFrame(list(weight.items()), "node long, weight double")
+        got = bridges(spark.createDataFrame(edges, "u long, v long"), w, root=101)
+        assert {(x.u, x.v, round(x.beyond, 6)) for x in got.collect()} == want
+
+
+def test_bridges_of_a_star_and_a_path(spark):
+    from tessellum.operators.graph import bridges
+
+    edges = spark.createDataFrame([(0, k) for k in range(1, 150)] + [(k, k + 1) for k in range(1000, 1100)], "u long, v long")
+    one = edges.selectExpr("explode(array(u, v)) as node").distinct().selectExpr("node", "1.0 as weight")
+    got = {(r.u, r.v): r.beyond for r in bridges(edges, one, root=0).collect()}
+    assert len(got) == 249 and all(got[0, k] == 1 for k in range(1, 150)) and all(got[k, k + 1] == 1100 - k for k in range(1000, 1100))
 
 
 def test_corridors_and_bridges(spark):
