@@ -16,20 +16,20 @@ from tessellum.plans.stages import stash
 from .components import components
 
 
-def follow(links: DataFrame, *, sums: tuple[str, ...] = (), most_rounds: int = 60) -> DataFrame:
-    """(node, to, steps, *sums): where each node of ``links`` (node, to, *sums) ends, the links until there, and the sums over them.
+def follow(links: DataFrame, *, sums: tuple[str, ...] = (), tops: tuple[str, ...] = (), most_rounds: int = 60) -> DataFrame:
+    """(node, to, steps, *sums, *tops): where each node of ``links`` (node, to, *sums, *tops) ends, the links until there, and the sums and largest values over them.
 
     Links may meet (a forest) but must not close a ring; there it raises.
     """
-    cols = ("steps", *sums)
-    going = stash(links.select("node", "to", F.lit(1).cast("long").alias("steps"), *sums), "follow")
+    cols = ("steps", *sums, *tops)
+    going = stash(links.select("node", "to", F.lit(1).cast("long").alias("steps"), *sums, *tops), "follow")
     done = None
     for _ in range(most_rounds):
         # what has come to its end is looked up but not carried on
         every = going if done is None else going.unionByName(done)
         ahead = every.select(F.col("node").alias("to"), F.col("to").alias("_to"), *(F.col(c).alias(f"_{c}") for c in cols))
         met = stash(
-            going.join(ahead, "to", "left").select("node", F.coalesce("_to", "to").alias("to"), *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in cols), F.col("_to").isNotNull().alias("moved")),
+            going.join(ahead, "to", "left").select("node", F.coalesce("_to", "to").alias("to"), *((F.greatest(c, f"_{c}") if c in tops else F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in cols), F.col("_to").isNotNull().alias("moved")),
             "follow",
         )
         ended = met.where("NOT moved").drop("moved")
@@ -78,6 +78,21 @@ def ancestors(links: DataFrame, starts: DataFrame, *, most_rounds: int = 60) ->
     return way
 
 
+def gathered(nodes: DataFrame, links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
+    """(node, weight): the weights of ``nodes`` (node, weight) with those of all nodes from which ``links`` (node, to) lead there, near or far.
+
+    Each round adds what lies as far again as is known already.
+    """
+    nodes, jump = stash(nodes.select("node", "weight"), "weights"), stash(links.select("node", "to"), "jump")
+    for _ in range(most_rounds):
+        if jump.isEmpty():
+            return nodes
+        come = nodes.join(jump, "node").groupBy(F.col("to").alias("node")).agg(F.sum("weight").alias("_come"))
+        nodes = stash(nodes.join(come, "node", "left").select("node", (F.col("weight") + F.coalesce("_come", F.lit(0))).alias("weight")), "weights")
+        jump = stash(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("_to")), "to").select("node", F.col("_to").alias("to")), "jump")
+    raise RuntimeError("links form a ring")
+
+
 def running(rows: DataFrame, order: list[str], *, sums: tuple[str, ...] = (), xors: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with each of the columns replaced by its sum (or exclusive or) over all rows up to that one in the order, which must be without ties.
 

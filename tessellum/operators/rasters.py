@@ -1,9 +1,7 @@
-"""Rasters as cells (r, c, value): merging, runs, shares, samples along lines, drainage."""
+"""Rasters as cells (r, c, value): merging, runs, shares, samples along lines; best states."""
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -61,42 +59,6 @@ def best_shift(a: DataFrame, b: DataFrame, *, reach: int = 4) -> DataFrame:
     return scored.orderBy(F.desc("iou"), F.abs("dr") + F.abs("dc"), "dr", "dc").limit(1).select("dr", "dc", "iou")
 
 
-def _flow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fill from the rim inwards, lowest first: each cell drains to the one it was reached from."""
-    r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
-    at = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
-    h = pdf["v"].to_numpy(float)
-    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-    parent, done, order = np.full(len(h), -1), np.zeros(len(h), bool), []
-    rim = [i for (a, b), i in at.items() if any((a + x, b + y) not in at for x, y in near)]
-    heap = [(h[i], i) for i in rim]
-    heapq.heapify(heap)
-    done[rim] = True
-    while heap:
-        level, i = heapq.heappop(heap)
-        order.append(i)
-        for x, y in near:
-            j = at.get((r[i] + x, c[i] + y))
-            if j is not None and not done[j]:
-                done[j], parent[j] = True, i
-                heapq.heappush(heap, (max(level, h[j]), j))
-    cells = np.ones(len(h), np.int64)
-    for i in reversed(order):
-        if parent[i] >= 0:
-            cells[parent[i]] += cells[i]
-    to = np.where(parent >= 0, parent, 0)
-    return pd.DataFrame({"grid": key[0], "r": r, "c": c, "to_r": pd.array(np.where(parent >= 0, r[to], -1)), "to_c": np.where(parent >= 0, c[to], -1), "cells": cells})
-
-
-def drainage(cells: DataFrame) -> DataFrame:
-    """(grid, r, c, to_r, to_c, cells): flow directions of filled heights and the number of cells that drain through each.
-
-    Filling follows one global order and can't be split, so a grid is one task; many grids run side by side.
-    """
-    ship(cells.sparkSession)
-    return cells.where("v IS NOT NULL").select("grid", "r", "c", "v").groupBy("grid").applyInPandas(_flow, "grid string, r long, c long, to_r long, to_c long, cells long")
-
-
 def _best_path(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["seq", "state"])
     cost = back = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.plans.stages import stash
@@ -34,16 +34,21 @@ def spanning_forest(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"parts weren't joined in {most_rounds} rounds")
 
 
-def tour(tree: DataFrame) -> DataFrame:
+def tour(tree: DataFrame, *, root: Column | None = None) -> DataFrame:
     """(id, a, b, back, chain, pos): both directions of the edges of a forest ``tree`` (u, v), in the order of a walk around each of its trees.
 
     ``back`` is the id of the other direction. After an edge into a node comes the next one out of it in a circle around the node, so the walk passes each edge
-    once down and once up. A walk begins with the edge of least id, whose ``a`` is the tree's root.
+    once down and once up. A walk begins with the edge of least id, whose ``a`` is the tree's root: a node for which ``root`` (over ``a``) holds, if there is one.
     """
     both = stash(tree.select("u", "v").withColumn("k", F.monotonically_increasing_id()), "tree")
     arcs = both.select((F.col("k") * 2).alias("id"), F.col("u").alias("a"), F.col("v").alias("b"), (F.col("k") * 2 + 1).alias("back")).unionByName(
         both.select((F.col("k") * 2 + 1).alias("id"), F.col("v").alias("a"), F.col("u").alias("b"), (F.col("k") * 2).alias("back"))
     )
+    if root is not None:
+        late = F.lit(1 << 61)
+        top = lambda end: F.when(root if end == "a" else F.col("_top"), F.lit(0)).otherwise(late)
+        other = arcs.select(F.col("id").alias("back"), root.alias("_top"))
+        arcs = arcs.join(other, "back").select((F.col("id") + top("a")).alias("id"), "a", "b", (F.col("back") + top("b")).alias("back"))
     dealt = stash(arcs.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS))), "arcs")
     around = Window.partitionBy("a").orderBy("_part")  # PARTS rows a node at most
     first = dealt.groupBy("a", "_part").agg(F.min("id").alias("_first"))

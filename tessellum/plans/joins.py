@@ -12,6 +12,7 @@ from tessellum.operators import joins as J
 from tessellum.operators import ordered as O
 from tessellum.operators import rasters as R
 from tessellum.operators import spatial as S
+from tessellum.operators.drainage import drainage as drained
 
 from .registry import query, table
 from .spatial import CELLS, PTS, SUP, cells, places, points
@@ -146,7 +147,7 @@ def best_shift(spark, sf_dir):
 
 @query()
 def drainage(spark, sf_dir):
-    return R.drainage(cells(spark, sf_dir).withColumn("grid", F.concat(F.lit("g"), F.floor(F.col("r") / 20).cast("string"))))
+    return drained(cells(spark, sf_dir).withColumn("grid", F.concat(F.lit("g"), F.floor(F.col("r") / 20).cast("string"))), size=16)
 
 
 @query()
