@@ -21,6 +21,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
+from array import array
 from itertools import count
 
 import numpy as np
@@ -32,12 +33,16 @@ from pyspark.sql import functions as F
 from tessellum.plans.stages import stash
 
 from .batches import kept, map_batches, texts_of
-from .prefix_trie import vocabulary
+from .prefix_trie import Known, vocabulary
 
 SPACE = "▁"
 BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
+#: Stands for a word whose pieces join to something else.
+OTHER = array("i", [-1]).tobytes()
+
+
 class Pieces:
     """A SentencePiece model over texts that get a space in front.
 
@@ -45,7 +50,7 @@ class Pieces:
     so texts are cut there and words met lately are looked up.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 300_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -54,35 +59,26 @@ class Pieces:
         self.blank = names.index(SPACE)
         cut = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in names)
         self.words = re.compile(r" +[^ ]*" if cut else r"(?s).+")
-        self.keep = keep
-        self.release()
+        self.known = Known(self._of, keep)
 
     def release(self) -> None:
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-
-    def _of(self, word: str) -> bytes | None:
-        """Ids as bytes of 32-bit numbers; None if they join to something else. The model puts the word's first space itself."""
-        ids = self.model.encode(word[1:]) if len(word) > 1 else [self.blank]
-        return np.array(ids, np.int32).tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == word.encode() else None
-
-    def encode(self, text: str) -> np.ndarray | None:
-        """The ids of a text that begins with a space; None if they join to something else."""
-        words = self.words.findall(text)
-        try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
-        except (KeyError, TypeError):
-            table = {}
-            for w in words:
-                if w not in table:
-                    table[w] = self.known[w] if w in self.known else self.older[w] if w in self.older else self._of(w)
-            if len(self.known) + len(table) > self.keep:
-                self.older, self.known = self.known, {}
-            if len(table) <= self.keep:
-                self.known |= table
-            if None in table.values():
-                return None
-            return np.frombuffer(b"".join(map(table.__getitem__, words)), np.int32)
+        self.known.release()
+
+    def _of(self, words: set[str]) -> dict[str, bytes]:
+        """The model puts a word's first space itself."""
+        listed = list(words)
+        out = {}
+        for word, ids in zip(listed, self.model.encode([w[1:] for w in listed], num_threads=1), strict=True):
+            ids = ids if len(word) > 1 else [self.blank]
+            out[word] = array("i", ids).tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == word.encode() else OTHER
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The ids of texts that begin with a space; None if they join to something else."""
+        found = [self.words.findall(x) for x in texts]
+        table = self.known.holding(set().union(*found))
+        ids = [np.frombuffer(b"".join(map(table.__getitem__, x)), np.int32) for x in found]
+        return [None if len(x) and x.min() < 0 else x for x in ids]
 
 
 def merge(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +106,8 @@ class Aligner:
 
     def align(self, texts: list[str]) -> Aligned:
         texts = [x and f" {x}" for x in texts]
-        b = [self.b.encode(x) if x else None for x in texts]
+        own = iter(self.b.encode([x for x in texts if x]))
+        b = [next(own) if x else None for x in texts]
         a = iter(self.a.encode([x for x, y in zip(texts, b, strict=True) if y is not None], specials=False))
         none = np.zeros(0, np.int32)
         return Aligned(self, [none if y is None else next(a) for y in b], [none if y is None else y for y in b])

@@ -19,7 +19,7 @@ import gc
 import hashlib
 import json
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import regex
@@ -73,25 +73,63 @@ def trie(words: Iterable[str]) -> Node:
     return root
 
 
+class Known(dict):
+    """What ``of`` gives for the words of the batches lately: when more than ``keep`` are held, they become the older half, whose entries return when used."""
+
+    def __init__(self, of: Callable[[set[str]], dict[str, bytes]], keep: int):
+        self.of, self.keep, self.older = of, keep, {}
+
+    def release(self) -> None:
+        self.clear()
+        self.older = {}
+
+    def holding(self, words: set[str]) -> Known:
+        """This table, which then has all the words; it holds ``keep`` and those of one batch at most."""
+        if len(self) > self.keep:
+            self.older = dict(self)
+            self.clear()
+        new = words - self.keys()
+        back = new & self.older.keys()
+        self.update((w, self.older[w]) for w in back)
+        if new := new - back:
+            self.update(self.of(new))
+        return self
+
+
 class _Ends(dict):
-    """The next state by byte. ``found``: (length, id) of the tokens that end here, longest first."""
+    """The next state by byte. ``found``: (length, id, what may stand before it) of the tokens that end here, longest first."""
 
     __slots__ = ("found", "read", "vocabulary")
 
     def __init__(self, vocabulary: Vocabulary, read: bytes):
         self.vocabulary, self.read = vocabulary, read
         ids = vocabulary.ids
-        self.found = [(len(read) - k, i) for k in range(len(read)) if (i := ids.get(read[k:])) is not None]
+        self.found = [(len(read) - k, i, vocabulary.after(i)) for k in range(len(read)) if (i := ids.get(read[k:])) is not None]
 
     def __missing__(self, byte: int) -> _Ends:
         got = self[byte] = self.vocabulary.ends(self.read + bytes((byte,)))
         return got
 
 
+class _After(dict):
+    """Whether the token may stand after each of those met before it, by id (``bpe.PairTest``); -1: at the beginning."""
+
+    __slots__ = ("id", "vocabulary")
+
+    def __init__(self, vocabulary: Vocabulary, id_: int):
+        self.vocabulary, self.id = vocabulary, id_
+
+    def __missing__(self, left: int) -> bool:
+        v = self.vocabulary
+        v.pairs += 1
+        got = self[left] = v.stands._test(v.bytes[left] if left >= 0 else None, v.bytes[self.id])
+        return got
+
+
 class Vocabulary:
     """A tokenizer file of the kind byte-level BPE: no normaliser, no space put before the text."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 300_000, keep_pairs: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, before = spec["model"], spec["pre_tokenizer"] or {}
@@ -113,17 +151,28 @@ class Vocabulary:
         self.begins = {t[:k] for t in self.ids for k in range(len(t) + 1)}
         self.stands = PairTest(lambda whole: [whole[i : i + 1] for i in range(len(whole))], lambda a, b: ranks.get((a, b)))
         self.pieces = regex.compile(PRETOKEN)
-        self.keep = keep
-        self.release()
+        self.keep_pairs = keep_pairs
+        self.states: dict[bytes, _Ends] = {}
+        self.afters: dict[int, _After] = {}
+        self.pairs = 0
+        self.known = Known(self.of_words, keep)
 
     def release(self) -> None:
         """Let go of all states, pairs and words met."""
-        for state in getattr(self, "states", {}).values():
-            state.clear()
-        self.states: dict[bytes, _Ends] = {}
-        self.stands.known.clear()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.forget()
+        self.known.release()
+
+    def forget(self) -> None:
+        """Begin the tables of states and pairs anew."""
+        for met in (*self.states.values(), *self.afters.values()):
+            met.clear()
+        self.states, self.afters, self.pairs = {}, {}, 0
+
+    def after(self, i: int) -> _After:
+        got = self.afters.get(i)
+        if got is None:
+            got = self.afters[i] = _After(self, i)
+        return got
 
     def ends(self, read: bytes) -> _Ends:
         while read not in self.begins:
@@ -135,9 +184,10 @@ class Vocabulary:
 
     def of_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids of each distinct word, as bytes of 32-bit numbers."""
+        if self.pairs > self.keep_pairs:
+            self.forget()
         out: dict[str, bytes] = {}
-        tokens, stands = self.bytes, self.stands
-        lasts, sizes, states = [None], [0], [self.ends(b"")]
+        lasts, sizes, states = [-1], [0], [self.ends(b"")]
         todo = [(trie(words), 0)]
         while todo:
             node, depth = todo.pop()
@@ -146,9 +196,8 @@ class Vocabulary:
             for byte in node.label:
                 state = state[byte]
                 depth += 1
-                for size, i in state.found:
-                    left = lasts[depth - size]
-                    if stands(None if left is None else tokens[left], tokens[i]):
+                for size, i, after in state.found:
+                    if after[lasts[depth - size]]:
                         lasts.append(i)
                         sizes.append(size)
                         break
@@ -166,15 +215,8 @@ class Vocabulary:
         return out
 
     def table(self, words: set[str]) -> dict[str, bytes]:
-        """``of_words``, where words met lately are looked up: when that table is full, it becomes the older half."""
-        known, older = self.known, self.older
-        got = {w: x for w in words if (x := known.get(w) or older.get(w)) is not None}
-        got |= self.of_words(words - got.keys())
-        if len(known) + len(got) > self.keep:
-            self.older, self.known = known, {}
-        if len(got) <= self.keep:
-            self.known |= got
-        return got
+        """A table that has ``of_words`` for all the words."""
+        return self.known.holding(words)
 
     def encode(self, texts: list[str], specials: bool = True) -> list[np.ndarray]:
         """The ids of each text."""

@@ -74,9 +74,9 @@ def test_tables_stay_bounded():
     want = prefix_trie.Vocabulary(PATH).encode(one)
     for text, ids in zip(one, want, strict=True):
         assert v.encode([text])[0].tolist() == ids.tolist()
-        assert len(v.known) <= 50 and len(v.older) <= 50
+        assert len(v.known) <= 80 and len(v.known.older) <= 80
     v.release()
-    assert not v.known and not v.older and v.encode(one[:1])[0].tolist() == want[0].tolist()
+    assert not v.known and not v.known.older and v.encode(one[:1])[0].tolist() == want[0].tolist()
 
 
 def test_query_on_whole_table(spark, library):
