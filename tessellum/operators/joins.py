@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellum.plans.stages import stash
+
+from .chains import chains
+from .spatial import within
+
 
 def matched_by_name(left: DataFrame, right: DataFrame, *, left_key: Column, right_key: Column, aliases: dict[str, str] | None = None) -> DataFrame:
     """Left join on a normalised key, after aliases have been put in for keys that have one."""
@@ -76,3 +81,23 @@ def lagged_pairs(steps: DataFrame, *, route: str, order: str, node: str) -> Data
     """(route, a, b): consecutive nodes of each route."""
     w = Window.partitionBy(route).orderBy(order)
     return steps.select(route, F.col(node).alias("a"), F.lead(node).over(w).alias("b")).where("b IS NOT NULL")
+
+
+def joined_ways(ways: DataFrame, *, gap: float) -> DataFrame:
+    """(chain, ring, pos, way, turned, gap): ways (way, x0, y0, x1, y1) put end to end, each turned where it has to be.
+
+    Two ends meet if each is the other's nearest end of another way, the one of the lesser number on ties, and they are no more than ``gap`` apart; ``gap`` is how far the way's beginning is from the
+    end before. Both directions of every way are linked, so a chain comes twice; the one in which its way of least number isn't turned stays, and names it.
+    """
+    ends = ways.select("way", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (0, 1)])).alias("e"))
+    ends = stash(ends.select((F.col("way") * 2 + F.col("e.k")).alias("end"), F.col("e.x").alias("x"), F.col("e.y").alias("y")), "ends")
+    near = within(ends.withColumnRenamed("end", "p"), ends.withColumnRenamed("end", "q"), lid="p", rid="q", radius=gap).where(F.floor(F.col("p") / 2) != F.floor(F.col("q") / 2))
+    best = stash(near.groupBy("p").agg(F.min(F.struct("dist", "q")).alias("m")).select("p", F.col("m.q").alias("q"), F.col("m.dist").alias("dist")), "nearest")
+    pairs = best.join(best.select(F.col("q").alias("p"), F.col("p").alias("q")), ["p", "q"])
+    # node 2w goes along way w, node 2w + 1 against it: it leaves at end 1 or 0, and the next is entered at the end met
+    links = stash(pairs.select((F.col("p") + F.when(F.col("p") % 2 == 1, -1).otherwise(1)).alias("node"), F.col("q").alias("to"), "dist"), "links")
+    placed = chains(links.select("node", "to"))
+    every = ways.select(F.explode(F.array(F.col("way") * 2, F.col("way") * 2 + 1)).alias("node")).join(placed, "node", "left")
+    kept = every.select("node", F.coalesce("chain", "node").alias("chain"), F.coalesce("ring", F.lit(False)).alias("ring"), F.coalesce("pos", F.lit(0)).alias("pos")).where("chain % 2 = 0")
+    come = links.select(F.col("to").alias("node"), F.col("dist").alias("gap"))
+    return kept.join(come, "node", "left").select((F.col("chain") / 2).cast("long").alias("chain"), "ring", "pos", F.floor(F.col("node") / 2).alias("way"), (F.col("node") % 2 == 1).alias("turned"), "gap")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.plans.stages import ship
+from tessellum.plans.stages import ship, stash
 
 
 def merge_max(*sheets: DataFrame, value: str = "v") -> DataFrame:
@@ -59,32 +59,85 @@ def best_shift(a: DataFrame, b: DataFrame, *, reach: int = 4) -> DataFrame:
     return scored.orderBy(F.desc("iou"), F.abs("dr") + F.abs("dc"), "dr", "dc").limit(1).select("dr", "dc", "iou")
 
 
-def _best_path(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["seq", "state"])
-    cost = back = None
-    seqs, picks = [], []
-    for seq, rows in pdf.groupby("seq", sort=True):
-        state, own = rows["state"].to_numpy(float), rows["cost"].to_numpy(float)
-        if cost is None:
-            cost, back = own, np.zeros(len(own), int)
-        else:
-            total = cost[None, :] + np.abs(state[:, None] - before[None, :]) * rows["turn"].iloc[0]
-            back = total.argmin(1)
-            cost = own + total.min(1)
-        before = state
-        seqs.append((seq, state))
-        picks.append(back)
-    at, out = int(cost.argmin()), []
-    for (seq, state), back in zip(reversed(seqs), reversed(picks), strict=True):
-        out.append((key[0], seq, state[at]))
-        at = int(back[at])
-    return pd.DataFrame(out[::-1], columns=["route", "seq", "state"])
-
-
-def best_states(samples_: DataFrame, *, turn: float) -> DataFrame:
-    """(route, seq, state): the cheapest sequence of states, each with its own cost and ``turn`` for every unit of change."""
-    ship(samples_.sparkSession)
-    return samples_.withColumn("turn", F.lit(float(turn))).groupBy("route").applyInPandas(_best_path, "route string, seq long, state double")
+#: Samples of a route that are joined into one piece, and pieces into a longer one.
+FAN = 256
+
+
+def _turns(a: np.ndarray, b: np.ndarray, turn: float) -> np.ndarray:
+    return np.abs(a[:, None] - b[None, :]) * turn
+
+
+def _least(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The min-plus product."""
+    return (left[:, :, None] + right[None, :, :]).min(1)
+
+
+def _steps(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces in order: place, states at the beginning and at the end, least cost from each of the one to each of the other."""
+    out = []
+    for pos, first, last, cost in pdf.sort_values("pos")[["pos", "first", "last", "cost"]].itertuples(index=False):
+        first, last, cost = np.asarray(first), np.asarray(last), np.asarray(cost)
+        # a single sample has costs of its states alone
+        out.append((pos, first, last, np.where(np.eye(len(first), dtype=bool), cost, np.inf) if len(cost) == len(first) and pdf["single"].iloc[0] else cost.reshape(len(first), len(last))))
+    return out
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    steps, turn = _steps(pdf), float(pdf["turn"].iloc[0])
+    _, first, last, whole = steps[0]
+    for _, a, b, cost in steps[1:]:
+        whole = _least(_least(whole, _turns(last, a, turn)), cost)
+        last = b
+    return pd.DataFrame({"route": [pdf["route"].iloc[0]], "pos": [pdf["up"].iloc[0]], "first": [first], "last": [last], "cost": [whole.ravel()], "single": [False], "turn": [turn]})
+
+
+def _traced(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Given the states at both ends of a piece (places in its lists), those at both ends of each of its parts."""
+    steps, turn = _steps(pdf), float(pdf["turn"].iloc[0])
+    begin, end = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+    # least cost from the beginning to the end of each part, and to the beginning of the next
+    reach, ways = [steps[0][3][begin]], []
+    for (_, _, last, _), (_, first, _, cost) in zip(steps, steps[1:], strict=False):
+        into = reach[-1][:, None] + _turns(last, first, turn)
+        ways.append(into)
+        reach.append((into.min(0)[:, None] + cost).min(0))
+    rows = []
+    for k in range(len(steps) - 1, 0, -1):
+        enter = int((ways[k - 1].min(0) + steps[k][3][:, end]).argmin())
+        rows.append((steps[k][0], enter, end))
+        end = int(ways[k - 1][:, enter].argmin())
+    rows.append((steps[0][0], begin, end))
+    pos, a, b = zip(*rows, strict=True)
+    return pd.DataFrame({"route": pdf["route"].iloc[0], "pos": pos, "a": a, "b": b})
+
+
+def best_states(samples_: DataFrame, *, turn: float, fan: int = FAN) -> DataFrame:
+    """(route, seq, state): the cheapest sequence of states over ``samples_`` (route, seq, state, cost), each with its own cost and ``turn`` for every unit of change.
+
+    A piece of a route is the least cost from every state at its beginning to every state at its end; pieces join by min-plus products. ``fan`` samples make a piece, ``fan`` pieces
+    a longer one, and so on up to the route; then the states at the ends of pieces are traced back down. So a task holds ``fan`` pieces, never a route.
+    """
+    spark = samples_.sparkSession
+    ship(spark)
+    item = "route string, pos long, first array<double>, last array<double>, cost array<double>, single boolean, turn double"
+    listed = samples_.groupBy("route", "seq").agg(F.array_sort(F.collect_list(F.struct(F.col("state").cast("double").alias("state"), F.col("cost").cast("double").alias("cost")))).alias("l"))
+    listed = listed.withColumns({"route": F.col("route").cast("string"), "seq": F.col("seq").cast("long")})
+    begins = stash(listed.groupBy("route").agg(F.min("seq").alias("_from")), "begins")  # places count from a route's beginning
+    level = listed.join(begins, "route").select("route", (F.col("seq") - F.col("_from")).alias("pos"), F.col("l.state").alias("first"), F.col("l.state").alias("last"), F.col("l.cost").alias("cost"), F.lit(True).alias("single"), F.lit(float(turn)).alias("turn"))
+    levels = [stash(level, "states")]
+    while levels[-1].groupBy("route").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where("a < b").limit(1).count() or len(levels) == 1:
+        grouped = levels[-1].withColumn("up", F.floor(F.col("pos") / fan).cast("long"))
+        levels[-1] = grouped
+        levels.append(stash(grouped.groupBy("route", "up").applyInPandas(_joined, item), "pieces"))
+    top = levels.pop()
+    # of equally cheap ends the least last state counts
+    last = F.expr("array_min(transform(filter(sequence(0, size(cost) - 1), i -> cost[i] = array_min(cost)), i -> i % size(last)))")
+    begin = F.expr("filter(sequence(0, size(first) - 1), i -> cost[i * size(last) + b] = array_min(cost))[0]")
+    picked = top.select("route", "pos", "cost", "first", "last", last.alias("b")).select("route", "pos", begin.alias("a"), "b")
+    for level in reversed(levels):
+        down = level.join(picked.select("route", F.col("pos").alias("up"), "a", "b"), ["route", "up"])
+        picked = stash(down.groupBy("route", "up").applyInPandas(_traced, "route string, pos long, a int, b int"), "traced")
+    return levels[0].select("route", "pos", "first").join(picked, ["route", "pos"]).join(begins, "route").select("route", (F.col("pos") + F.col("_from")).alias("seq"), F.col("first")[F.col("b")].alias("state"))
 
 
 def tile_error(corners: DataFrame, *, x: str, y: str) -> DataFrame:

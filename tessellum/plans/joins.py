@@ -206,3 +206,24 @@ SELECT c_custkey, c_acctbal FROM customer ORDER BY CASE WHEN c_mktsegment = 'BUI
 def ranked_hits(spark, sf_dir):
     kind = F.when(F.col("c_mktsegment") == "BUILDING", 0).otherwise(1)
     return table(spark, sf_dir, "customer").orderBy(kind, F.desc_nulls_last("c_acctbal"), "c_custkey").limit(8).select("c_custkey", "c_acctbal")
+
+
+#: Customers as ways along rows, with small gaps between them, some missing and every third drawn from its end.
+WAYS = """ways AS (SELECT k AS way, CASE WHEN k % 3 = 1 THEN b ELSE a END AS x0, y AS y0, CASE WHEN k % 3 = 1 THEN a ELSE b END AS x1, y AS y1 FROM (SELECT c_custkey AS k, (c_custkey % 40) * 10.0::DOUBLE + (c_custkey * 7 % 5) * 0.05::DOUBLE AS a,
+ (c_custkey % 40) * 10.0::DOUBLE + (c_custkey * 7 % 5) * 0.05::DOUBLE + 9.6 AS b, (c_custkey // 40) * 50.0::DOUBLE + (c_custkey % 3) * 0.01::DOUBLE AS y FROM customer WHERE c_custkey % 7 <> 3))"""
+
+
+@query(f"""
+WITH RECURSIVE {WAYS}, ends AS (SELECT way, 0 AS k, x0 AS x, y0 AS y FROM ways UNION ALL SELECT way, 1, x1, y1 FROM ways),
+near AS (SELECT p.way, p.k, q.way AS way2, q.k AS k2, row_number() OVER (PARTITION BY p.way, p.k ORDER BY sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), q.way * 2 + q.k) AS i FROM ends p JOIN ends q ON p.way <> q.way AND abs(p.y - q.y) <= 1 WHERE sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 1),
+met AS (SELECT a.way, a.k, a.way2, a.k2 FROM near a JOIN near b ON b.way = a.way2 AND b.k = a.k2 AND b.way2 = a.way AND b.k2 = a.k WHERE a.i = 1 AND b.i = 1),
+c AS (SELECT way, way AS chain, false AS turned FROM ways UNION SELECT m.way2, c.chain, c.turned <> (m.k = m.k2) FROM c JOIN met m ON m.way = c.way), n AS (SELECT *, row_number() OVER (PARTITION BY way ORDER BY chain) AS i FROM c)
+SELECT chain, way, turned FROM n WHERE i = 1
+""")
+def joined_ways(spark, sf_dir):
+    """Ways put end to end over gaps of at most one, each turned like the one of least number."""
+    k = F.col("c_custkey")
+    own = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 3").select(k.alias("way"), (k % 40 * 10.0 + k * 7 % 5 * 0.05).alias("a"), (F.floor(k / 40) * 50.0 + k % 3 * 0.01).alias("y"))
+    turned = F.col("way") % 3 == 1
+    ends = own.withColumn("b", F.col("a") + 9.6).select("way", F.when(turned, F.col("b")).otherwise(F.col("a")).alias("x0"), F.col("y").alias("y0"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("x1"), F.col("y").alias("y1"))
+    return J.joined_ways(ends, gap=1.0).select("chain", "way", "turned")
