@@ -33,6 +33,8 @@ from .text_stats import Stats
 from .words import flat
 
 MOST_PAIRS = 200_000
+#: Pairs that one task may hold (13 numbers each).
+PAIRS_AT_ONCE = 200_000
 N_FEATURES = 13
 #: Parts in which labelled texts are numbered; ranges that strengths are counted in, and how many of them are looked at one by one;
 #: texts of the rarer label up to which they are broadcast.
@@ -76,7 +78,7 @@ def table_of(column: pa.Array) -> np.ndarray:
 
 
 def summed(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> np.ndarray:
-    """The sum of what ``make()()`` gives for the batches; a task sends one row."""
+    """The sum of what ``make()()`` gives for the batches, added up on the cluster; the driver gets one row a number of it."""
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +89,8 @@ def summed(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarr
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total])], ["v"])
 
-    return np.sum([r.v for r in df.mapInArrow(run, "v array<double>").collect()], 0)
+    each = df.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("k", "v"))
+    return np.array([r.v for r in sorted(each.groupBy("k").agg(F.sum("v").alias("v")).collect())])
 
 
 def numbered(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
@@ -105,6 +108,10 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     return rows.join(F.broadcast(begins), ["y", "part"]).select("y", (F.col("begin") + F.col("place") - 1).alias("i"), "x"), counts
 
 
+def pair_count(counts: dict[int, int], most_pairs: int = MOST_PAIRS) -> int:
+    return max(counts.values()) * min(min(counts.values()), max(1, most_pairs // max(counts.values())))
+
+
 def pairs(rows: DataFrame, counts: dict[int, int], most_pairs: int = MOST_PAIRS) -> DataFrame:
     """d, the features of a preferred text less those of a rejected one; every text is in a pair."""
     many = int(counts[1] >= counts[0])
@@ -131,27 +138,45 @@ def scales(rows: DataFrame) -> np.ndarray:
     return np.maximum(np.sqrt(np.maximum(squares / n - (sums / n) ** 2, 0)), 1e-6)
 
 
-def fit_pairs(differences: DataFrame, scale: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """The weights that minimise the mean of log(1 + exp(-w.(preferred - rejected))) over all pairs, by Newton steps."""
-    w = np.zeros(N_FEATURES)
-    for _ in range(30):
-
-        def make(w=w):
-            def step(batch):
-                d = table_of(batch.column("d")) / scale
-                p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
-                return np.concatenate([[len(d)], (d * p[:, None]).sum(0), ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+def pair_sums(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Number of pairs, and the sums of the loss's gradient and second derivatives at w."""
+    p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
+    return np.concatenate([[len(d)], (d * p[:, None]).sum(0), ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
 
-            return step
 
-        n, grad, hess = np.split(summed(differences, make), [1, 1 + N_FEATURES])
+def newton(sums: Callable[[np.ndarray], np.ndarray], ridge: float) -> np.ndarray:
+    w = np.zeros(N_FEATURES)
+    for _ in range(30):
+        n, grad, hess = np.split(sums(w), [1, 1 + N_FEATURES])
         step = np.linalg.solve(hess.reshape(N_FEATURES, -1) / n + ridge * np.eye(N_FEATURES), ridge * w - grad / n)
         w = w - step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def fit_pairs(differences: DataFrame, scale: np.ndarray, ridge: float = 1e-3, *, n: int | None = None) -> np.ndarray:
+    """The weights that minimise the mean of log(1 + exp(-w.(preferred - rejected))) over all pairs, by Newton steps.
+
+    Up to PAIRS_AT_ONCE pairs (some 40 MB) are solved in one task; more of them, or an unknown number ``n``, are added up on the cluster at every step.
+    """
+    if n is None or n > PAIRS_AT_ONCE:
+
+        def sums(w):
+            return summed(differences, lambda: lambda batch: pair_sums(table_of(batch.column("d")) / scale, w))
+
+        return newton(sums, ridge)
+    bounded_batches(differences.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = [table_of(b.column("d")) / scale for b in batches]
+        if d:
+            every = np.concatenate(d)
+            yield pa.RecordBatch.from_arrays([pa.array([newton(lambda w: pair_sums(every, w), ridge)])], ["w"])
+
+    return np.array(differences.coalesce(1).mapInArrow(run, "w array<double>").first().w)
+
+
 def strengths_of(rows: DataFrame, w: np.ndarray) -> DataFrame:
     """y and s, the strength, of the labelled texts."""
 
@@ -170,7 +195,7 @@ def fit_features(x: DataFrame, labels: DataFrame, label: str, folds: int, fold:
     if not counts.get(0) or not counts.get(1):
         return None
     scale = scales(rows)
-    w = fit_pairs(stash(pairs(rows, counts), "pairs"), scale) / scale
+    w = fit_pairs(stash(pairs(rows, counts), "pairs"), scale, n=pair_count(counts)) / scale
     strengths = stash(strengths_of(rows, w), "strengths")
     shares = label_counts(labels, label, folds, fold)
     cut = nearest(*around(strengths, {y: shares[y] / counts[y] for y in (0, 1)}, shares[0]))
@@ -219,12 +244,17 @@ def weighted_cut(s: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> float:
 
 
 def median(strengths: DataFrame, label: int, n: int) -> float:
-    own, found = strengths.where(F.col("y") == label), []
-    for k in {(n - 1) // 2, n // 2}:
-        listed, target, start, *_ = around(own, {0: 1.0, 1: 1.0}, k + 1)
+    own = strengths.where(F.col("y") == label)
+
+    def at(k: int) -> tuple[float, float | None]:
+        """The strengths at places k and k + 1, the latter only if it is among those listed."""
+        listed, _, start, *_ = around(own, {0: 1.0, 1: 1.0}, k + 1)
         ends = start + np.cumsum([x[2] for x in listed])
-        found.append(listed[int(np.searchsorted(ends, target))][0])
-    return float(np.mean(found))
+        spots = [int(np.searchsorted(ends, p)) for p in (k + 1, k + 2)]
+        return listed[spots[0]][0], listed[spots[1]][0] if spots[1] < len(listed) else None
+
+    low, high = at((n - 1) // 2)
+    return low if n % 2 else float(np.mean([low, high if high is not None else at(n // 2)[0]]))
 
 
 def score_array(model: dict | None, x: np.ndarray) -> np.ndarray:

@@ -39,3 +39,25 @@ def test_quantiles_of_tables(spark, monkeypatch):
             assert abs(q.nearest(*q.around(table, weight, counts[0])) - q.weighted_cut(s, y, counts)) < 1e-12
         for k in (0, 1):
             assert q.median(table, k, int((y == k).sum())) == np.median(s[y == k])
+
+
+def test_weights_by_plain_descent(spark):
+    """Both ways to the weights against gradient descent over all pairs, written out one by one."""
+    from tessellum.llm import quality_rank as q
+
+    r = np.random.default_rng(8)
+    good, bad = r.normal(0.4, 1, (25, q.N_FEATURES)), r.normal(0, 1, (31, q.N_FEATURES))
+    every = np.array([a - b for a in good for b in bad])
+    scale, ridge, w = np.linspace(0.5, 2, q.N_FEATURES), 0.02, np.zeros(q.N_FEATURES)
+    for _ in range(20_000):
+        d = every / scale
+        grad = ridge * w - (d / (1 + np.exp(d @ w))[:, None]).mean(0)
+        w = w - 0.3 * grad
+        if np.abs(grad).max() < 1e-9:
+            break
+    rows = spark.createDataFrame([(int(y), i, x.tolist()) for y, own in ((1, good), (0, bad)) for i, x in enumerate(own)], "y int, i long, x array<double>")
+    counts = {0: len(bad), 1: len(good)}
+    made = q.pairs(rows, counts)
+    assert made.count() == q.pair_count(counts) == len(every)
+    for n in (len(every), None):
+        assert np.abs(q.fit_pairs(made.repartition(3), scale, ridge, n=n) - w).max() < 1e-5
