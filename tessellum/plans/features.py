@@ -15,7 +15,7 @@ from tessellum.operators import spatial as S
 
 from .profiles import AT, LINES, lines
 from .registry import query, table
-from .spatial import CELLS, EDGES, INSIDE, PTS, SUP, cells, places, points, zones
+from .spatial import CELLS, INSIDE, PTS, SHAPES, SUP, cells, places, points, shapes, zones
 
 
 @query("""
@@ -181,23 +181,23 @@ def chained_ways(spark, sf_dir):
 
 
 @query(f"""
-WITH {EDGES}, p AS (SELECT zone, x0 + (x1 - x0) * i / 10 AS x, y0 + (y1 - y0) * i / 10 AS y FROM edges, generate_series(0, 10) t(i)) SELECT CAST(zone AS INTEGER) AS zone, round(min(x * 2 - y), 6) AS u0, round(max(x * 2 - y), 6) AS u1, round(min(y + x / 3), 6) AS v0, round(max(y + x / 3), 6) AS v1 FROM p GROUP BY zone
+WITH {SHAPES}, p AS (SELECT zone, x0 + (x1 - x0) * i / 10 AS x, y0 + (y1 - y0) * i / 10 AS y FROM edges, generate_series(0, 10) t(i)) SELECT zone, round(min(x * 2 - y), 6) AS u0, round(max(x * 2 - y), 6) AS u1, round(min(y + x / 3), 6) AS v0, round(max(y + x / 3), 6) AS v1 FROM p GROUP BY zone
 """)
 def projected_bounds(spark, sf_dir):
     """Bounds of boxes whose edges are divided before they are projected."""
-    e = zones(spark).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(10))))
+    e = shapes(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(10))))
     x, y = F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("i") / 10, F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("i") / 10
     u, v = x * 2 - y, y + x / 3
     return e.select("zone", u.alias("u"), v.alias("v")).groupBy("zone").agg(F.round(F.min("u"), 6).alias("u0"), F.round(F.max("u"), 6).alias("u1"), F.round(F.min("v"), 6).alias("v0"), F.round(F.max("v"), 6).alias("v1"))
 
 
 @query(f"""
-WITH {EDGES}, c AS (SELECT zone, avg(x0) AS x, avg(y0) AS y, count(*) AS n FROM edges GROUP BY zone), e AS (SELECT zone, x0, y0, x1, y1 FROM edges), t AS (SELECT zone, sum(CASE WHEN y0 <= 100 AND y1 <= 100 THEN abs(x1 - x0) ELSE 0 END) AS low, max(CASE WHEN x1 < x0 THEN 1 ELSE 0 END) AS back FROM e GROUP BY zone)
-SELECT CAST(zone AS INTEGER) AS zone, round(x, 4) AS x, round(y, 4) AS y, n, round(low, 4) AS on_line, back = 1 AS turns FROM c JOIN t USING (zone)
+WITH {SHAPES}, c AS (SELECT zone, avg(x0) AS x, avg(y0) AS y, count(*) AS n FROM edges GROUP BY zone), e AS (SELECT zone, x0, y0, x1, y1 FROM edges), t AS (SELECT zone, sum(CASE WHEN y0 <= 100 AND y1 <= 100 THEN abs(x1 - x0) ELSE 0 END) AS low, max(CASE WHEN x1 < x0 THEN 1 ELSE 0 END) AS back FROM e GROUP BY zone)
+SELECT zone, round(x, 4) AS x, round(y, 4) AS y, n, round(low, 4) AS on_line, back = 1 AS turns FROM c JOIN t USING (zone)
 """)
 def centroids_and_border(spark, sf_dir):
     """Mean vertex of each shape, and what of its outline lies along a tile's edge."""
-    e = zones(spark)
+    e = shapes(spark, sf_dir)
     along = F.when((F.col("y0") <= 100) & (F.col("y1") <= 100), F.abs(F.col("x1") - F.col("x0"))).otherwise(0.0)
     return e.groupBy("zone").agg(F.round(F.avg("x0"), 4).alias("x"), F.round(F.avg("y0"), 4).alias("y"), F.count("*").alias("n"), F.round(F.sum(along), 4).alias("on_line"), F.bool_or(F.col("x1") < F.col("x0")).alias("turns"))
 

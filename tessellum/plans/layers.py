@@ -11,9 +11,9 @@ from tessellum.operators import rasters as R
 from tessellum.operators import spatial as S
 
 from .registry import query, table
-from .spatial import CELLS, EDGES, PTS, SUP, cells, places, points, zones
+from .spatial import CELLS, EDGES, PTS, SHAPES, SUP, cells, places, points, shapes, zones
 
-STRIPS = f"""{EDGES}, rows AS (SELECT zone, x0, y0, x1, y1, unnest(generate_series(CAST(ceil(least(y0, y1) / 5 - 0.5) AS BIGINT), CAST(ceil(greatest(y0, y1) / 5 - 0.5) - 1 AS BIGINT))) AS row FROM edges WHERE y0 <> y1),
+STRIPS = f"""{SHAPES}, rows AS (SELECT zone, x0, y0, x1, y1, unnest(generate_series(CAST(ceil(least(y0, y1) / 5 - 0.5) AS BIGINT), CAST(ceil(greatest(y0, y1) / 5 - 0.5) - 1 AS BIGINT))) AS row FROM edges WHERE y0 <> y1),
 met AS (SELECT zone, row, x0 + ((row + 0.5) * 5 - y0) * (x1 - x0) / (y1 - y0) AS x FROM rows), k AS (SELECT zone, row, x AS a, lead(x) OVER w AS b, row_number() OVER w AS i FROM met WINDOW w AS (PARTITION BY zone, row ORDER BY x)), strips AS (SELECT * FROM k WHERE i % 2 = 1 AND b IS NOT NULL)"""
 
 
@@ -22,7 +22,7 @@ WITH {STRIPS} SELECT CAST(zone AS VARCHAR) AS what, round(sum(b - a) * 5, 4) AS
 UNION ALL SELECT p.zone || '&' || q.zone, round(sum(least(p.b, q.b) - greatest(p.a, q.a)) * 5, 4) FROM strips p JOIN strips q ON p.row = q.row AND p.zone < q.zone AND least(p.b, q.b) > greatest(p.a, q.a) GROUP BY p.zone, q.zone
 """)
 def scanline_areas(spark, sf_dir):
-    strips = L.scanline(zones(spark), polygon="zone", step=5.0)
+    strips = L.scanline(shapes(spark, sf_dir), polygon="zone", step=5.0)
     own = L.scanned_area(strips, polygon="zone", step=5.0).select(F.col("zone").cast("string").alias("what"), "area")
     both = L.scanned_overlap(strips, polygon="zone", step=5.0).select(F.concat(F.col("p").cast("string"), F.lit("&"), F.col("q").cast("string")).alias("what"), "area")
     return own.unionByName(both).select("what", F.round("area", 4).alias("area"))
@@ -259,12 +259,12 @@ def land_by_samples(spark, sf_dir):
 
 
 @query(f"""
-WITH {CELLS}, {EDGES}, b AS (SELECT zone, min(y0) AS lo, max(y0) AS hi FROM edges GROUP BY zone), e AS (SELECT zone, x0, y0, x1, y1, ((y0 + y1) / 2 - lo) / (hi - lo) AS depth FROM edges JOIN b USING (zone))
-SELECT CAST(zone AS INTEGER) AS zone, count(*) AS back, round(sum(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)), 4) AS length, round(min(depth), 6) AS nearest FROM e WHERE depth > 0.6 GROUP BY zone
+WITH {CELLS}, {SHAPES}, b AS (SELECT zone, min(y0) AS lo, max(y0) AS hi FROM edges GROUP BY zone), e AS (SELECT zone, x0, y0, x1, y1, ((y0 + y1) / 2 - lo) / (hi - lo) AS depth FROM edges JOIN b USING (zone))
+SELECT zone, count(*) AS back, round(sum(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)), 4) AS length, round(min(depth), 6) AS nearest FROM e WHERE depth > 0.6 GROUP BY zone
 """)
 def back_edges(spark, sf_dir):
     """Edges beyond 0.6 of a parcel's depth from its front."""
-    e = zones(spark)
+    e = shapes(spark, sf_dir)
     b = e.groupBy("zone").agg(F.min("y0").alias("lo"), F.max("y0").alias("hi"))
     far = e.join(b, "zone").withColumn("depth", ((F.col("y0") + F.col("y1")) / 2 - F.col("lo")) / (F.col("hi") - F.col("lo"))).where("depth > 0.6")
     return far.groupBy("zone").agg(F.count("*").alias("back"), F.round(F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))), 4).alias("length"), F.round(F.min("depth"), 6).alias("nearest"))

@@ -31,6 +31,18 @@ def zones(spark):
 INSIDE = f"""{PTS}, {EDGES}, inside AS (SELECT id, zone FROM pts JOIN edges ON (y0 > y) <> (y1 > y) AND x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 GROUP BY 1, 2 HAVING count(*) % 2 = 1)"""
 
 
+#: The corners of a supplier's shape, in its half widths and heights around its place.
+CORNERS = [(-1.0, -1.0), (1.0, -0.5), (0.8, 0.9), (0.0, 0.4), (-0.7, 1.0)]
+SHAPES = "corners AS (SELECT s_suppkey AS zone, i, s_acctbal + dx * (20 + s_suppkey % 7 * 10) AS x, (s_suppkey * 53 % 1000) + dy * (15 + s_suppkey % 5 * 8) AS y FROM supplier, (VALUES " + ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(CORNERS)) + ") t(i, dx, dy)), edges AS (SELECT a.zone, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM corners a JOIN corners b ON a.zone = b.zone AND b.i = (a.i + 1) % 5)"
+
+
+def shapes(spark, sf_dir):
+    """Edges of a five-cornered shape around each supplier."""
+    k = F.col("s_suppkey")
+    ring = F.array(*[F.struct((F.col("s_acctbal") + dx * (20 + k % 7 * 10)).alias("x"), (k * 53 % 1000 + dy * (15 + k % 5 * 8)).alias("y")) for dx, dy in CORNERS])
+    return S.edges_of(table(spark, sf_dir, "supplier").select(k.alias("zone"), ring.alias("ring")), ring="ring", keep=["zone"])
+
+
 @query(f"WITH {INSIDE} SELECT id, CAST(zone AS INTEGER) AS zone FROM inside")
 def pip_join(spark, sf_dir):
     return S.points_in_polygons(points(spark, sf_dir), zones(spark), point="id", polygon="zone", bucket=50.0)
@@ -52,9 +64,9 @@ def zone_shares(spark, sf_dir):
     return hit.groupBy("zone").agg(F.count("*").alias("n"), F.round(100 * F.count_if(F.col("x") >= 2000) / F.count("*"), 4).alias("deep_share"))
 
 
-@query(f"WITH {EDGES} SELECT CAST(zone AS INTEGER) AS zone, round(abs(sum(x0 * y1 - x1 * y0)) / 2, 4) AS area, round(sum(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)), 4) AS length FROM edges GROUP BY zone")
+@query(f"WITH {SHAPES} SELECT zone, round(abs(sum(x0 * y1 - x1 * y0)) / 2, 4) AS area, round(sum(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)), 4) AS length FROM edges GROUP BY zone")
 def polygon_measures(spark, sf_dir):
-    return S.polygon_measures(zones(spark), polygon="zone").select("zone", F.round("area", 4).alias("area"), F.round("length", 4).alias("length"))
+    return S.polygon_measures(shapes(spark, sf_dir), polygon="zone").select("zone", F.round("area", 4).alias("area"), F.round("length", 4).alias("length"))
 
 
 @query(f"WITH {PTS}, {SUP} SELECT id, sid, round(sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2), 6) AS dist FROM pts p JOIN sup s ON sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2) <= 200")
