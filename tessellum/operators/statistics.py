@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellum.plans.stages import ship, stash
+
 
 def axial_mean(angle: Column, weight: Column, period: float) -> list[Column]:
     """(mean, r): weighted mean of angles in degrees that repeat with the period, and its concentration."""
@@ -62,17 +66,104 @@ def block_bootstrap(df: DataFrame, *, value: str, order: str, block: int, draws:
     return means.agg(p.alias("p")).select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
-def shift_null(series: DataFrame, *, at: str, a: str, b: str) -> DataFrame:
-    """(observed, p): mean product of two ring-shaped series against all circular shifts of one; (number as large + 1) / (shifts + 1)."""
-    n = series.count()
-    left = series.select(F.col(at).alias("i"), F.col(a).alias("x"))
-    right = series.select(F.col(at).alias("j"), F.col(b).alias("y"))
-    shifts = series.sparkSession.range(n).select(F.col("id").alias("k"))
-    moved = left.join(F.broadcast(shifts) if n <= 100_000 else shifts, F.lit(True)).withColumn("j", (F.col("i") + F.col("k")) % n)
-    stat = moved.join(right, "j").groupBy("k").agg(F.avg(F.col("x") * F.col("y")).alias("t"))
-    seen = F.max(F.when(F.col("k") == 0, F.col("t")))
-    one = stat.agg(seen.alias("observed"))
-    return stat.where("k > 0").crossJoin(F.broadcast(one)).groupBy("observed").agg(((F.count_if(F.col("t") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p"))
+#: Primes with roots of unity of all orders up to 2**25 and 2**23, and a generator of each: fixed values.
+PRIMES = ((167772161, 3), (998244353, 3))
+
+
+def _transform(a: np.ndarray, w: int, p: int) -> np.ndarray:
+    """The sums of a[i] * w**(i * k) modulo p for all k; w is a root of unity whose order is the length, a power of two."""
+    if len(a) == 1:
+        return a
+    even, odd = _transform(a[::2], w * w % p, p), _transform(a[1::2], w * w % p, p)
+    turned = _powers(w, len(odd), p) * odd % np.uint64(p)
+    return np.concatenate([(even + turned) % np.uint64(p), (even + np.uint64(p) - turned) % np.uint64(p)])
+
+
+def _powers(w: int, n: int, p: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(w, len(out), p)) % np.uint64(p)])
+    return out[:n]
+
+
+def _roots(rows: int, cols: int) -> list[tuple[int, int, int, int]]:
+    """For each prime: p and roots of order rows * cols, rows and cols."""
+    return [(p, w := pow(g, (p - 1) // (rows * cols), p), pow(w, cols, p), pow(w, rows, p)) for p, g in PRIMES]
+
+
+def _filled(pdf: pd.DataFrame, place: str, value: str, n: int) -> np.ndarray:
+    out = np.zeros(n, np.uint64)
+    out[pdf[place].to_numpy()] = pdf[value].to_numpy().astype(np.uint64)
+    return out
+
+
+def correlations(series: DataFrame, *, at: str, a: str, b: str) -> DataFrame:
+    """(k, t): the sum of a[i] * b[(i + k) mod n] for every shift k of two ring-shaped series of whole numbers at 0 to n - 1, exactly.
+
+    Both are transformed modulo two primes, as a table of some sqrt(2n) rows and columns: down the columns, along the rows, where the products are taken and turned back, and down the
+    columns again. So a task holds a row or a column, and n log n steps do for all shifts. A sum must stay within 8e16; n is 2**22 at most.
+    """
+    spark = series.sparkSession
+    ship(spark)
+    n, top_a, top_b = series.agg(F.count("*"), F.max(F.abs(a)), F.max(F.abs(b))).first()
+    if not n:
+        return spark.createDataFrame([], "k long, t long")
+    bits = max(1, (2 * n - 1).bit_length())
+    rows, cols = 1 << bits // 2, 1 << bits - bits // 2
+    if bits > 23 or n * int(top_a or 0) * int(top_b or 0) >= PRIMES[0][0] * PRIMES[1][0] // 2:
+        raise ValueError("the series is too long or its numbers are too large")
+
+    def columns(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = {"s": key[0], "c": key[1], "r": np.arange(rows)}
+        for q, (p, w, by_row, _) in enumerate(_roots(rows, cols)):
+            if key[0] == 0:  # the first series against the sense of the second, which makes the product a correlation
+                w, by_row = pow(w, -1, p), pow(by_row, -1, p)
+            got = _transform(_filled(pdf, "r", f"v{q}", rows), by_row, p)
+            out[f"v{q}"] = (got * _powers(pow(w, int(key[1]), p), rows, p) % np.uint64(p)).astype(np.int64)
+        return pd.DataFrame(out)
+
+    def along(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = {"r": key[0], "c": np.arange(cols)}
+        for q, (p, w, _, by_col) in enumerate(_roots(rows, cols)):
+            one = _transform(_filled(pdf[pdf["s"] == 0], "c", f"v{q}", cols), pow(by_col, -1, p), p)
+            two = _transform(_filled(pdf[pdf["s"] == 1], "c", f"v{q}", cols), by_col, p)
+            back = _transform(one * two % np.uint64(p), pow(by_col, -1, p), p)
+            out[f"v{q}"] = (back * _powers(pow(pow(w, -1, p), int(key[0]), p), cols, p) % np.uint64(p)).astype(np.int64)
+        return pd.DataFrame(out)
+
+    def ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for q, (p, _, by_row, _) in enumerate(_roots(rows, cols)):
+            got = _transform(_filled(pdf, "r", f"v{q}", rows), pow(by_row, -1, p), p)
+            found.append([int(x) * pow(rows * cols, -1, p) % p for x in got])
+        (p, _), (q, _) = PRIMES
+        whole = [x + p * ((y - x) * pow(p, -1, q) % q) for x, y in zip(*found, strict=True)]
+        return pd.DataFrame({"i": np.arange(rows) * cols + key[0], "t": [x - p * q if x > p * q // 2 else x for x in whole]})
+
+    value = lambda c, p: F.pmod(F.col(c).cast("long"), F.lit(p)).alias
+    place = [F.floor(F.col(at) / cols).cast("long").alias("r"), (F.col(at) % cols).cast("long").alias("c")]
+    both = [series.select(F.lit(k).alias("s"), *place, *(value(c, p)(f"v{q}") for q, (p, _) in enumerate(PRIMES))) for k, c in enumerate((a, b))]
+    # columns without any value stay zero and are left out
+    down = both[0].unionByName(both[1]).groupBy("s", "c").applyInPandas(columns, "s int, c long, r long, v0 long, v1 long")
+    across = down.groupBy("r").applyInPandas(along, "r long, c long, v0 long, v1 long")
+    straight = across.groupBy("c").applyInPandas(ends, "i long, t long")
+    # shifts below zero stand at the end of the table
+    k = F.when(F.col("i") < n, F.col("i")).otherwise(F.col("i") - rows * cols + n)
+    return straight.where((F.col("i") < n) | (F.col("i") > rows * cols - n)).groupBy(k.alias("k")).agg(F.sum("t").alias("t"))
+
+
+def shift_null(series: DataFrame, *, at: str, a: str, b: str, decimals: tuple[int, int] = (0, 0)) -> DataFrame:
+    """(observed, p): mean product of two ring-shaped series against all circular shifts of one; (number as large + 1) / (shifts + 1).
+
+    The series' values are taken as whole numbers of 10**-decimals, so sums are exact and ties are ties.
+    """
+    scale = [10 ** d for d in decimals]
+    whole = series.select(at, *(F.round(F.col(c) * s).cast("long").alias(n) for c, s, n in ((a, scale[0], "_a"), (b, scale[1], "_b"))))
+    stat = stash(correlations(whole, at=at, a="_a", b="_b"), "correlations")
+    n = stat.count()
+    seen = stat.where("k = 0").select(F.col("t").alias("seen"))
+    counts = stat.where("k > 0").crossJoin(F.broadcast(seen)).agg(F.count_if(F.col("t") >= F.col("seen")).alias("as_large"))  # one row
+    return seen.crossJoin(counts).select((F.col("seen") / (n * scale[0] * scale[1])).alias("observed"), ((F.col("as_large") + 1) / n).alias("p"))
 
 
 def overlap_scores(cells: DataFrame, *, a: Column, b: Column) -> DataFrame:

@@ -88,7 +88,7 @@ SELECT round((SELECT t FROM t WHERE k = 0), 4) AS observed, round((count(*) FILT
 """)
 def shift_null(spark, sf_dir):
     days = table(spark, sf_dir, "events").groupBy((F.dayofmonth("ts") - 1).cast("long").alias("i")).agg(F.sum("value").alias("x"), F.count("*").cast("double").alias("y"))
-    return S.shift_null(days, at="i", a="x", b="y").select(F.round("observed", 4).alias("observed"), F.round("p", 8).alias("p"))
+    return S.shift_null(days, at="i", a="x", b="y", decimals=(2, 0)).select(F.round("observed", 4).alias("observed"), F.round("p", 8).alias("p"))
 
 
 @query("""
