@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-PARTS = ("documents", "exposure", "ordered", "statistics", "graphs", "spatial", "joins", "quality", "texts", "gate", "routing", "profiles", "layers", "features", "outlines", "masks", "slopes", "rules")
+PARTS = ("documents", "exposure", "ordered", "statistics", "graphs", "spatial", "joins", "quality", "texts", "gate", "routing", "profiles", "layers", "features", "outlines", "masks", "slopes", "rules", "terrain")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
