@@ -93,23 +93,30 @@ def gathered(nodes: DataFrame, links: DataFrame, *, most_rounds: int = 60) -> Da
     raise RuntimeError("links form a ring")
 
 
-def running(rows: DataFrame, order: list[str], *, sums: tuple[str, ...] = (), xors: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with each of the columns replaced by its sum (or exclusive or) over all rows up to that one in the order, which must be without ties.
+def running(rows: DataFrame, order: list[str], *, sums: tuple[str, ...] = (), xors: tuple[str, ...] = (), lasts: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with each of the columns replaced by its sum, exclusive or, or last value that isn't null over all rows up to that one in the order.
 
-    Ranges are added up apart, and what the ranges before come to is added: one row a range reaches the driver, spark.sql.shuffle.partitions at most.
+    Ranges are put in order apart, and what the ranges before come to is added: one row a range reaches the driver, spark.sql.shuffle.partitions at most. Among rows
+    that are equal in the order anyone may come first, so for the same result every time it must be without ties.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = stash(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    whole = {**{c: F.sum(c) for c in sums}, **{c: F.bit_xor(c) for c in xors}}
-    totals = sorted(tuple(r) for r in ranged.groupBy("_part").agg(*(f.alias(c) for c, f in whole.items())).collect())
-    before = []
-    for k, c in enumerate(whole, 1):
-        number = float if dict(rows.dtypes)[c] in ("double", "float") else int
-        own = [number(t[k] or 0) for t in totals]
-        before.append([number(0), *accumulate(own, (lambda a, b: a + b) if c in sums else (lambda a, b: a ^ b))][: len(own)])
-    fields = ", ".join(["_part int", *(f"_{c} {dict(rows.dtypes)[c]}" for c in whole)])
-    offsets = spark.createDataFrame([(t[0], *(b[i] for b in before)) for i, t in enumerate(totals)], fields)
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = ranged.select(*(F.col(c) if c not in whole else whole[c].over(w).alias(c) for c in rows.columns), "_part").join(F.broadcast(offsets), "_part")
-    return got.select(*(F.col(c) + F.col(f"_{c}") if c in sums else F.col(c).bitwiseXOR(F.col(f"_{c}")) if c in xors else F.col(c) for c in rows.columns)).toDF(*rows.columns)
+    kinds = dict(rows.dtypes)
+    inside = {**{c: F.sum(c) for c in sums}, **{c: F.bit_xor(c) for c in xors}, **{c: F.last(c, ignorenulls=True) for c in lasts}}
+    by_order = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = F.struct(*[F.col(c) for c in order])
+    whole = {c: f if c not in lasts else F.max_by(c, F.when(F.col(c).isNotNull(), named)) for c, f in inside.items()}
+    totals = sorted(ranged.groupBy("_part").agg(*(f.alias(c) for c, f in whole.items())).collect(), key=lambda r: r["_part"])
+
+    def before(c: str) -> list:
+        if c in lasts:
+            return list(accumulate([None, *(t[c] for t in totals)], lambda a, b: a if b is None else b))
+        number = float if kinds[c] in ("double", "float") else int
+        return list(accumulate([number(0), *(number(t[c] or 0) for t in totals)], (lambda a, b: a + b) if c in sums else (lambda a, b: a ^ b)))
+
+    fields = ", ".join(["_part int", *(f"_{c} {kinds[c]}" for c in inside)])
+    offsets = spark.createDataFrame(list(zip((t["_part"] for t in totals), *(before(c) for c in inside), strict=False)), fields)
+    got = ranged.select(*(F.col(c) if c not in inside else inside[c].over(by_order).alias(c) for c in rows.columns), "_part").join(F.broadcast(offsets), "_part")
+    put = lambda c: F.col(c) + F.col(f"_{c}") if c in sums else F.col(c).bitwiseXOR(F.col(f"_{c}")) if c in xors else F.coalesce(c, f"_{c}") if c in lasts else F.col(c)
+    return got.select(*(put(c).alias(c) for c in rows.columns))

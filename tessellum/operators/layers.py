@@ -82,10 +82,12 @@ def seeded(mask: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def legend_class(pixels: DataFrame, legend: DataFrame, *, pid: str, name: str, reach: float = 22.0) -> DataFrame:
-    """(pid, name): the legend's nearest colour (red, green, blue) within reach, the first name on ties, else null. A legend is a few rows."""
+    """(pid, name): the legend's nearest colour (red, green, blue) within reach, the first name on ties, else null. A legend has a thousand rows at most."""
     l = legend.select(F.col(name).alias("_n"), *[F.col(c).alias(f"_{c}") for c in ("red", "green", "blue")])
     d = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in ("red", "green", "blue")), F.lit(0.0)))
-    met = pixels.select(pid, "red", "green", "blue").join(F.broadcast(l) if l.count() <= 1000 else l, F.lit(True))
+    if l.count() > 1000:
+        raise ValueError("a legend has a thousand rows at most")
+    met = pixels.select(pid, "red", "green", "blue").join(F.broadcast(l), F.lit(True))
     best = met.groupBy(pid).agg(F.min(F.struct(d.alias("d"), "_n")).alias("m"))
     return best.select(pid, F.when(F.col("m.d") <= reach, F.col("m._n")).alias(name))
 

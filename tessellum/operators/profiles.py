@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.functions.geo import bearing
+from tessellum.plans.stages import stash
 
+from .chains import running
 from .ordered import over
+from .spatial import nearest
 
 
 def measured(points: DataFrame, *, key: str, order: str) -> DataFrame:
@@ -62,39 +65,62 @@ def pieces(line: DataFrame, *, key: str, most: float) -> DataFrame:
     return got.select(key, "piece", F.pmod(F.degrees(F.atan2("s", "c")) / 2 + 180, F.lit(180.0)).alias("direction"), "length")
 
 
-def along_and_off(places: DataFrame, line: DataFrame, *, place: str, key: str) -> DataFrame:
-    """(place, key, along, off): the nearest point of a line for each place, by its distance along the line and from it; ``line`` is one short line, or a few."""
-    segs = segments(line, key=key)
-    met = places.select(place, F.col("x").alias("px"), F.col("y").alias("py")).join(F.broadcast(segs) if segs.count() <= 100_000 else segs, F.lit(True))
+def along_and_off(places: DataFrame, line: DataFrame, *, place: str, key: str, reach: float) -> DataFrame:
+    """(place, key, along, off): the nearest point of each line within reach of each place, by its distance along the line and from it.
+
+    Segments are cut into pieces of at most the reach, which stand in the cells around them; a place looks in its own cell.
+    """
+    segs = segments(line, key=key).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / reach).cast("int")))
+    piece = segs.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    at = lambda c, k: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * k / F.col("_n")
+    for c, i in (("x", "_i"), ("y", "_j")):
+        a, b = at(c, F.col("_k")), at(c, F.col("_k") + 1)
+        piece = piece.withColumn(i, F.explode(F.sequence(F.floor(F.least(a, b) / reach) - 1, F.floor(F.greatest(a, b) / reach) + 1)))
+    near = piece.select(key, "x0", "y0", "x1", "y1", "d0", "d1", "_i", "_j").distinct()
+    own = places.select(place, F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / reach).alias("_i"), F.floor(F.col("y") / reach).alias("_j"))
+    met = own.join(near, ["_i", "_j"])
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("px") - F.col("x0")) * dx + (F.col("py") - F.col("y0")) * dy) / (dx * dx + dy * dy)))
     off = F.hypot(F.col("px") - F.col("x0") - dx * f, F.col("py") - F.col("y0") - dy * f)
     along = F.col("d0") + (F.col("d1") - F.col("d0")) * f
-    return met.groupBy(place, key).agg(F.min(F.struct(off.alias("off"), along.alias("along"))).alias("m")).select(place, key, F.col("m.along").alias("along"), F.col("m.off").alias("off"))
+    best = met.groupBy(place, key).agg(F.min(F.struct(off.alias("off"), along.alias("along"))).alias("m"))
+    return best.select(place, key, F.col("m.along").alias("along"), F.col("m.off").alias("off")).where(F.col("off") <= reach)
 
 
 def interpolated(reference: DataFrame, rows: DataFrame, *, at: str, value: str, name: str = "reference") -> DataFrame:
-    """``rows`` with the reference line (at, value) read at their ``at`` linearly; beyond its ends the end's value. The reference is one line, small enough for one task to order."""
-    w = Window.orderBy(at)
-    ref = reference.select(F.col(at).alias("_a0"), F.col(value).alias("_v0"), F.lead(at).over(w).alias("_a1"), F.lead(value).over(w).alias("_v1"), F.row_number().over(w).alias("_i"))
-    ends = reference.agg(F.min(F.struct(at, value)).alias("lo"), F.max(F.struct(at, value)).alias("hi"))
-    ends = ends.select(F.col(f"lo.{at}").alias("_l"), F.col(f"lo.{value}").alias("_lv"), F.col(f"hi.{at}").alias("_h"), F.col(f"hi.{value}").alias("_hv"))
-    met = rows.crossJoin(F.broadcast(ends)).join(F.broadcast(ref.where("_a1 IS NOT NULL")), (F.col(at) >= F.col("_a0")) & (F.col(at) < F.col("_a1")), "left")
-    inner = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(at) - F.col("_a0")) / (F.col("_a1") - F.col("_a0"))
-    return met.withColumn(name, F.when(F.col(at) <= F.col("_l"), F.col("_lv")).when(F.col(at) >= F.col("_h"), F.col("_hv")).otherwise(inner)).select(*rows.columns, name)
+    """``rows`` with the reference line (at, value) read at their ``at`` linearly; beyond its ends the end's value.
+
+    Both are put in one order by ranges; the line's points before and after a row are the last ones met from either side.
+    """
+    point = F.struct(F.col(at).cast("double").alias("a"), F.col(value).cast("double").alias("v"))
+    line = reference.select(F.col(at).cast("double").alias("_x"), point.alias("_p"), F.lit(None).alias("_row")).where("_x IS NOT NULL")
+    given = rows.select(F.col(at).cast("double").alias("_x"), F.lit(None).cast("struct<a: double, v: double>").alias("_p"), F.struct(*rows.columns).alias("_row"))
+    both = line.withColumn("_row", F.lit(None).cast(given.schema["_row"].dataType)).unionByName(given)
+    # a point at a row's own place counts as before it
+    both = both.withColumns({"_before": F.col("_p"), "_after": F.col("_p"), "_back": -F.col("_x"), "_line": F.col("_p").isNotNull(), "_own": F.col("_p").isNull()})
+    got = running(running(both, ["_x", "_own"], lasts=("_before",)), ["_back", "_line"], lasts=("_after",)).where("_own")
+    part = (F.col("_x") - F.col("_before.a")) / (F.col("_after.a") - F.col("_before.a"))
+    inner = F.col("_before.v") + (F.col("_after.v") - F.col("_before.v")) * part
+    shown = F.when(F.col("_x").isNull(), F.lit(None)).when(F.col("_before").isNull(), F.col("_after.v")).when(F.col("_after").isNull(), F.col("_before.v")).otherwise(inner)
+    return got.select("_row.*", shown.alias(name))
 
 
 def signed_offsets(points: DataFrame, front: DataFrame, *, pid: str, order: str, slack: float = 5.0) -> DataFrame:
-    """(pid, offset, inside): distance from the nearest front vertex, positive on the right of the front's direction there, and whether the point lies within its extent."""
-    w = Window.orderBy(order)  # one front
-    ahead = [(F.coalesce(F.lead(c).over(w), F.col(c)) - F.coalesce(F.lag(c).over(w), F.col(c))).alias(f"d{c}") for c in ("x", "y")]
-    f = front.select(F.col("x").alias("fx"), F.col("y").alias("fy"), *ahead, F.col(order).alias("_o"))
-    ends = front.agg((F.min("y") - slack).alias("low"), (F.max("y") + slack).alias("high"))
-    met = points.join(F.broadcast(f) if f.count() <= 100_000 else f, F.lit(True))
+    """(pid, offset, inside): distance from the nearest front vertex, positive on the right of the front's direction there, and whether the point lies within its extent.
+
+    The nearest vertex is looked for in cells (``spatial.nearest``), the earlier one on ties; its neighbours along the front are joined by their places.
+    """
+    vertex = stash(running(front.select(order, "x", "y").withColumn("_k", F.lit(1).cast("long")), [order], sums=("_k",)), "front")
+    side = lambda n, step: vertex.select((F.col("_k") + step).alias("_k"), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    turned = vertex.join(side("a", -1), "_k", "left").join(side("b", 1), "_k", "left")
+    f = stash(turned.select("_k", F.col("x").alias("fx"), F.col("y").alias("fy"), *((F.coalesce(f"a{c}", c) - F.coalesce(f"b{c}", c)).alias(f"d{c}") for c in ("x", "y"))), "directions")
+    low, high, left, right, n = front.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x"), F.count("*")).first()
+    spacing = max(high - low, right - left) / n if n else 0.0
+    met = nearest(points.select(pid, "x", "y"), vertex.select("_k", "x", "y"), lid=pid, rid="_k", size=max(spacing, 1e-9))
     size = F.hypot(F.col("dx"), F.col("dy"))
     off = ((F.col("x") - F.col("fx")) * F.col("dy") - (F.col("y") - F.col("fy")) * F.col("dx")) / size
-    best = met.groupBy(pid).agg(F.min(F.struct(F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy")).alias("d"), F.col("_o"), off.alias("off"), F.col("y").alias("py"))).alias("m"))
-    return best.crossJoin(F.broadcast(ends)).select(pid, F.col("m.off").alias("offset"), F.col("m.py").between(F.col("low"), F.col("high")).alias("inside"))
+    inside = F.col("y").between(low - slack, high + slack) if n else F.lit(False)
+    return met.join(points.select(pid, "x", "y"), pid).join(f, "_k").select(pid, off.alias("offset"), inside.alias("inside"))
 
 
 def canonical(chains: DataFrame, *, chain: str, a: str, b: str, length: str, same: str, share: float = 0.1) -> DataFrame:

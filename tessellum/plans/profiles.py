@@ -55,7 +55,7 @@ SELECT id, round(along, 4) AS along, round(off, 4) AS off, row_number() OVER (OR
 def markers_along(spark, sf_dir):
     """Places within 30 of a line, in its order."""
     p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 53 % 1000).cast("double").alias("x"), (F.col("s_acctbal") / 100).alias("y"))
-    near = P.along_and_off(p, lines(spark, sf_dir).where("k = 8"), place="id", key="k").where("off <= 30")
+    near = P.along_and_off(p, lines(spark, sf_dir).where("k = 8"), place="id", key="k", reach=30.0)
     return near.select("id", F.round("along", 4).alias("along"), F.round("off", 4).alias("off"), F.row_number().over(Window.orderBy("along", "id")).cast("long").alias("place"))
 
 
