@@ -23,13 +23,27 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Where tables have been written.
+_written: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage ends there, and a lost executor costs nothing."""
     at = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(at)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Remove all tables that ``stash`` has written so far, and say how many; what still reads them must have been saved before."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a context, so that their Python workers can import it wherever they run."""
     sc = spark.sparkContext

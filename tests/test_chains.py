@@ -55,3 +55,15 @@ def test_running_sums(spark):
     rows.sort(key=lambda x: x[1])
     a, x = itertools.accumulate(q[2] for q in rows), itertools.accumulate((q[3] for q in rows), lambda p, q: p ^ q)
     assert got == {q[1]: (q[0], m, n) for q, m, n in zip(rows, a, x, strict=True)}
+
+
+def test_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from tessellum.plans import stages
+
+    stages._written.clear()
+    got = C.follow(spark.createDataFrame([(1, 2), (2, 3)], "node long, to long")).collect()
+    made = [Path(x.removeprefix("file:").replace("//", "/")) for x in stages._written]
+    assert len(got) == 2 and made and all(x.exists() for x in made)
+    assert stages.drop_tables(spark) == len(made) and not any(x.exists() for x in made) and stages.drop_tables(spark) == 0
