@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessellum.plans.stages import ship, stash
 
+from .drainage import drainage  # noqa: F401  (a raster operator, in a module of its own)
+
 
 def merge_max(*sheets: DataFrame, value: str = "v") -> DataFrame:
     """The largest value of each cell over overlapping sheets."""
