@@ -189,3 +189,25 @@ def photos(shots: DataFrame, media: DataFrame, *, frame: tuple[float, float, flo
         finding(shots.where("brg IS NOT NULL AND NOT (brg >= 0 AND brg < 360)"), check, "bearing outside 0 to 359", F.col("id")),
         finding(shots.where(F.col("video").isNotNull() & (F.col("video") != poster)), check, "video not beside its poster", F.col("id")),
     )
+
+
+def overlap_shares(strips: DataFrame, *, polygon: str, step: float) -> DataFrame:
+    """(a, b, got): what percentage of polygon a lies in polygon b, for all that overlap, from scanned strips."""
+    from .layers import scanned_area, scanned_overlap
+
+    shared = scanned_overlap(strips, polygon=polygon, step=step)
+    both = shared.select(F.col("p").alias("a"), F.col("q").alias("b"), "area").unionByName(shared.select(F.col("q").alias("a"), F.col("p").alias("b"), "area"))
+    whole = scanned_area(strips, polygon=polygon, step=step).select(F.col(polygon).alias("a"), F.col("area").alias("whole"))
+    return both.join(whole, "a").select("a", "b", (100 * F.col("area") / F.col("whole")).alias("got"))
+
+
+def counted(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """(a, got): how many rows each named test holds for, counted in one pass."""
+    one = rows.agg(*(F.count_if(t).alias(n) for n, t in tests.items()))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("a"), F.col(n).alias("got")) for n in tests])).alias("x")).select("x.*")
+
+
+def vertical_exaggeration(bend: Column, length: Column, coast: Column, *, width: float = 880.0, height: float = 250.0, top: float = 1900.0, squeeze: float = 3.0) -> Column:
+    """How much steeper a drawn profile is than the ground above the bend: ``width`` and ``height`` pixels for the way, which below the bend is drawn ``squeeze`` times as wide, and for ``top`` metres."""
+    a_km = width / (bend + squeeze * (length - bend + coast))
+    return (height / top) / (a_km / 1000)

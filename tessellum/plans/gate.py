@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellum.operators import gate as G
+from tessellum.operators import layers as L
 from tessellum.operators import quality as Q
 from tessellum.operators import spatial as S
 
+from .layers import STRIPS
 from .registry import query, table
-from .spatial import EDGES, INSIDE, PTS, places, points, zones
+from .spatial import EDGES, INSIDE, PTS, SHAPES, places, points, zones
 
 #: id, kind, first and second argument, expected value, tolerance, whether it is relative.
 CLAIMS = [
@@ -232,3 +234,42 @@ def media_and_links(spark, sf_dir):
         Q.finding(d.where(~F.contains(credit, F.col("source"))), "media", "credit lacks its author", F.col("doc_id")),
         Q.finding(d.where(~has_latin(F.substring("text", 1, 200))), "names", "one script only", F.col("doc_id")),
     )
+
+
+#: Further kinds of claims: shares of overlaps, counts by a test, steepness of a drawn profile.
+FURTHER = [
+    ("o1", "overlap", "1", "2", 10.0, 0.5, False),
+    ("o2", "overlap", "3", "1", 20.0, 15.0, False),
+    ("o3", "overlap", "3", "2", 1.0, 0.1, False),
+    ("b1", "bld", "all", "", 1.0, 0.5, False),
+    ("b2", "bld", "debt", "", 0.0, 0.99, True),
+    ("b3", "bld", "none", "", 0.0, 0.5, False),
+    ("v1", "valley_ve", "up", "", 30.0, 30.0, False),
+    ("v2", "valley_ve", "down", "", 1000.0, 0.1, True),
+    ("v3", "valley_ve", "across", "", 1.0, 0.1, True),
+]
+FURTHER_ROWS = ", ".join(f"('{i}', '{k}', '{a}', '{b}', {e}::DOUBLE, {t}::DOUBLE, {str(r).lower()})" for i, k, a, b, e, t, r in FURTHER)
+
+
+@query(f"""
+WITH {STRIPS.replace(SHAPES, EDGES)}, claims(id, kind, a, b, expect, tol, relative) AS (VALUES {FURTHER_ROWS}), whole AS (SELECT zone, sum(b - a) * 5 AS area FROM strips GROUP BY zone),
+shared AS (SELECT p.zone AS a, q.zone AS b, sum(least(p.b, q.b) - greatest(p.a, q.a)) * 5 AS area FROM strips p JOIN strips q ON p.row = q.row AND p.zone <> q.zone AND least(p.b, q.b) > greatest(p.a, q.a) GROUP BY 1, 2),
+counts AS (SELECT 'all' AS a, count(*) AS got FROM customer UNION ALL SELECT 'debt', count(*) FROM customer WHERE c_acctbal < 0), line AS (SELECT avg(s_acctbal) / 100 AS bend, max(s_acctbal) / 100 AS length, count(*) / 10 AS coast FROM supplier),
+ve AS (SELECT (250.0::DOUBLE / 1900) / (880.0::DOUBLE / (bend + 3 * (length - bend + coast)) / 1000) AS ve FROM line),
+got AS (SELECT id, 100 * shared.area / whole.area AS got FROM claims JOIN shared ON CAST(shared.a AS VARCHAR) = claims.a AND CAST(shared.b AS VARCHAR) = claims.b JOIN whole ON whole.zone = shared.a WHERE kind = 'overlap'
+ UNION ALL SELECT id, got FROM claims JOIN counts USING (a) WHERE kind = 'bld' UNION ALL SELECT id, CASE a WHEN 'up' THEN ve ELSE ve / 3 END FROM claims, ve WHERE kind = 'valley_ve' AND a IN ('up', 'down'))
+SELECT 'derived' AS "check", CASE WHEN got IS NULL THEN 'check could not run' ELSE 'is not what the text relies on' END AS msg, id AS "where", 'error' AS severity
+FROM claims LEFT JOIN got USING (id) WHERE got IS NULL OR abs(got - expect) > tol * CASE WHEN relative THEN abs(expect) ELSE 1 END
+""")
+def further_kinds(spark, sf_dir):
+    """Claims on overlaps, counts and drawn profiles, recomputed."""
+    claims = spark.createDataFrame(FURTHER, "id string, kind string, a string, b string, expect double, tol double, relative boolean")
+    of = lambda kind: claims.where(F.col("kind") == kind).select("id", "a", "b")
+    strips = L.scanline(zones(spark), polygon="zone", step=5.0)
+    shares = G.overlap_shares(strips, polygon="zone", step=5.0).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "got")
+    counts = G.counted(table(spark, sf_dir, "customer"), {"all": F.lit(True), "debt": F.col("c_acctbal") < 0})
+    line = table(spark, sf_dir, "supplier").agg((F.avg("s_acctbal") / 100).alias("bend"), (F.max("s_acctbal") / 100).alias("length"), (F.count("*") / 10).alias("coast"))
+    up = G.vertical_exaggeration(F.col("bend"), F.col("length"), F.col("coast"))
+    drawn = line.select(F.explode(F.array(F.struct(F.lit("up").alias("a"), up.alias("got")), F.struct(F.lit("down").alias("a"), (up / 3).alias("got")))).alias("x")).select("x.*")
+    results = [of("overlap").join(shares, ["a", "b"]), of("bld").join(counts, "a"), of("valley_ve").join(drawn, "a")]
+    return G.derived(claims, [r.select("id", "got") for r in results])
