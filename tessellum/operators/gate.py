@@ -211,3 +211,31 @@ def vertical_exaggeration(bend: Column, length: Column, coast: Column, *, width:
     """How much steeper a drawn profile is than the ground above the bend: ``width`` and ``height`` pixels for the way, which below the bend is drawn ``squeeze`` times as wide, and for ``top`` metres."""
     a_km = width / (bend + squeeze * (length - bend + coast))
     return (height / top) / (a_km / 1000)
+
+
+#: A drawn path: moves and lines to pairs of numbers, rings closed or not.
+PATH = r"^(M\s*{p}(\s*L?\s*{p})*\s*Z?\s*)+$".replace("{p}", r"-?\d+(\.\d+)?[ ,]\s*-?\d+(\.\d+)?")
+
+
+def structure(held: DataFrame, required: list[str], layers: DataFrame, *, crs: str, check: str = "geo") -> DataFrame:
+    """A data file's parts (name, value): those missing, another ``crs`` than expected, and layers (key, d) whose paths can't be read."""
+    asked = held.sparkSession.createDataFrame([(n,) for n in required], "name string")
+    missing = finding(asked.join(held.select("name"), "name", "left_anti"), check, "missing", F.col("name"))
+    other = finding(held.where((F.col("name") == "crs") & ~F.col("value").eqNullSafe(F.lit(crs))), check, "unexpected CRS", F.coalesce("value", F.lit("")))
+    broken = finding(layers.where(~F.coalesce(F.col("d").rlike(PATH), F.lit(False))), check, "layer does not parse", F.col("key"))
+    return missing.unionByName(other).unionByName(broken)
+
+
+def declared_sizes(pages: DataFrame, files: DataFrame, *, html: str = "html", check: str = "media") -> DataFrame:
+    """Pictures in the markup of pages that declare another size than their file (src, width, height) has, or none; pictures without a file are left to other checks."""
+    tag = pages.select(F.explode(F.regexp_extract_all(html, F.lit(r"<img\b[^>]*>"), F.lit(0))).alias("tag"))
+    named = lambda k: F.regexp_extract("tag", rf'\b{k}="([^"]+)"', 1)
+    said = tag.select(named("src").alias("src"), named("width").alias("w"), named("height").alias("h"))
+    met = said.join(files.select("src", F.col("width").cast("string").alias("fw"), F.col("height").cast("string").alias("fh")), "src")
+    return finding(met.where((F.col("w") != F.col("fw")) | (F.col("h") != F.col("fh"))), check, F.concat(F.lit("declares "), "w", F.lit("×"), "h", F.lit(" px but the file is "), "fw", F.lit("×"), "fh"), F.col("src"))
+
+
+def sources_agree(shown_: DataFrame, register: DataFrame, check: str = "media") -> DataFrame:
+    """Pictures (src, url) whose link isn't the registered source (src, source)."""
+    met = shown_.join(register.select("src", "source"), "src")
+    return finding(met.where(~F.col("url").eqNullSafe(F.col("source"))), check, "the source link differs from the register", F.col("src"))

@@ -273,3 +273,37 @@ def further_kinds(spark, sf_dir):
     drawn = line.select(F.explode(F.array(F.struct(F.lit("up").alias("a"), up.alias("got")), F.struct(F.lit("down").alias("a"), (up / 3).alias("got")))).alias("x")).select("x.*")
     results = [of("overlap").join(shares, ["a", "b"]), of("bld").join(counts, "a"), of("valley_ve").join(drawn, "a")]
     return G.derived(claims, [r.select("id", "got") for r in results])
+
+
+@query("""
+WITH held AS (SELECT CASE n_nationkey % 5 WHEN 0 THEN 'frame' WHEN 1 THEN 'views' WHEN 2 THEN 'layers' WHEN 3 THEN 'crs' ELSE 'stats' END AS name, max(n_name) AS value FROM nation GROUP BY 1),
+layers AS (SELECT CAST(p_partkey AS VARCHAR) AS key, CASE p_partkey % 7 WHEN 0 THEN 'M ' || p_size || ',1 L 2.5,-3 Z M1 1L2 2' WHEN 1 THEN 'M ' || p_size WHEN 2 THEN 'L 1,2' WHEN 3 THEN 'M 1,2 Q 3,4' WHEN 4 THEN '' WHEN 5 THEN 'M -1,2 3,4 L5 -6Z' END AS d FROM part)
+SELECT 'geo' AS "check", 'missing' AS msg, n AS "where", 'error' AS severity FROM (VALUES ('frame'), ('views'), ('layers'), ('pts'), ('stats'), ('origin'), ('crs')) t(n) WHERE n NOT IN (SELECT name FROM held)
+UNION ALL SELECT 'geo', 'unexpected CRS', value, 'error' FROM held WHERE name = 'crs' AND value <> 'EPSG:6674' UNION ALL SELECT 'geo', 'layer does not parse', key, 'error' FROM layers JOIN part ON CAST(p_partkey AS VARCHAR) = key WHERE p_partkey % 7 NOT IN (0, 5)
+""")
+def structure_check(spark, sf_dir):
+    """Parts of a data file that are missing or wrong, and layers that can't be read."""
+    n, k = F.col("n_nationkey") % 5, F.col("p_partkey") % 7
+    name = F.when(n == 0, "frame").when(n == 1, "views").when(n == 2, "layers").when(n == 3, "crs").otherwise("stats")
+    held = table(spark, sf_dir, "nation").groupBy(name.alias("name")).agg(F.max("n_name").alias("value"))
+    size = F.col("p_size").cast("string")
+    d = F.when(k == 0, F.concat(F.lit("M "), size, F.lit(",1 L 2.5,-3 Z M1 1L2 2"))).when(k == 1, F.concat(F.lit("M "), size)).when(k == 2, "L 1,2").when(k == 3, "M 1,2 Q 3,4").when(k == 4, "").when(k == 5, "M -1,2 3,4 L5 -6Z")
+    layers = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), d.alias("d"))
+    return Q.gate(G.structure(held, ["frame", "views", "layers", "pts", "stats", "origin", "crs"], layers, crs="EPSG:6674"))
+
+
+@query("""
+WITH s AS (SELECT 'img/' || s_suppkey || '.jpg' AS src, s_suppkey AS k, 100 + s_suppkey % 50 AS w, 80 + s_suppkey % 30 AS h FROM supplier)
+SELECT 'media' AS "check", 'declares ' || CASE WHEN k % 5 = 1 THEN '' ELSE CAST(CASE WHEN k % 5 = 0 THEN w + 1 ELSE w END AS VARCHAR) END || '×' || h || ' px but the file is ' || w || '×' || h AS msg, src AS "where", 'error' AS severity FROM s WHERE k % 5 IN (0, 1) AND k % 4 <> 0
+UNION ALL SELECT 'media', 'the source link differs from the register', src, 'error' FROM s WHERE k % 6 IN (1, 2)
+""")
+def picture_sizes(spark, sf_dir):
+    """Pictures that declare another size than their file has, and links that aren't the registered ones."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(k.alias("k"), F.concat(F.lit("img/"), k.cast("string"), F.lit(".jpg")).alias("src"), (100 + k % 50).alias("width"), (80 + k % 30).alias("height"))
+    k = F.col("k")
+    said = F.when(k % 5 == 1, F.lit("")).otherwise(F.concat(F.lit('" width="'), F.when(k % 5 == 0, F.col("width") + 1).otherwise(F.col("width")).cast("string")))
+    tag = F.concat(F.lit('<img class="p" src="'), "src", said, F.lit('" height="'), F.col("height").cast("string"), F.lit('" alt="a > b">'))
+    pages = s.groupBy((k % 7).alias("page")).agg(F.concat_ws("<p>text</p>", F.collect_list(tag)).alias("html"))
+    links = s.select("src", F.when(k % 6 == 1, F.lit(None)).otherwise(F.concat(F.lit("u"), F.when(k % 6 == 2, k + 1).otherwise(k).cast("string"))).alias("url"))
+    return Q.gate(G.declared_sizes(pages, s.where("k % 4 <> 0")), G.sources_agree(links, s.select("src", F.concat(F.lit("u"), k.cast("string")).alias("source"))))
