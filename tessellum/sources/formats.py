@@ -15,7 +15,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellum.plans.stages import ship
@@ -205,33 +205,34 @@ def cadastre_parts(data: bytes) -> Iterator[tuple]:
         yield ("parcel", f.get("id"), shape.get("idref") if shape is not None else None, None, 0, None, None, tags)
 
 
-def chained(pieces: list[list[tuple[float, float]]]) -> tuple[list[tuple[float, float]], int]:
-    """(closed ring, gaps): pieces one after the other, each turned so that it goes on from the last; the first is turned by the second."""
-    out: list[tuple[float, float]] = []
-    gaps = 0
-    for i, piece in enumerate(pieces):
-        if not out:
-            out = list(piece)
-            if len(pieces) > 1 and out[-1] not in (pieces[1][0], pieces[1][-1]) and out[0] in (pieces[1][0], pieces[1][-1]):
-                out.reverse()
-        elif out[-1] == piece[0]:
-            out += piece[1:]
-        elif out[-1] == piece[-1]:
-            out += piece[-2::-1]
-        else:
-            gaps += 1
-            out += piece
-    return ([*out, out[0]] if out and out[0] != out[-1] else out), gaps
+def with_ring(df: DataFrame, pieces: str) -> DataFrame:
+    """``df`` with points, a closed ring, and gaps, how many of its ``pieces`` (arrays of points, in order around) don't begin where the one before ends.
+
+    Every piece is turned by its two neighbours: so that its end meets the one after it and its beginning the one before it rather than the other way round.
+    Of two pieces the second follows the first.
+    """
+    first, last = (lambda p: p[0]), (lambda p: F.element_at(p, -1))
+    meets = lambda point, piece: ((point == first(piece)) | (point == last(piece))).cast("int")
+    listed = df.withColumn("_p", F.filter(pieces, lambda p: F.size(p) > 0)).withColumn("_n", F.size("_p"))
+    beside = lambda i, step: F.element_at("_p", F.pmod(i + step, F.col("_n")) + 1)
 
+    def turned(p, i):
+        ahead = meets(last(p), beside(i, 1)) + meets(first(p), beside(i, -1))
+        back = meets(first(p), beside(i, 1)) + meets(last(p), beside(i, -1))
+        return F.when(back > ahead, F.reverse(p)).otherwise(p)
 
-def _ring(pieces: Column) -> Column:
-    @F.pandas_udf("points array<struct<x:double,y:double>>, gaps int")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in parts:
-            rows = [chained([[(q["x"], q["y"]) for q in p] for p in listed]) for listed in s]
-            yield pd.DataFrame([([{"x": x, "y": y} for x, y in ring], gaps) for ring, gaps in rows], columns=["points", "gaps"])
+    def of_two(p, i):
+        begins = meets(last(p), beside(i, 1)) < meets(first(p), beside(i, 1))
+        start = F.when(meets(last(F.col("_p")[0]), F.col("_p")[1]) < meets(first(F.col("_p")[0]), F.col("_p")[1]), first(F.col("_p")[0])).otherwise(last(F.col("_p")[0]))
+        return F.when(F.when(i == 0, begins).otherwise((last(p) == start) & (first(p) != start)), F.reverse(p)).otherwise(p)
 
-    return run(pieces)
+    way = F.when(F.col("_n") == 2, F.transform("_p", of_two)).when(F.col("_n") > 2, F.transform("_p", turned)).otherwise(F.col("_p"))
+    ended = lambda i: last(F.element_at("_w", F.greatest(i, F.lit(1))))  # noqa: E731  the end of the piece before the i-th, counted from 0
+    got = listed.withColumn("_w", way)
+    got = got.withColumn("gaps", F.size(F.filter("_w", lambda p, i: (i > 0) & (first(p) != ended(i)))))
+    got = got.withColumn("points", F.flatten(F.transform("_w", lambda p, i: F.when((i > 0) & (first(p) == ended(i)), F.slice(p, 2, F.size(p))).otherwise(p))))
+    shut = F.when((F.size("points") > 0) & (F.try_element_at("points", F.lit(1)) != F.try_element_at("points", F.lit(-1))), F.concat("points", F.slice("points", 1, 1))).otherwise(F.col("points"))
+    return got.withColumn("points", shut).drop("_p", "_n", "_w")
 
 
 def read_parcels(spark: SparkSession, path: str) -> DataFrame:
@@ -252,9 +253,9 @@ def read_parcels(spark: SparkSession, path: str) -> DataFrame:
     curves = vertices.groupBy("path", F.col("id").alias("ref")).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("curve"))
     ordered = of("ring").select("path", "id", "ref", "ring", "seq").join(curves, ["path", "ref"])
     pieces = ordered.groupBy("path", "id", "ring").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "curve"))), lambda v: v["curve"]).alias("pieces"))
-    rings = pieces.select("path", "id", "ring", _ring(F.col("pieces")).alias("r"))
-    listed = F.sort_array(F.collect_list(F.struct("ring", F.col("r.points").alias("points"))))
-    surfaces = rings.groupBy("path", F.col("id").alias("ref")).agg(F.transform(listed, lambda v: v["points"]).alias("rings"), F.sum("r.gaps").alias("gaps"))
+    rings = with_ring(pieces, "pieces")
+    listed = F.sort_array(F.collect_list(F.struct("ring", "points")))
+    surfaces = rings.groupBy("path", F.col("id").alias("ref")).agg(F.transform(listed, lambda v: v["points"]).alias("rings"), F.sum("gaps").alias("gaps"))
     return of("parcel").select("path", "id", "ref", "tags").join(surfaces, ["path", "ref"]).select("path", "id", "tags", "rings", "gaps")
 
 

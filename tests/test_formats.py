@@ -116,3 +116,29 @@ def test_exif(spark, tmp_path, end):
     a = got["a.jpg"]
     assert (a.time, a.offset, a.camera, a.lon, a.alt, a.dir) == ("2025:09-28 12:04:06", "+09:00", "Own Camera1", 135.0, -2.5, 360.5) and abs(a.lat + 33.51) < 1e-12
     assert got["b.jpg"].time is None
+
+
+def test_rings_of_turned_pieces(spark):
+    import random
+
+    from tessellum.sources.formats import with_ring
+
+    r, rows = random.Random(5), []
+    for k in range(60):
+        n = r.randint(3, 12)
+        ring = [(float(i), float(r.randrange(100) * 20 + i)) for i in range(n)]
+        cuts = sorted(r.sample(range(n), r.randint(1, min(4, n - 1))))
+        whole = ring[cuts[0] :] + ring[: cuts[0]] + [ring[cuts[0]]]
+        at = [c - cuts[0] for c in cuts] + [n]
+        parts = [whole[a : b + 1] for a, b in zip(at, at[1:], strict=False)]
+        rows.append((k, [p if r.random() < 0.5 or len(parts) == 1 else p[::-1] for p in parts], whole))
+    got = {x.k: x for x in with_ring(spark.createDataFrame([(k, p) for k, p, _ in rows], "k int, pieces array<array<struct<x: double, y: double>>>"), "pieces").collect()}
+    for k, _, whole in rows:
+        points = [tuple(p) for p in got[k].points]
+        assert got[k].gaps == 0 and points[0] == points[-1] and len(points) == len(whole)
+        start = points.index(whole[0]) if whole[0] in points else -1
+        turn = points[start:-1] + points[:start]
+        assert turn in (whole[:-1], [whole[0], *whole[-2:0:-1]])
+    odd = spark.createDataFrame([(1, [[(0.0, 0.0), (1.0, 0.0)], [(5.0, 5.0), (1.0, 0.0)]]), (2, [[(0.0, 0.0), (1.0, 0.0)], [(7.0, 7.0), (8.0, 8.0)]]), (3, []), (4, [[(1.0, 0.0), (0.0, 0.0)], [(1.0, 0.0), (5.0, 5.0)]])], "k int, pieces array<array<struct<x: double, y: double>>>")
+    found = {x.k: (x.gaps, [tuple(p) for p in x.points]) for x in with_ring(odd, "pieces").collect()}
+    assert found[1] == (0, [(0, 0), (1, 0), (5, 5), (0, 0)]) and found[2][0] == 1 and found[3] == (0, []) and found[4] == (0, [(0, 0), (1, 0), (5, 5), (0, 0)])
