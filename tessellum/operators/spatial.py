@@ -39,31 +39,62 @@ def _cells(df: DataFrame, x: str, y: str, size: float, ring: int) -> DataFrame:
     return out
 
 
-def within(left: DataFrame, right: DataFrame, *, lid: str, rid: str, radius: float) -> DataFrame:
-    """(lid, rid, dist) of all points within the radius; the left side stands in one cell, the right in nine."""
-    a = _cells(left.select(F.col(lid), F.col("x").alias("ax"), F.col("y").alias("ay")), "ax", "ay", radius, 0)
-    b = _cells(right.select(F.col(rid), F.col("x").alias("bx"), F.col("y").alias("by")), "bx", "by", radius, 1)
-    d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    return a.join(b, ["_i", "_j"]).withColumn("dist", d).where(F.col("dist") <= radius).select(lid, rid, "dist")
+def within(left: DataFrame, right: DataFrame, *, lid: str, rid: str, radius: float, own: tuple[str, ...] = (), other: tuple[str, ...] = (), fine: int = 1) -> DataFrame:
+    """(lid, rid, dist, *own, *other) of all points within the radius; ``own`` and ``other`` are further columns of left and right.
 
-
-def nearest(left: DataFrame, right: DataFrame, *, lid: str, rid: str, size: float) -> DataFrame:
+    The left side stands in one cell, the right in those around it. ``fine`` cells make a radius: with 3 fewer pairs are looked at in vain (1.7 instead of 2.9
+    for each that is found) and the work falls into more cells, but the right side is written 49 instead of 9 times; right for many partners, wrong for few.
+    The left side is dealt by cell over all tasks, however few bytes it has: the work is in the pairs.
+    """
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    a = _cells(left.select(F.col(lid), F.col("x").alias("ax"), F.col("y").alias("ay"), *own), "ax", "ay", radius / fine, 0).repartition(parts, "_i", "_j")
+    b = _cells(right.select(F.col(rid), F.col("x").alias("bx"), F.col("y").alias("by"), *other), "bx", "by", radius / fine, fine)
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    return a.join(b, ["_i", "_j"]).withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") <= radius).select(lid, rid, "dist", *own, *other)
+
+
+def _first_radius(points: DataFrame, places: DataFrame, size: float, *, halvings: int = 16, crowd: float = 8.0) -> float:
+    """``size`` halved until a place shares its cell with few others on average; one row a halving comes to the driver."""
+    far = max(df.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0.0 for df in (points, places))
+    most = [k for k in range(halvings + 1) if far / size * 2**k < 2**60]
+    if len(most) < 2:
+        return size
+    at = places.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(most[-1]))).alias("k"))
+    scale = F.pow(F.lit(2.0), F.col("k")) / size
+    count = at.groupBy("k", F.floor(F.col("x") * scale).alias("i"), F.floor(F.col("y") * scale).alias("j")).agg(F.count("*").cast("double").alias("n"))
+    met = {r["k"]: r["m"] for r in count.groupBy("k").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).collect()}
+    return size / 2 ** next((k for k in most if met.get(k, 0.0) <= crowd), most[-1])
+
+
+def nearest(left: DataFrame, right: DataFrame, *, lid: str, rid: str, size: float, reach: float | None = None, own: tuple[str, ...] = (), other: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
     """(lid, rid, dist) of the nearest point, the smaller id on ties: the search radius doubles until all are served.
 
-    Points without finite coordinates have no row, and none has one if there is nothing to be near to.
+    It begins at ``size`` or, where places stand close, at a part of it, so that a point meets few places however many there are. Only places for which ``where`` (a
+    condition on the columns ``own`` of left and ``other`` of right) holds count, and with ``reach`` only those no further away. Points alike in place and columns are looked up
+    once. Points without finite coordinates have no row, and none has one if there is nothing to be near to.
     """
     from tessellum.plans.stages import stash
 
     finite = "abs(x) < double('infinity') AND abs(y) < double('infinity')"
-    waiting, right, done, radius = left.where(finite), right.where(finite), None, size
+    asked = stash(left.where(finite).select("x", "y", *own).distinct().withColumn("_q", F.monotonically_increasing_id()), "asked")
+    places = stash(right.where(finite).groupBy("x", "y", *other).agg(F.min(rid).alias(rid)), "places")
+    radius = _first_radius(asked, places, size if reach is None else min(size, reach))
+    waiting, done, empty = asked, None, places.isEmpty()
     while True:
-        near = within(waiting, right, lid=lid, rid=rid, radius=radius).groupBy(lid).agg(F.min(F.struct("dist", rid)).alias("m"))
-        got = stash(near.select(lid, F.col(f"m.{rid}").alias(rid), F.col("m.dist").alias("dist")), "nearest")
+        near = within(waiting, places, lid="_q", rid=rid, radius=radius, own=own, other=other)
+        near = near if where is None else near.where(where)
+        got = stash(near.groupBy("_q").agg(F.min(F.struct("dist", rid)).alias("m")).select("_q", F.col(f"m.{rid}").alias(rid), F.col("m.dist").alias("dist")), "nearest")
         done = got if done is None else done.unionByName(got)
-        waiting = stash(waiting.join(got.select(lid), lid, "left_anti"), "waiting")
-        if waiting.isEmpty() or right.isEmpty():
-            return done
-        radius *= 2
+        if empty or (reach is not None and radius >= reach):
+            break
+        waiting = stash(waiting.join(got.select("_q"), "_q", "left_anti"), "waiting")
+        if waiting.isEmpty():
+            break
+        radius = radius * 2 if reach is None else min(radius * 2, reach)
+    served = asked.join(done, "_q").drop("_q")
+    met = left.where(finite).select(lid, "x", "y", *own).join(served, ["x", "y", *own])
+    return met.groupBy(lid).agg(F.min(F.struct("dist", rid)).alias("m")).select(lid, F.col(f"m.{rid}").alias(rid), F.col("m.dist").alias("dist"))
 
 
 def raster_lookup(points: DataFrame, cells: DataFrame, *, east: float, north: float, value: str = "v", step: float = 1.0, outside: object = 0) -> DataFrame:
