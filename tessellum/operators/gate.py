@@ -110,7 +110,8 @@ def runs_of_labels(steps: DataFrame, *, route: str, order: str, label: str, leas
 def least_threshold(steps: DataFrame, closures: DataFrame, *, route: str, section: str, least: float = 200.0) -> DataFrame:
     """(route, mm, hr): the lowest limits among the closures (section, length, mm, hr) that cover ``least`` or more of a section of the route."""
     on = steps.select(route, section).distinct()
-    return on.join(closures.where(F.col("length") >= least), section).groupBy(route).agg(F.min("mm").alias("mm"), F.min("hr").alias("hr"))
+    lowest = closures.where(F.col("length") >= least).groupBy(section).agg(F.min("mm").alias("mm"), F.min("hr").alias("hr"))
+    return on.join(lowest, section).groupBy(route).agg(F.min("mm").alias("mm"), F.min("hr").alias("hr"))
 
 
 def rows_agree(want: DataFrame, got: DataFrame, key: str, check: str = "table") -> DataFrame:
