@@ -70,10 +70,10 @@ WITH {PTS}, {SUP}, m AS (SELECT id, sid, sqrt((p.x - s.x) ** 2 + (p.y - s.y) **
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, sid) AS k FROM m WHERE least(g, 180 - g) <= 30) SELECT id, sid FROM k WHERE k = 1
 """)
 def angular_match(spark, sf_dir):
-    near = S.within(points(spark, sf_dir), places(spark, sf_dir), lid="id", rid="sid", radius=250.0)
-    turned = axial_difference((F.col("id") * 13 % 180).cast("double"), (F.col("sid") * 29 % 180).cast("double"))
-    best = near.where(turned <= 30).groupBy("id").agg(F.min(F.struct("dist", "sid")).alias("m"))
-    return best.select("id", F.col("m.sid").alias("sid"))
+    p = points(spark, sf_dir).withColumn("course", (F.col("id") * 13 % 180).cast("double"))
+    s = places(spark, sf_dir).withColumn("other", (F.col("sid") * 29 % 180).cast("double"))
+    turned = axial_difference(F.col("course"), F.col("other"))
+    return S.nearest(p, s, lid="id", rid="sid", size=250.0, reach=250.0, own=("course",), other=("other",), where=turned <= 30).select("id", "sid")
 
 
 @query("""
