@@ -126,10 +126,12 @@ def signed_offsets(points: DataFrame, front: DataFrame, *, pid: str, order: str,
 def canonical(chains: DataFrame, *, chain: str, a: str, b: str, length: str, same: str, share: float = 0.1) -> DataFrame:
     """(chain, canon): the chain of the smallest id with the same ends and mark and a length within the share, else itself."""
     c = chains.select(F.col(chain).alias("id"), F.least(a, b).alias("p"), F.greatest(a, b).alias("q"), F.col(length).alias("n"), F.col(same).alias("m"))
-    other = c.select(F.col("id").alias("id2"), "p", "q", F.col("n").alias("n2"), "m")
-    met = c.join(other, ["p", "q", "m"], "left").where((F.col("id2") < F.col("id")) & (F.abs(F.col("n2") - F.col("n")) < share * F.col("n")))
-    least = met.groupBy("id").agg(F.min("id2").alias("to"))
-    return c.join(least, "id", "left").select(F.col("id").alias(chain), F.coalesce("to", "id").alias("canon"))
+    # chains alike in all but the id have one answer: the least id among those within the share
+    alike = c.groupBy("p", "q", "m", "n").agg(F.min("id").alias("id"))
+    other = alike.select("p", "q", "m", F.col("n").alias("n2"), F.col("id").alias("id2"))
+    met = alike.select("p", "q", "m", "n").join(other, ["p", "q", "m"]).where(F.abs(F.col("n2") - F.col("n")) < share * F.col("n"))
+    least = met.groupBy("p", "q", "m", "n").agg(F.min("id2").alias("to"))
+    return c.join(least, ["p", "q", "m", "n"], "left").select(F.col("id").alias(chain), F.coalesce(F.least("to", "id"), "id").alias("canon"))
 
 
 def rollup(steps: DataFrame, chains: DataFrame, *, route: str, chain: str, direction: str) -> DataFrame:
