@@ -50,7 +50,10 @@ def nearest_label(points: DataFrame, labels: DataFrame, *, key: str, name: str,
     n = labels.count()
     if n > 10_000:
         raise ValueError(f"{n} labels: use spatial.nearest")
-    met = points.join(F.broadcast(labels), F.lit(True))
+    # a point's rows are made where they are brought together: dealt first, by key, over all tasks
+    spark = points.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), points.count() // 50_000)
+    met = points.repartition(parts, key).join(F.broadcast(labels), F.lit(True))
     return met.groupBy(key).agg(F.min(F.struct((distance * weight).alias("d"), F.col(name))).alias("m")).select(key, F.col(f"m.{name}").alias(name))
 
 
