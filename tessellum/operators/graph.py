@@ -91,7 +91,8 @@ def trace(links: DataFrame, starts: DataFrame, *, src: str, dst: str, most_round
 
 def simple_paths(edges: DataFrame, *, start: object, end: object, stretch: float, u: str = "u", v: str = "v", weight: str = "w") -> DataFrame:
     """(path, length): all paths without a repeated node whose length is at most ``stretch`` times the shortest; weights must be positive."""
-    net = edges.select(F.col(u).alias("a"), F.col(v).alias("b"), F.col(weight).cast("double").alias("w"))
+    # read in every round, so what it comes from is worked out once
+    net = stash(edges.select(F.col(u).alias("a"), F.col(v).alias("b"), F.col(weight).cast("double").alias("w")), "net")
     first = net.sparkSession.createDataFrame([(start, start, 0.0)], "node long, source long, dist double")
     best = shortest_paths(net, first, u="a", v="b", weight="w").where(F.col("node") == F.lit(end)).select("dist").first()
     schema = "path array<bigint>, length double"
