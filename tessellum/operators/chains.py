@@ -11,7 +11,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.plans.stages import stash
+from tessellum.plans.stages import spread as stash
 
 from .components import components
 

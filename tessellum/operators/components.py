@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.plans.stages import stash
+from tessellum.plans.stages import spread as stash
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

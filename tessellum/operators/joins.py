@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.plans.stages import stash
+from tessellum.plans.stages import spread as stash
 
 from .chains import chains
 from .spatial import within

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessellum.operators import gate, routing, spatial
-from tessellum.plans import registry
+from tessellum.operators import gate, joins, routing, spatial
+from tessellum.plans import registry, stages
 
 SMALL = "/root/testdata/sf0.001"
 #: A shift that leaves places, courses, codes and nodes as they are.
@@ -77,3 +77,14 @@ def test_limits_of_a_section_are_brought_down_before_routes_meet_them(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 7, 4), (2, 7, 4)]
     joined = got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
     assert joined.count("Aggregate [section") >= 1 and "min(" in joined
+
+
+def test_what_grows_is_not_broadcast(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    p = spark.range(500).select(F.col("id").alias("p"), (F.col("id") % 50).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    assert "Broadcast" not in plan(spatial.within(p, p.withColumnRenamed("p", "q"), lid="p", rid="q", radius=1.0))
+    ways = spark.range(60).select(F.col("id").alias("way"), (F.col("id") * 10.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") * 10.0 + 9.6).alias("x1"), F.lit(0.0).alias("y1"))
+    monkeypatch.setattr(stages, "BROADCAST_BYTES", 0)
+    got = joins.joined_ways(ways, gap=1.0)
+    assert "Broadcast" not in plan(got)
+    assert sorted((r["chain"], r["way"], r["pos"]) for r in got.collect()) == [(0, k, k) for k in range(60)]
