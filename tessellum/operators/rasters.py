@@ -61,84 +61,132 @@ def best_shift(a: DataFrame, b: DataFrame, *, reach: int = 4) -> DataFrame:
     return scored.orderBy(F.desc("iou"), F.abs("dr") + F.abs("dc"), "dr", "dc").limit(1).select("dr", "dc", "iou")
 
 
-#: Samples of a route that are joined into one piece, and pieces into a longer one.
-FAN = 256
-
-
-def _turns(a: np.ndarray, b: np.ndarray, turn: float) -> np.ndarray:
-    return np.abs(a[:, None] - b[None, :]) * turn
+#: Samples of a route that are joined into one piece, and pieces into a longer one; numbers of the costs that one group of pieces holds, roughly.
+FAN, HELD = 256, 1_500_000
+
+
+class _Pieces:
+    """The rows of many pieces, for one step of all of them at once; lists are filled up to the longest, costs with infinity."""
+
+    def __init__(self, pdf: pd.DataFrame, single: bool):
+        pdf = pdf.sort_values(["route", "up", "pos"]).reset_index(drop=True)
+        self.rows, self.single = pdf, single
+        new = (pdf["route"].ne(pdf["route"].shift()) | pdf["up"].ne(pdf["up"].shift())).to_numpy()
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(pdf)))
+        # the longest first: a step has the first so many of them
+        order = np.argsort(-size, kind="stable")
+        self.begin, self.size = begin[order], size[order]
+        self.a, self.b = (pdf[c].map(len).to_numpy("int64") for c in ("first", "last"))
+        self.width = w = int(max(self.a.max(), self.b.max()))
+        at = np.arange(w)
+        inside = lambda n: at[None, :] < n[:, None]
+        self.first, self.last = (self._filled(pdf[c], inside(n), 0.0) for c, n in (("first", self.a), ("last", self.b)))
+        self.cost = self._filled(pdf["cost"], inside(self.a) if single else inside(self.a)[:, :, None] & inside(self.b)[:, None, :], np.inf)
+
+    @staticmethod
+    def _filled(lists: pd.Series, inside: np.ndarray, fill: float) -> np.ndarray:
+        out = np.full(inside.shape, fill)
+        out[inside] = np.concatenate(lists.to_list())
+        return out
+
+    def step(self, k: int) -> np.ndarray:
+        """The rows of that place in their pieces."""
+        return self.begin[: np.searchsorted(-self.size, -k, side="left")] + k
+
+    def whole(self, rows: np.ndarray) -> np.ndarray:
+        """Costs from each state at the beginning to each at the end; a single sample has costs of its states alone."""
+        return np.where(np.eye(self.width, dtype=bool), self.cost[rows][:, None, :], np.inf) if self.single else self.cost[rows]
+
+    def turns(self, rows: np.ndarray, turn: float) -> np.ndarray:
+        """Costs from the states at the end of the rows before to those at the beginning of the rows."""
+        return np.abs(self.last[rows - 1][:, :, None] - self.first[rows][:, None, :]) * turn
 
 
 def _least(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The min-plus product."""
-    return (left[:, :, None] + right[None, :, :]).min(1)
-
-
-def _steps(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces in order: place, states at the beginning and at the end, least cost from each of the one to each of the other."""
-    out = []
-    for pos, first, last, cost in pdf.sort_values("pos")[["pos", "first", "last", "cost"]].itertuples(index=False):
-        first, last, cost = np.asarray(first), np.asarray(last), np.asarray(cost)
-        # a single sample has costs of its states alone
-        out.append((pos, first, last, np.where(np.eye(len(first), dtype=bool), cost, np.inf) if len(cost) == len(first) and pdf["single"].iloc[0] else cost.reshape(len(first), len(last))))
+    """The min-plus products."""
+    out = left[:, :, :1] + right[:, :1, :]
+    for m in range(1, left.shape[2]):
+        np.minimum(out, left[:, :, m : m + 1] + right[:, m : m + 1, :], out=out)
     return out
 
 
-def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    steps, turn = _steps(pdf), float(pdf["turn"].iloc[0])
-    _, first, last, whole = steps[0]
-    for _, a, b, cost in steps[1:]:
-        whole = _least(_least(whole, _turns(last, a, turn)), cost)
-        last = b
-    return pd.DataFrame({"route": [pdf["route"].iloc[0]], "pos": [pdf["up"].iloc[0]], "first": [first], "last": [last], "cost": [whole.ravel()], "single": [False], "turn": [turn]})
-
-
-def _traced(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Given the states at both ends of a piece (places in its lists), those at both ends of each of its parts."""
-    steps, turn = _steps(pdf), float(pdf["turn"].iloc[0])
-    begin, end = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-    # least cost from the beginning to the end of each part, and to the beginning of the next
-    reach, ways = [steps[0][3][begin]], []
-    for (_, _, last, _), (_, first, _, cost) in zip(steps, steps[1:], strict=False):
-        into = reach[-1][:, None] + _turns(last, first, turn)
-        ways.append(into)
-        reach.append((into.min(0)[:, None] + cost).min(0))
-    rows = []
-    for k in range(len(steps) - 1, 0, -1):
-        enter = int((ways[k - 1].min(0) + steps[k][3][:, end]).argmin())
-        rows.append((steps[k][0], enter, end))
-        end = int(ways[k - 1][:, enter].argmin())
-    rows.append((steps[0][0], begin, end))
-    pos, a, b = zip(*rows, strict=True)
-    return pd.DataFrame({"route": pdf["route"].iloc[0], "pos": pos, "a": a, "b": b})
+def _joined(turn: float, single: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = _Pieces(pdf, single)
+        whole = p.whole(p.begin)
+        for k in range(1, int(p.size[0])):
+            rows = p.step(k)
+            into = _least(whole[: len(rows)], p.turns(rows, turn))
+            whole[: len(rows)] = into + p.cost[rows][:, None, :] if single else _least(into, p.cost[rows])
+        end = p.begin + p.size - 1
+        head, tail = p.rows.iloc[p.begin], p.rows.iloc[end]
+        cost = [c[:a, :b].ravel() for c, a, b in zip(whole, p.a[p.begin].tolist(), p.b[end].tolist(), strict=True)]
+        return pd.DataFrame({"route": head["route"].to_numpy(), "pos": head["up"].to_numpy(), "first": head["first"].to_numpy(), "last": tail["last"].to_numpy(), "cost": cost})
+
+    return run
+
+
+def _traced(turn: float, single: bool):
+    """Given the states at both ends of pieces (places in their lists), those at both ends of each of their parts."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = _Pieces(pdf, single)
+        n, w = len(p.rows), p.width
+        a, b = p.rows["a"].to_numpy("int64"), p.rows["b"].to_numpy("int64")
+        # least cost from the beginning to the end of each part, and to the beginning of the next
+        reach, into = np.empty((n, w)), np.empty((n, w))
+        reach[p.begin] = p.whole(p.begin)[np.arange(len(p.begin)), a[p.begin]]
+        for k in range(1, int(p.size[0])):
+            rows = p.step(k)
+            into[rows] = (reach[rows - 1][:, :, None] + p.turns(rows, turn)).min(1)
+            reach[rows] = into[rows] + p.cost[rows] if single else (into[rows][:, :, None] + p.cost[rows]).min(1)
+        enter, end = a.copy(), b.copy()
+        for k in range(int(p.size[0]) - 1, 0, -1):
+            rows = p.step(k)
+            each = np.arange(len(rows))
+            enter[rows] = (into[rows] + p.whole(rows)[each, :, end[rows]]).argmin(1)
+            to = p.first[rows, enter[rows]]
+            # only states that there are; the first of the cheapest
+            way = np.where(np.arange(w)[None, :] < p.b[rows - 1][:, None], reach[rows - 1] + np.abs(p.last[rows - 1] - to[:, None]) * turn, np.inf)
+            end[rows - 1] = way.argmin(1)
+        return pd.DataFrame({"route": p.rows["route"], "pos": p.rows["pos"], "a": enter, "b": end})
+
+    return run
 
 
 def best_states(samples_: DataFrame, *, turn: float, fan: int = FAN) -> DataFrame:
     """(route, seq, state): the cheapest sequence of states over ``samples_`` (route, seq, state, cost), each with its own cost and ``turn`` for every unit of change.
 
     A piece of a route is the least cost from every state at its beginning to every state at its end; pieces join by min-plus products. ``fan`` samples make a piece, ``fan`` pieces
-    a longer one, and so on up to the route; then the states at the ends of pieces are traced back down. So a task holds ``fan`` pieces, never a route.
+    a longer one, and so on up to the route; then the states at the ends of pieces are traced back down. So no route has to fit a task: pieces are dealt in groups of bounded size
+    (but for one piece), and each step is taken for all pieces of a group at once.
     """
     spark = samples_.sparkSession
     ship(spark)
-    item = "route string, pos long, first array<double>, last array<double>, cost array<double>, single boolean, turn double"
+    turn, item = float(turn), "route string, pos long, first array<double>, last array<double>, cost array<double>"
     listed = samples_.groupBy("route", "seq").agg(F.array_sort(F.collect_list(F.struct(F.col("state").cast("double").alias("state"), F.col("cost").cast("double").alias("cost")))).alias("l"))
-    listed = listed.withColumns({"route": F.col("route").cast("string"), "seq": F.col("seq").cast("long")})
+    listed = stash(listed.select(F.col("route").cast("string").alias("route"), F.col("seq").cast("long").alias("seq"), F.col("l.state").alias("state"), F.col("l.cost").alias("cost")), "samples")
     begins = stash(listed.groupBy("route").agg(F.min("seq").alias("_from")), "begins")  # places count from a route's beginning
-    level = listed.join(begins, "route").select("route", (F.col("seq") - F.col("_from")).alias("pos"), F.col("l.state").alias("first"), F.col("l.state").alias("last"), F.col("l.cost").alias("cost"), F.lit(True).alias("single"), F.lit(float(turn)).alias("turn"))
-    levels = [stash(level, "states")]
-    while levels[-1].groupBy("route").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where("a < b").limit(1).count() or len(levels) == 1:
-        grouped = levels[-1].withColumn("up", F.floor(F.col("pos") / fan).cast("long"))
-        levels[-1] = grouped
-        levels.append(stash(grouped.groupBy("route", "up").applyInPandas(_joined, item), "pieces"))
+    level = stash(listed.join(begins, "route").select("route", (F.col("seq") - F.col("_from")).alias("pos"), F.col("state").alias("first"), F.col("state").alias("last"), "cost"), "states")
+    levels, groups = [level], []
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = F.greatest(F.size("first"), F.size("last")).cast("long")
+    while True:
+        far, held = levels[-1].agg(F.max("pos"), F.sum(size * size)).first()
+        if len(levels) > 1 and not far:
+            break
+        groups.append(max(parts, -(-(held or 0) // HELD)))
+        levels[-1] = levels[-1].withColumn("up", F.floor(F.col("pos") / fan).cast("long")).withColumn("_group", F.pmod(F.xxhash64("route", "up"), F.lit(groups[-1])))
+        levels.append(stash(levels[-1].groupBy("_group").applyInPandas(_joined(turn, len(levels) == 1), item), "pieces"))
     top = levels.pop()
     # of equally cheap ends the least last state counts
     last = F.expr("array_min(transform(filter(sequence(0, size(cost) - 1), i -> cost[i] = array_min(cost)), i -> i % size(last)))")
     begin = F.expr("filter(sequence(0, size(first) - 1), i -> cost[i * size(last) + b] = array_min(cost))[0]")
     picked = top.select("route", "pos", "cost", "first", "last", last.alias("b")).select("route", "pos", begin.alias("a"), "b")
-    for level in reversed(levels):
-        down = level.join(picked.select("route", F.col("pos").alias("up"), "a", "b"), ["route", "up"])
-        picked = stash(down.groupBy("route", "up").applyInPandas(_traced, "route string, pos long, a int, b int"), "traced")
+    for k in reversed(range(len(levels))):
+        down = levels[k].join(picked.select("route", F.col("pos").alias("up"), "a", "b"), ["route", "up"])
+        picked = stash(down.groupBy("_group").applyInPandas(_traced(turn, k == 0), "route string, pos long, a int, b int"), "traced")
     return levels[0].select("route", "pos", "first").join(picked, ["route", "pos"]).join(begins, "route").select("route", (F.col("pos") + F.col("_from")).alias("seq"), F.col("first")[F.col("b")].alias("state"))
 
 

@@ -4,7 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessellum.operators import rasters
 from tessellum.operators.joins import joined_ways
 from tessellum.operators.rasters import best_states
 
@@ -100,3 +102,30 @@ def test_joined_ways(spark):
     want = plain_chains(ways, 1.0)
     assert got == want and any(x[1] for x in want)
     assert joined_ways(frame.limit(0), gap=1.0).count() == 0
+
+
+def test_pieces_are_taken_together(spark, monkeypatch):
+    """Thousands of short routes are a few groups of bounded size, not a group each."""
+    groups = []
+    frame, grouping = type(spark.range(1)), type(spark.range(1).groupBy())
+    group_by, run = frame.groupBy, grouping.applyInPandas
+
+    def grouped(df, *cols):
+        got = group_by(df, *cols)
+        got._of = (df, cols)
+        return got
+
+    def seen(data, func, schema):
+        df, cols = data._of
+        groups.append((df.select(*cols).distinct().count(), df.count()))
+        return run(data, func, schema)
+
+    monkeypatch.setattr(frame, "groupBy", grouped)
+    monkeypatch.setattr(grouping, "applyInPandas", seen)
+    monkeypatch.setattr(rasters, "HELD", 1000)
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("route"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seq"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("state"))
+    rows = rows.withColumn("cost", F.abs(F.col("state") - F.col("seq") % 2))
+    got = best_states(rows, turn=0.4)
+    assert got.groupBy("seq", "state").count().where("count = 2000").count() == 3
+    # 6,000 samples of four numbers each in 24 groups of about 1,000 numbers
+    assert max(n for n, _ in groups) == 24
