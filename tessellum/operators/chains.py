@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellum.plans.stages import ship
 from tessellum.plans.stages import spread as stash
 
 from .components import components
@@ -40,11 +43,65 @@ def follow(links: DataFrame, *, sums: tuple[str, ...] = (), tops: tuple[str, ...
     raise RuntimeError(f"links form a ring, or a chain of over 2**{most_rounds} nodes")
 
 
-def chains(links: DataFrame) -> DataFrame:
+def _paths(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What links within one block make of its nodes: the first node of each one's path, how far it is from there, and at a path's last node where its link leads out. A ring begins at its least node."""
+    pdf = pdf.sort_values("node", ignore_index=True)
+    node, to = pdf["node"].to_numpy("int64"), pdf["to"].to_numpy("int64")
+    every, n = np.arange(len(node)), len(node)
+    nxt = np.minimum(np.searchsorted(node, to), n - 1)
+    inside = node[nxt] == to
+    back = np.full(n, -1)
+    back[nxt[inside]] = every[inside]
+
+    def walked(back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, far = np.where(back < 0, every, back), (back >= 0).astype("int64")
+        for _ in range(n.bit_length()):
+            far, at = far + far[at], at[at]
+        return at, far
+
+    at, _ = walked(back)
+    ring, least, jump = back[at] >= 0, every.copy(), np.where(back < 0, every, back)
+    for _ in range(n.bit_length() if ring.any() else 0):
+        least, jump = np.minimum(least, least[jump]), jump[jump]
+    at, far = walked(np.where(ring & (least == every), -1, back))
+    return pd.DataFrame({"node": node, "head": node[at], "off": far, "closed": ring, "out": pd.Series(to, dtype="Int64").mask(inside)})
+
+
+def _by_blocks(links: DataFrame, block: Column) -> DataFrame:
+    ship(links.sparkSession)
+    part = links.select("node", "to", block.alias("_block")).groupBy("_block").applyInPandas(_paths, "node long, head long, off long, closed boolean, out long")
+    part = stash(part, "paths")
+    # one row a path that leaves its block; where it leads to is the first node of another one, or a node without a link
+    leaves = part.where("NOT closed").groupBy("head").agg(F.max("out").alias("to"), F.count("*").alias("len"), F.min(F.struct("node", "off")).alias("low"))
+    leaves = stash(leaves, "leaves")
+    ends = leaves.select(F.col("to").alias("head")).join(leaves.select("head"), "head", "left_anti")
+    each = leaves.unionByName(ends.select("head", F.lit(None).cast("long").alias("to"), F.lit(1).cast("long").alias("len"), F.struct(F.col("head").alias("node"), F.lit(0).cast("long").alias("off")).alias("low")))
+    member = components(leaves, "head", "to").withColumnRenamed("node", "head")
+    each = stash(each.join(member, "head"), "each")
+    size = stash(each.groupBy("component").agg((F.count("*") == F.count("to")).alias("ring"), F.sum("len").alias("nodes"), F.min("low.node").alias("chain")), "sizes")
+    into = each.where("to = component").join(size.where("ring"), "component", "left_semi").select("head", "to")
+    left = follow(each.where("to IS NOT NULL").join(into, ["head", "to"], "left_anti").select(F.col("head").alias("node"), "to", "len"), sums=("len",))
+    ahead = each.join(left.select(F.col("node").alias("head"), F.col("len").alias("ahead")), "head", "left").join(size, "component")
+    # what is ahead of a path is itself and those up to the last one, which isn't in it
+    last = each.join(left.select(F.col("node").alias("head")), "head", "left_anti").select("component", F.col("len").alias("tail"))
+    begun = ahead.join(last, "component").withColumn("start", F.col("nodes") - F.col("tail") - F.coalesce("ahead", F.lit(0)))
+    begun = stash(begun.select("head", "component", "ring", "nodes", "chain", "start", F.col("low")), "begun")
+    zero = begun.where("low.node = chain").select("component", (F.col("start") + F.col("low.off")).alias("zero"))
+    placed = stash(begun.join(zero, "component").select("head", "chain", "ring", "nodes", F.when(F.col("ring"), F.col("start") - F.col("zero")).otherwise(F.col("start")).alias("start")), "placed")
+    open_ = part.where("NOT closed").select("node", "head", "off").unionByName(ends.select(F.col("head").alias("node"), "head", F.lit(0).cast("long").alias("off")))
+    at = F.col("start") + F.col("off")
+    got = open_.join(placed, "head").select("node", "chain", "ring", F.when(F.col("ring"), F.pmod(at, F.col("nodes"))).otherwise(at).alias("pos"))
+    return got.unionByName(part.where("closed").select("node", F.col("head").alias("chain"), F.lit(True).alias("ring"), F.col("off").alias("pos")))
+
+
+def chains(links: DataFrame, *, block: Column | None = None) -> DataFrame:
     """(node, chain, ring, pos): the chain of each node of ``links`` (node, to), named by its least node, and its place in it from 0.
 
-    No two links may lead to one node. ``ring``: whether the chain closes; a ring begins at its least node.
+    No two links may lead to one node. ``ring``: whether the chain closes; a ring begins at its least node. ``block``: a part of the nodes, of a size that fits a task, in which most of what
+    is linked lies together; then links within blocks are followed in one task each, and the rounds are only of what leaves its block.
     """
+    if block is not None:
+        return _by_blocks(links, block)
     links = stash(links.select("node", "to"), "links")
     member = stash(components(links.where("node <> to"), "node", "to").unionByName(links.where("node = to").select("node", F.col("node").alias("component"))), "member")
     named = links.join(member, "node")

@@ -17,6 +17,8 @@ from .chains import chains
 from .spatial import points_in_polygons
 
 EDGE = ("x0", "y0", "x1", "y1")
+#: Edges of a strip in which rings are followed in one task, roughly.
+STRIP = 200_000
 
 
 def cell_edges(cells: DataFrame, *, group: str, r: str = "r", c: str = "c") -> DataFrame:
@@ -50,7 +52,12 @@ def rings(edges: DataFrame, *, group: str) -> DataFrame:
     Where rings touch, the way goes on along the edge that turns most to the left, so parts that only touch in a corner stay apart. ``ring``
     is the number of some edge of it; it only tells rings apart.
     """
-    e = stash(edges.select(group, *EDGE).withColumn("id", F.monotonically_increasing_id()), "outline")
+    e = stash(edges.select(group, *EDGE), "outline")
+    # in strips across the longer side, so that most rings lie in one; the strip is the upper part of the number
+    n, wide, high = e.agg(F.count("*"), F.max("x0") - F.min("x0"), F.max("y0") - F.min("y0")).first()
+    along = ["x0", "y0"] if (wide or 0) > (high or 0) else ["y0", "x0"]
+    strips = max(min(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000)), -(-n // STRIP), 1)
+    e = stash(e.repartitionByRange(strips, *along).withColumn("id", F.monotonically_increasing_id()), "strips")
     # around a corner, by angle: the ends of edges that come in, seen from there, and the edges that go out
     come = e.select(group, F.col("x1").alias("x"), F.col("y1").alias("y"), F.atan2(F.col("y0") - F.col("y1"), F.col("x0") - F.col("x1")).alias("angle"), F.col("id").alias("came"), F.lit(None).cast("long").alias("goes"))
     go = e.select(group, F.col("x0").alias("x"), F.col("y0").alias("y"), F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")).alias("angle"), F.lit(None).cast("long").alias("came"), F.col("id").alias("goes"))
@@ -58,7 +65,7 @@ def rings(edges: DataFrame, *, group: str) -> DataFrame:
     before = at.orderBy("angle", F.col("came").isNull()).rowsBetween(Window.unboundedPreceding, -1)
     last = at.orderBy("angle").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     onward = come.unionByName(go).select("came", F.coalesce(F.last("goes", ignorenulls=True).over(before), F.last("goes", ignorenulls=True).over(last)).alias("to"))
-    placed = chains(onward.where("came IS NOT NULL AND to IS NOT NULL").select(F.col("came").alias("node"), "to"))
+    placed = chains(onward.where("came IS NOT NULL AND to IS NOT NULL").select(F.col("came").alias("node"), "to"), block=F.shiftright("node", 33))
     got = stash(e.join(placed.select(F.col("node").alias("id"), F.col("chain").alias("ring"), "pos"), "id"), "rings")
     start = got.groupBy("ring").agg(F.count("*").alias("n"), F.min(F.struct("x0", "y0", "pos")).alias("first"))
     return got.join(start, "ring").select(group, "ring", F.pmod(F.col("pos") - F.col("first.pos"), F.col("n")).alias("pos"), *EDGE)

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessellum.operators import chains as C
 
@@ -67,3 +68,27 @@ def test_tables_can_be_dropped(spark):
     made = [Path(x.removeprefix("file:").replace("//", "/")) for x in stages._written]
     assert len(got) == 2 and made and all(x.exists() for x in made)
     assert stages.drop_tables(spark) == len(made) and not any(x.exists() for x in made) and stages.drop_tables(spark) == 0
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    """Rings and chains within a block, over two and over many, loops, and ends without a link."""
+    r = random.Random(8)
+    names = r.sample(range(2000), 700)
+    links, want, at = [], set(), 0
+    for n, ring in [(1, True), (2, True), (5, True), (90, True), (2, False), (3, False), (120, False), *((r.randint(2, 30), r.random() < 0.5) for _ in range(25))]:
+        own, at = names[at : at + n], at + n
+        if r.random() < 0.4:
+            own = sorted(own)  # mostly within blocks
+        links += list(zip(own, own[1:], strict=False)) + [(own[-1], own[0])] * ring
+        start = own.index(min(own)) if ring else 0
+        want |= {(x, min(own), ring, (k - start) % n) for k, x in enumerate(own)}
+    r.shuffle(links)
+    frame = spark.createDataFrame(links, "node long, to long")
+    rounds, own_follow = [], C.follow
+    monkeypatch.setattr(C, "follow", lambda links, **kw: rounds.append(links.count()) or own_follow(links, **kw))
+    for width in (5000, 150, 7):
+        got = C.chains(frame, block=F.floor(F.col("node") / width))
+        assert {tuple(x) for x in got.select("node", "chain", "ring", "pos").collect()} == want and got.count() == len(want)
+    # in one block only chains with an end are left to the rounds, one row each
+    assert rounds[0] == sum(1 for x in want if x[3] == 0 and not x[2])
+    assert C.chains(frame.limit(0), block=F.lit(0)).count() == 0
