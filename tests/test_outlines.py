@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessellum.operators import chains
 from tessellum.operators import rings as R
 from tessellum.plans import outlines as P
 
@@ -167,3 +168,13 @@ def test_empty(spark):
     assert R.rings(R.outline(R.cell_edges(none, group="kind"), group="kind"), group="kind").count() == 0
     assert R.contour_lines(none, levels=[1.0]).count() == 0
     assert R.simplified(spark.createDataFrame([], "line int, pos int, x double, y double"), tolerance=1.0).select(F.count("*")).first()[0] == 0
+
+
+def test_rings_within_a_strip_are_left_out_of_the_rounds(spark, monkeypatch):
+    seen, own = [], chains.follow
+    monkeypatch.setattr(chains, "follow", lambda links, **kw: seen.append(links.count()) or own(links, **kw))
+    cells = spark.range(3000).select(F.col("id").alias("r"), (F.col("id") % 2 * 2).alias("c"), F.lit(1).alias("kind"))
+    got = R.ring_measures(R.rings(R.outline(R.cell_edges(cells, group="kind"), group="kind"), group="kind"), group="kind")
+    assert got.where("area = 1 AND length = 4 AND n = 4").count() == 3000
+    # only rings at the borders of strips, of 12,000 edges
+    assert sum(seen) < 100
