@@ -3,7 +3,11 @@
 import random
 from statistics import median
 
-from tessellum.operators import routing
+import pytest
+
+from tessellum.operators import documents, routing
+
+from .test_related import plain
 
 
 def shuffled(spark, run):
@@ -36,3 +40,28 @@ def test_directness_of_places_that_all_differ(spark, monkeypatch):
     assert {x["id"]: (x["n"], x["directness"] if x["directness"] is None else round(x["directness"], 9)) for x in got} == want
     assert sum(n for n, _ in want.values()) > 500_000
     assert size < 4_000_000  # a row of each of the 700,000 pairs takes more
+
+
+def test_items_that_all_differ_are_shuffled_once(spark, monkeypatch):
+    r = random.Random(8)
+    sold = spark.createDataFrame([(x, t) for x in range(600) for t in r.sample(range(900), 60)], "item long, t long")
+    tags = spark.createDataFrame([(t, f"k{t % 90}") for t in range(900)], "t long, tag string")
+    sizes, rows = [], []
+    for own in (300, 30):
+        monkeypatch.setattr(documents, "OWN", own)
+        got, size = shuffled(spark, lambda: documents.related(sold, item="item", token="t", weight=2, limit=1, tags=tags).collect())
+        rows.append(sorted(map(tuple, got)))
+        sizes.append(size)
+    assert len(rows[0]) == 600 and rows[0] == rows[1]
+    assert sizes[1] < 2 * sizes[0]  # 20 blocks instead of 3, and no list is sent to every block
+
+
+@pytest.mark.parametrize(("at_once", "strip", "common"), [(1, 1, 1000), (4, 3, 2), (10_000, 500, 0)])
+def test_pairs_added_up_in_parts(spark, monkeypatch, at_once, strip, common):
+    monkeypatch.setattr(documents, "AT_ONCE", at_once)
+    monkeypatch.setattr(documents, "STRIP", strip)
+    monkeypatch.setattr(documents, "OWN", 9)
+    sold = [(x, t) for x in range(20) for t in range(12) if (x * 7 + t * 5) % 4 == 0]
+    tags = [(t, f"k{t % 3}") for t in range(12)]
+    got = documents.related(spark.createDataFrame(sold, "item long, t long"), item="item", token="t", weight=2, limit=3, tags=spark.createDataFrame(tags, "t long, tag string"), common=common)
+    assert sorted(map(tuple, got.collect())) == sorted(plain(sold, tags, 2, 1, 3))
